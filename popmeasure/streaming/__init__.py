@@ -1,0 +1 @@
+"""Intentionally empty: every analysis in scope runs on bounded tables, so there is no stream to serve."""

@@ -285,17 +285,18 @@ add(
     EXTRACT,
     f"SELECT {EXTRACT_COLUMNS.format(date='CAST(admission_date AS VARCHAR)')} FROM all_data",
 )
-add(
-    "admission_cohort",
-    EXTRACT
-    + """, numbered AS (
+for name, days in (("admission_cohort", 90), ("admission_cohort_in_order", 30)):
+    add(
+        name,
+        EXTRACT
+        + """, numbered AS (
   SELECT *, row_number() OVER (PARTITION BY nhs_number, diagnosis_group
     ORDER BY admission_date, episode_id, provider_code) AS rn FROM all_data)""",
-    f"""SELECT {EXTRACT_COLUMNS.format(date="CAST(admission_date AS VARCHAR)")} FROM numbered a
+        f"""SELECT {EXTRACT_COLUMNS.format(date="CAST(admission_date AS VARCHAR)")} FROM numbered a
 WHERE NOT EXISTS (SELECT 1 FROM numbered b WHERE a.nhs_number = b.nhs_number
   AND a.diagnosis_group = b.diagnosis_group AND a.rn = b.rn + 1
-  AND a.admission_date <= b.admission_date + INTERVAL 90 DAY)""",
-)
+  AND a.admission_date <= b.admission_date + INTERVAL {days} DAY)""",
+    )
 add(
     "first_admission_in_gap",
     REGISTER

@@ -173,9 +173,8 @@ def _extract_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame,
 
 @query
 def extract_admissions_rows(spark, d):
-    return extract_admissions(*_extract_inputs(spark, d), b.AREA_CODES, START, END, keep=("episode_id",)).orderBy(
-        "nhs_number"
-    )
+    rows = extract_admissions(*_extract_inputs(spark, d), b.AREA_CODES, START, END, keep=("episode_id",))
+    return adm_plans.in_person_order(rows)
 
 
 @query
@@ -183,6 +182,12 @@ def admission_cohort(spark, d):
     return adm_plans.admission_cohort(*_extract_inputs(spark, d), b.AREA_CODES, START, END, gap_days=90)
 
 
+@query
+def admission_cohort_in_order(spark, d):
+    cohort = adm_plans.admission_cohort(*_extract_inputs(spark, d), b.AREA_CODES, START, END, gap_days=30)
+    return adm_plans.in_person_order(cohort)
+
+
 @query
 def first_admission_in_gap(spark, d):
     person = F.col("patient_id")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,29 +51,31 @@ def distinct_causes(df: DataFrame, drop: Sequence[str] = ("cause_number", "icd10
     return df.drop(*drop).distinct()
 
 
+def codes_in_row(causes: Sequence[str], prefix: str = "I", missing: str | None = None, min_length: int = 3) -> Column:
+    """Array of the distinct codes under `prefix` among the cause columns of a row; one null stands for all others."""
+
+    def kept(c: str) -> Column:
+        wanted = F.startswith(F.col(c), F.lit(prefix)) & (F.length(c) >= min_length)
+        return F.when(wanted if missing is None else wanted & (F.col(c) != missing), F.col(c))
+
+    return F.array_distinct(F.array(*[kept(c) for c in causes]))
+
+
 def distinct_causes_in_row(
-    df: DataFrame,
-    causes: Sequence[str],
-    prefix: str = "I",
-    missing: str | None = None,
-    subgroup: Callable[[Column], Column] = lambda c: code_prefix(c, 3, strict=True),
-    group: Callable[[Column], Column] = lambda c: classify(c, ICD10_GROUP_RULES),
+    df: DataFrame, causes: Sequence[str], prefix: str = "I", missing: str | None = None
 ) -> DataFrame:
     """One row per record and distinct (icd_subgroup, cvd_group) among its causes: each record is its own person.
 
     The repeats sit in one row, so they are removed there: no row id, no shuffle.
     """
 
-    def entry(c: str) -> Column:
-        code = F.col(c)
-        wanted = F.startswith(subgroup(code), F.lit(prefix))
-        if missing is not None:
-            wanted = wanted & (code != missing)
-        return F.when(wanted, F.struct(subgroup(code).alias("icd_subgroup"), group(code).alias("cvd_group")))
+    def entry(code: Column) -> Column:
+        subgroup, group = code_prefix(code, 3, strict=True), classify(code, ICD10_GROUP_RULES)
+        return F.struct(subgroup.alias("icd_subgroup"), group.alias("cvd_group"))
 
-    found = F.array_distinct(F.array_compact(F.array(*[entry(c) for c in causes])))
-    rest = [c for c in df.columns if c not in causes]
-    return df.select(*rest, F.inline(found))
+    found = F.array_distinct(F.transform(codes_in_row(causes, prefix, missing), entry))
+    rows = df.select(*[c for c in df.columns if c not in causes], F.inline(found))
+    return rows.filter(F.col("icd_subgroup").isNotNull())
 
 
 def unpivot_measures(

@@ -30,6 +30,11 @@ def admission_cohort(
     return first_in_gap(extract, ["nhs_number", "diagnosis_group"], "admission_date", gap_days, tie="episode_id")
 
 
+def in_person_order(df: DataFrame) -> DataFrame:
+    """Sort by person. Date and episode complete the sort key, so that the range partitions can split one person."""
+    return df.orderBy("nhs_number", "admission_date", "episode_id")
+
+
 def admissions_by_area(
     df: DataFrame, keys: Sequence[str], areas: Mapping[str, Sequence[str]], years: float = YEARS
 ) -> DataFrame:

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from popmeasure.functions import (
     age_group,
-    any_code_matches,
     before_first,
     classify,
     code_match,
@@ -23,7 +22,7 @@ from popmeasure.functions import (
 )
 from popmeasure.operators.enrich import enrich
 from popmeasure.operators.episodes import first_per_key
-from popmeasure.operators.reshape import distinct_causes, explode_causes
+from popmeasure.operators.reshape import codes_in_row, columns_containing, distinct_causes_in_row
 from popmeasure.sources.constants import ICD10_GROUP_RULES, SEX_LABELS
 
 UNDERLYING = "s_underlying_cod_icd10"
@@ -124,25 +123,29 @@ def all_cause_deaths(
     person: tuple[str, ...] = PERSON_COLUMNS,
     prefix: str = "I",
     causes: str = "_cod_",
+    one_record_per_person: bool = False,
     **lookups,
 ) -> DataFrame:
     """One row per person and distinct three-character cause under `prefix`.
 
     `person` lists the columns that tell people apart and that later measures need; identical rows are one person.
-    Duplicates are removed before the lookups, on these few columns. Lookup keys must be unique for the result to
-    equal de-duplication after them (`enrich.duplicate_keys` checks that).
+    Repeated codes of a record are removed within its row, the rest by one distinct over these few columns, before the
+    lookups. Lookup keys must be unique for the result to equal de-duplication after them (`enrich.duplicate_keys`
+    checks that).
+
+    With `one_record_per_person` every record is a person of its own and nothing is shuffled.
     """
-    cause_columns = [c for c in register.columns if causes.lower() in c.lower()]
-    # the any-cause test is implied, but unlike the unpivoted test it reaches the scan
-    narrow = register.filter(any_code_matches(cause_columns, prefix)).select(*person, *cause_columns)
-    long = explode_causes(narrow, causes, prefix=prefix).filter(F.length("icd10_code") >= 3)
-    coded = long.withColumns(
-        {
-            "icd_subgroup": code_prefix("icd10_code", strict=True),
-            "cvd_group": classify("icd10_code", ICD10_GROUP_RULES),
-        }
+    cause_columns = columns_containing(register, causes)
+    if one_record_per_person:
+        rows = distinct_causes_in_row(register.select(*person, *cause_columns), cause_columns, prefix)
+        return _finish_deaths(rows, area_names, lookups)
+    long = register.select(*person, F.explode(codes_in_row(cause_columns, prefix)).alias("icd10_code"))
+    coded = long.filter(F.col("icd10_code").isNotNull()).select(
+        *person,
+        code_prefix("icd10_code", strict=True).alias("icd_subgroup"),
+        classify("icd10_code", ICD10_GROUP_RULES).alias("cvd_group"),
     )
-    return _finish_deaths(distinct_causes(coded), area_names, lookups)
+    return _finish_deaths(coded.distinct(), area_names, lookups)
 
 
 def add_broad_ethnicity(df: DataFrame) -> DataFrame:

@@ -96,11 +96,11 @@ def admissions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _cause(k: int) -> str:
     """Cause k: null for every third record but for the underlying cause, the text NULL, a short or a full code."""
     key = "episode_id"
+    digits = f"cast(1000 + ({key} * 7 + {13 * k}) % 100 * 10 + {key} % 10 AS string)"
     code = (
-        f"CASE WHEN ({key} * 7 + {k}) % 10 = 0 THEN 'J' ELSE 'I' END "
-        f"|| {_two_digits(f'({key} * 7 + {13 * k}) % 100')} || cast({key} % 10 AS string)"
+        f"if(({key} * 7 + {k}) % 10 = 0, 'J', 'I') || substring({digits}, 2, if(({key} + {k}) % 17 = 0, 1, 3))"
     )
-    kept = f"CASE WHEN ({key} + {k}) % 11 = 0 THEN 'NULL' ELSE left({code}, if(({key} + {k}) % 17 = 0, 2, 4)) END"
+    kept = f"CASE WHEN ({key} + {k}) % 11 = 0 THEN 'NULL' ELSE {code} END"
     return kept if k == 0 else f"CASE WHEN ({key} + {k}) % 3 != 0 THEN {kept} END"
 
 

@@ -549,6 +549,16 @@ for scope in ("primary", "all_cause"):
         add(f"deaths_by_age_{scope}_{grouping}", base, by_age(keys, "count(*)"))
         add(f"share_of_deaths_{scope}_{grouping}", base, share(keys[0 if grouping == "clinical" else 1], "deaths"))
 
+add(
+    "deaths_yll_by_area_by_record",
+    DEATHS
+    + f""", base AS (
+  SELECT c.clinical_subgroup, c.clinical_group, {area_name("d.residence_la_code")} AS local_authority,
+    CASE WHEN d.age < 75 THEN 74.5 - d.age WHEN d.age >= 75 THEN 0 END AS yll
+  FROM (SELECT DISTINCT record_id, age, residence_la_code, icd_subgroup, cvd_group FROM coded) d
+  JOIN clinical c ON d.icd_subgroup = c.code WHERE clinical_subgroup <> 'Not CVD')""",
+    by_area(GROUPINGS["clinical"], DEATH_MEASURES),
+)
 add("deaths_yll_weighted_by_area", WEIGHTED, by_area(GROUPINGS["icd10"], WEIGHTED_MEASURES))
 add(
     "deaths_yll_weighted_by_characteristic",

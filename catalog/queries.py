@@ -444,6 +444,20 @@ for _scope in ("primary", "all_cause"):
         register(f"share_of_deaths_{_scope}_{_grouping}", _share)
 
 
+@query
+def deaths_yll_by_area_by_record(spark, d):
+    """All-cause deaths where each record is a person of its own."""
+    register_ = b.deaths_register(spark, d).drop("deaths_weight", "reg_date")
+    rows = all_cause_deaths(
+        register_,
+        b.AREA_NAMES,
+        person=("record_id", "age", "sex", "residence_la_code"),
+        one_record_per_person=True,
+        clinical=b.clinical_groups(spark, d),
+    )
+    return death_plans.deaths_by_area(cvd_only(rows), b.AREAS, CLINICAL, DEATH_YEARS)
+
+
 def _weighted_titles(spark: SparkSession, d: str) -> DataFrame:
     return enrich(weighted(spark, d), titles(spark, d, r"I\d{2}"), "icd_subgroup")
 

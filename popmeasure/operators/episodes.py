@@ -43,25 +43,30 @@ def first_in_gap(
     keys, tie = _as_list(keys), _as_list(tie)
     if gap_days < 0:
         raise ValueError("gap_days must not be negative")
-    columns = df.columns
     no_key = reduce(or_, [F.col(c).isNull() for c in [*keys, ts]])
     day = F.unix_date(F.col(ts).cast("date"))
     bucket = F.floor(day / F.lit(gap_days)) if gap_days else F.col(ts)
 
+    # A row without a key is a group of its own, so the same single pass keeps it. Equal ones are counted per input
+    # partition, which bounds the count and spreads them.
+    alone = F.when(no_key, F.struct(F.spark_partition_id().alias("__part"), *df.columns))
     firsts = (
-        df.filter(~no_key)
-        .withColumn("__bucket", bucket)
-        .groupBy(*keys, "__bucket")
-        .agg(F.min(_row(df, [ts, *tie], skip=keys)).alias("__row"), F.max(ts).alias("__last"))
+        df.withColumns({"__bucket": bucket, "__alone": alone})
+        .groupBy(*keys, "__alone", "__bucket")
+        .agg(
+            F.min(_row(df, [ts, *tie], skip=keys)).alias("__row"),
+            F.max(ts).alias("__last"),
+            F.count("__alone").alias("__copies"),
+        )
     )
-    w = Window.partitionBy(*keys).orderBy("__bucket")
-    kept = (
+    w = Window.partitionBy(*keys, "__alone").orderBy("__bucket")
+    copies = F.array_repeat(F.lit(0), F.greatest("__copies", F.lit(1)).cast("int"))
+    return (
         firsts.withColumn("__before", F.lag("__last").over(w))
         .filter(F.col("__before").isNull() | ~within_days(F.col("__row")[ts], F.col("__before"), gap_days))
-        .select(*keys, "__row.*")
-        .select(*columns)
+        .select(*keys, "__row.*", F.explode(copies).alias("__copy"))
+        .select(*df.columns)
     )
-    return kept.unionByName(df.filter(no_key))
 
 
 def latest_per_key(df: DataFrame, key: str | Sequence[str], order_by: str | Sequence[str]) -> DataFrame:

@@ -34,36 +34,54 @@ EXTRACT_COLUMNS = [
 ]
 
 
-def extract_admissions(
+def resident_spells(
     diagnoses: DataFrame,
     geography: DataFrame,
-    ethnicity: DataFrame,
     areas: Sequence[str],
     start: str = "2018-04-01",
     end: str = "2024-04-01",
-    code_prefix_: str = "I",
-    keep: Sequence[str] = (),
+    code: str = "I",
 ) -> DataFrame:
-    """One row per spell with a primary diagnosis under `code_prefix_`, admitted in [start, end) by an area's resident.
+    """One row per spell with a primary diagnosis under `code`, admitted in [start, end) by an area's resident.
 
-    `keep` names further columns of the inputs, for instance the episode id as a tie-break.
-
-    The area test turns the geography join into an inner one; it runs before the ethnicity join, so only residents
-    are looked up.
+    The area test makes the geography join an inner one and reaches the geography scan. The key of the join is the
+    episode, so no key is hot.
     """
     spells = diagnoses.filter(
-        F.startswith(F.col("diagnosis_code"), F.lit(code_prefix_))
+        F.startswith(F.col("diagnosis_code"), F.lit(code))
         & (F.col("diagnosis_order") == 1)
         & (F.col("order_in_spell") == 1)
         & date_range("admission_date", start, end)
         & F.col("nhs_number").isNotNull()
     ).withColumn("diagnosis_group", code_prefix("diagnosis_code"))
-    residents = enrich(spells, geography, "episode_id", null_safe=False).filter(
+    return enrich(spells, geography, "episode_id", null_safe=False).filter(
         F.col("local_authority").isin(list(areas))
     )
+
+
+def with_person_ethnicity(spells: DataFrame, ethnicity: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Add the person's ethnicity and select the extract's columns, and those in `keep`."""
     people = ethnicity.select("pseudo_nhs_number", "ethnic_code", "ethnic_grouping")
-    return enrich(residents, people, {"nhs_number": "pseudo_nhs_number"}, null_safe=False).select(
-        *EXTRACT_COLUMNS, *keep
+    joined = enrich(spells, people, {"nhs_number": "pseudo_nhs_number"}, null_safe=False)
+    return joined.select(*EXTRACT_COLUMNS, *keep)
+
+
+def extract_admissions(
+    diagnoses: DataFrame,
+    geography: DataFrame,
+    ethnicity: DataFrame,
+    areas: Sequence[str],
+    start: str = "2018-04-01",
+    end: str = "2024-04-01",
+    code: str = "I",
+    keep: Sequence[str] = (),
+) -> DataFrame:
+    """Residents' spells with ethnicity. A person listed twice in `ethnicity` doubles the rows.
+
+    `keep` names further columns of the inputs, for instance the episode id as a tie-break.
+    """
+    return with_person_ethnicity(
+        resident_spells(diagnoses, geography, areas, start, end, code), ethnicity, keep
     )
 
 

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 
 from popmeasure.operators.breakdown import by_area, by_characteristic
 from popmeasure.operators.compare import shares_long, side_by_side
-from popmeasure.operators.episodes import first_in_gap
-from popmeasure.operators.extract import extract_admissions
+from popmeasure.operators.episodes import first_in_gap, first_per_key
+from popmeasure.operators.extract import EXTRACT_COLUMNS, resident_spells, with_person_ethnicity
 from popmeasure.operators.measures import share_of_total, yearly, yearly_count
 
 CHARACTERISTICS = ("locality", "imd_quintile", "age_group", "gender", "ethnicity")
@@ -25,9 +25,21 @@ def admission_cohort(
     end: str = "2024-04-01",
     gap_days: int = 90,
 ) -> DataFrame:
-    """Extract, then keep the first of each chain of admissions of a person for one diagnosis group."""
-    extract = extract_admissions(diagnoses, geography, ethnicity, areas, start, end, keep=("episode_id",))
-    return first_in_gap(extract, ["nhs_number", "diagnosis_group"], "admission_date", gap_days, tie="episode_id")
+    """Extract, then keep the first of each chain of admissions of a person for one diagnosis group.
+
+    The gap rule runs before the person join. It leaves at most one row per person, diagnosis group and gap-long
+    period, so a person with a large part of all rows no longer weighs on the join. Rows that a repeated person in
+    `ethnicity` would have added fall on the same day and are repeats by that rule; hence one row per person is joined.
+    """
+    own = [c for c in EXTRACT_COLUMNS if c not in ("ethnic_code", "ethnic_grouping")]
+    spells = resident_spells(diagnoses, geography, areas, start, end).select(*own, "episode_id")
+    firsts = first_in_gap(spells, ["nhs_number", "diagnosis_group"], "admission_date", gap_days, tie="episode_id")
+    people = first_per_key(
+        ethnicity.select("pseudo_nhs_number", "ethnic_code", "ethnic_grouping"),
+        "pseudo_nhs_number",
+        ["ethnic_code", "ethnic_grouping"],
+    )
+    return with_person_ethnicity(firsts, people, keep=("episode_id",))
 
 
 def in_person_order(df: DataFrame) -> DataFrame:

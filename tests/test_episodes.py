@@ -45,6 +45,7 @@ def test_ties_and_nulls(spark):
     rows = [("p", "g", day(0), 2), ("p", "g", day(0), 1), (None, "g", day(0), 3), (None, "g", day(1), 4)]
     rows += [("p", "g", None, 5), ("q", None, day(0), 6), ("q", None, day(0), 7)]
     assert sorted(run(spark, rows, 90)) == [1, 3, 4, 5, 6, 7]
+    assert sorted(run(spark, [(None, "g", day(0), 8)] * 3, 90)) == [8, 8, 8]  # equal rows stay three rows
 
 
 @pytest.mark.parametrize("gap", [0, 1, 7, 90])
@@ -83,6 +84,7 @@ def test_window_group_is_bounded_by_the_calendar(spark):
     out = first_in_gap(df, "person", "ts", 90, tie="id")
     text = out._jdf.queryExecution().executedPlan().toString()
     assert "partial_min" in text and "partial_max" in text
+    assert text.count("Range (") == 1  # rows without a key need no second pass
     assert [r.id for r in out.collect()] == [0]
 
 

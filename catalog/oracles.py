@@ -325,21 +325,20 @@ numbered AS (
     """SELECT pseudo_nhs_number, ethnic_code, ethnicity_category, CAST(recorded AS VARCHAR) AS recorded, record_id
 FROM numbered WHERE rn = 1""",
 )
-add(
-    "extract_deaths_rows",
-    REGISTER,
-    f"""SELECT patient_id, sex, age, lsoa, residence_la_code, record_id, {", ".join(CAUSES)},
+EXTRACTED_DEATHS = f"""SELECT patient_id, sex, age, lsoa, residence_la_code, record_id, {", ".join(CAUSES)},
   c_mktsegment AS ethnic_grouping, CAST(c_custkey % 2 AS INTEGER) AS is_deceased,
   {ethnic_code("c_custkey")} AS ethnic_code
 FROM register LEFT JOIN customer ON patient_id = CAST(c_custkey AS VARCHAR)
-WHERE reg_date >= DATE '{START}' AND reg_date <= DATE '{END}' AND residence_la_code IN ('E08000025', 'E08000029')""",
-)
+WHERE reg_date >= DATE '{START}' AND reg_date <= DATE '{END}' AND residence_la_code IN ('E08000025', 'E08000029')"""
+ANY_CODE = " OR ".join(f"{c} LIKE 'I%'" for c in CAUSES)
+add("extract_deaths_rows", REGISTER, EXTRACTED_DEATHS)
+add("death_cohort_rows", REGISTER, f"SELECT * FROM ({EXTRACTED_DEATHS}) WHERE {ANY_CODE}")
 add(
     "any_code_filter_counts",
     REGISTER,
     f"""SELECT residence_la_code, count(*) AS n,
   count(*) FILTER (WHERE s_underlying_cod_icd10 LIKE 'I%') AS n_underlying
-FROM register WHERE {" OR ".join(f"{c} LIKE 'I%'" for c in CAUSES)} GROUP BY residence_la_code""",
+FROM register WHERE {ANY_CODE} GROUP BY residence_la_code""",
 )
 
 WEIGHTED = (

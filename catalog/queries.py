@@ -214,6 +214,13 @@ def extract_deaths_rows(spark, d):
     )
 
 
+@query
+def death_cohort_rows(spark, d):
+    people = b.ethnicity_by_customer(spark, d)
+    register_ = b.deaths_register(spark, d).drop("ethnic_code", "deaths_weight")
+    return death_plans.death_cohort(register_, people, b.AREA_CODES, START, END)
+
+
 @query
 def any_code_filter_counts(spark, d):
     rows = any_code_filter(b.deaths_register(spark, d))

@@ -60,21 +60,21 @@ def by_characteristic(
 ) -> DataFrame:
     """One long table (keys, characteristic, level, measures) with a block per characteristic.
 
-    Grouping sets read the base once. Each task combines its rows to (keys x levels) cells before the shuffle. The
-    grouping id tells a null level from a column outside the set. Levels are cast to text after aggregation.
+    Each row is turned into one (characteristic number, level) pair per characteristic, within the scan's own stage,
+    and each task combines its pairs to (keys x levels) cells before the only shuffle. The base is read once. A null
+    level stays a level. Grouping sets give the same table, but hash every characteristic for every pair.
     """
-    sets = [[*keys, c] for c in characteristics]
-    grouped = df.groupingSets(sets, *keys, *characteristics).agg(F.grouping_id().alias("__set"), *aggs)
-    full = (1 << len(characteristics)) - 1
-    name: Column | None = None
-    level: Column | None = None
-    for i, c in enumerate(characteristics):
-        test = F.col("__set") == full - (1 << (len(characteristics) - 1 - i))
-        text = F.col(c).cast("string")
-        name = F.when(test, c) if name is None else name.when(test, c)
-        level = F.when(test, text) if level is None else level.when(test, text)
-    measures = [c for c in grouped.columns if c not in (*keys, *characteristics, "__set")]
-    return grouped.select(*keys, name.alias("characteristic"), level.alias("level"), *measures)
+    levels = F.array(*[F.col(c).cast("string") for c in characteristics])
+    names = F.array(*[F.lit(c) for c in characteristics])
+    cells = (
+        df.select("*", F.posexplode(levels).alias("__at", "__level"))
+        .groupBy(*keys, "__at", "__level")
+        .agg(*aggs)
+    )
+    measures = [c for c in cells.columns if c not in (*keys, "__at", "__level")]
+    return cells.select(
+        *keys, F.get(names, F.col("__at")).alias("characteristic"), F.col("__level").alias("level"), *measures
+    )
 
 
 def proportion_by_characteristic(

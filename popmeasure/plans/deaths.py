@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from popmeasure.functions import age_group, years_of_life_lost
 from popmeasure.functions.stats import null_sum
 from popmeasure.operators.breakdown import by_area, by_characteristic
+from popmeasure.operators.extract import any_code_filter, extract_deaths
 from popmeasure.operators.measures import share_of_total, yearly, yearly_count
 
 CLINICAL = ("clinical_subgroup", "clinical_group")
@@ -18,6 +19,18 @@ CHARACTERISTICS = ("sex", "locality", "imd_quintile", "ethnicity")
 YEARS = 10
 
 
+def death_cohort(
+    register: DataFrame,
+    ethnicity: DataFrame,
+    areas: Sequence[str],
+    start: str = "2014-01-01",
+    end: str = "2023-12-31",
+    prefix: str = "I",
+) -> DataFrame:
+    """Residents' deaths with a cause under `prefix` at any position, with ethnicity. All filters precede the join."""
+    return extract_deaths(any_code_filter(register, prefix), ethnicity, areas, start, end)
+
+
 def with_yll(df: DataFrame, age: str = "age", weight: str | None = None) -> DataFrame:
     return df.withColumn("yll", years_of_life_lost(age, weight=weight))
 

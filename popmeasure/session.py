@@ -1,8 +1,8 @@
 """Spark session defaults.
 
-A cluster supplies its own session; `local_session` exists for tests and the benchmark. Nothing in the library
-depends on these values except that adaptive execution stays on, as it is by default: it coalesces small shuffle
-partitions and splits skewed join partitions at run time.
+A cluster supplies its own session; `local_session` exists for tests and the benchmark. Results depend on none of
+these values. For speed, adaptive execution should stay on, as it is by default: it coalesces small shuffle partitions
+and splits skewed join partitions at run time.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ def local_session(cores: int | str = 8, app: str = "popmeasure", **conf: str) ->
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # split a hot join key even when the aggregate after the join then needs its own shuffle
+        .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)

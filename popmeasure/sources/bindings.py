@@ -101,20 +101,24 @@ def admissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _code_blocks(key: str) -> str:
+    """Six codes of a letter and three digits, spread over all digits, as one text."""
+    digits = f"cast(1000000000000000000 + ({key} * 982451653 % 1000000007) * 999999937 AS string)"
+    blocks = [f"'{letter}' || substring({digits}, {2 + 3 * i}, 3)" for i, letter in enumerate("IJIIJI")]
+    return " || ".join(blocks)
+
+
 def _cause(k: int) -> str:
-    """Cause k: null for every third record but for the underlying cause, the text NULL, a short or a full code."""
-    key = "episode_id"
-    digits = f"cast(1000 + ({key} * 7 + {13 * k}) % 100 * 10 + {key} % 10 AS string)"
-    code = (
-        f"if(({key} * 7 + {k}) % 10 = 0, 'J', 'I') || substring({digits}, 2, if(({key} + {k}) % 17 = 0, 1, 3))"
-    )
-    kept = f"CASE WHEN ({key} + {k}) % 11 = 0 THEN 'NULL' ELSE {code} END"
-    return kept if k == 0 else f"CASE WHEN ({key} + {k}) % 3 != 0 THEN {kept} END"
+    """Cause k: one of the codes, cut short or the text NULL at times, null for every third one but the underlying."""
+    at = f"(episode_id + {k})"
+    code = f"substring(codes, 4 * ({at} % 6) + 1, if({at} % 17 = 0, 2, 4))"
+    kept = f"if({at} % 11 = 0, 'NULL', {code})"
+    return kept if k == 0 else f"if({at} % 3 != 0, {kept}, NULL)"
 
 
 def deaths_register(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Death register: one row per order, sixteen cause columns, the text NULL and short codes among them."""
-    return _person(spark, sf_dir).selectExpr(
+    return _person(spark, sf_dir).selectExpr("*", f"{_code_blocks('episode_id')} AS codes").selectExpr(
         "cast(person_id AS string) AS patient_id",
         "cast(person_id % 3 AS int) AS sex",
         "age",

@@ -10,6 +10,8 @@ ORACLES: dict[str, str] = {}
 
 START, END = "1996-01-01", "2000-12-31"
 LETTERS = "ABCDEFGHJKLMNPRSZX"
+
+# Fixed values, stated a second time on purpose: the SQL must not depend on the library's lists.
 CAUSES = ["s_underlying_cod_icd10"] + [f"s_cod_code_{k}" for k in range(1, 16)]
 BANDS = [f"{a}-{a + 4}" for a in range(0, 90, 5)] + ["90+"]
 ESP = [5000, 5500, 5500, 5500, 6000, 6000, 6500, 7000, 7000, 7000, 7000, 6500, 6000, 5500, 5000, 4000, 2500, 1500, 1000]
@@ -49,6 +51,7 @@ def age_band(age: str) -> str:
 
 
 def icd_group(code: str) -> str:
+    # fixed values: the study's patterns, in order
     rules = [
         ("^I0[0-2]", "Acute rheumatic fever"),
         ("^I0[5-9]", "Chronic rheumatic heart diseases"),
@@ -191,6 +194,7 @@ ADMISSIONS = (
     )
 )
 
+# Census 2021 ethnic group -> ethnic category used in health records.
 CENSUS_LABELS = [
     ("Asian, Asian British or Asian Welsh: Bangladeshi", "Asian or Asian British - Bangladeshi"),
     ("Asian, Asian British or Asian Welsh: Chinese", "Other Ethnic Groups - Chinese"),

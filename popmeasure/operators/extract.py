@@ -59,10 +59,13 @@ def resident_spells(
     )
 
 
-def with_person_ethnicity(spells: DataFrame, ethnicity: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+def with_person_ethnicity(
+    spells: DataFrame, ethnicity: DataFrame, keep: Sequence[str] = (), salts: int = 1, salt_by: Sequence[str] = ()
+) -> DataFrame:
     """Add the person's ethnicity and select the extract's columns, and those in `keep`."""
     people = ethnicity.select("pseudo_nhs_number", "ethnic_code", "ethnic_grouping")
-    joined = enrich(spells, people, {"nhs_number": "pseudo_nhs_number"}, null_safe=False)
+    on = {"nhs_number": "pseudo_nhs_number"}
+    joined = enrich(spells, people, on, null_safe=False, salts=salts, salt_by=salt_by)
     return joined.select(*EXTRACT_COLUMNS, *keep)
 
 
@@ -75,14 +78,15 @@ def extract_admissions(
     end: str = "2024-04-01",
     code: str = "I",
     keep: Sequence[str] = (),
+    salts: int = 1,
 ) -> DataFrame:
     """Residents' spells with ethnicity. A person listed twice in `ethnicity` doubles the rows.
 
-    `keep` names further columns of the inputs, for instance the episode id as a tie-break.
+    `keep` names further columns of the inputs, for instance the episode id as a tie-break. `salts` spreads the spells
+    of one person over that many partitions of the person join.
     """
-    return with_person_ethnicity(
-        resident_spells(diagnoses, geography, areas, start, end, code), ethnicity, keep
-    )
+    spells = resident_spells(diagnoses, geography, areas, start, end, code)
+    return with_person_ethnicity(spells, ethnicity, keep, salts, ["episode_id"])
 
 
 def extract_deaths(
@@ -91,13 +95,19 @@ def extract_deaths(
     areas: Sequence[str],
     start: str = "2014-01-01",
     end: str = "2023-12-31",
+    salts: int = 1,
+    salt_by: Sequence[str] = (),
 ) -> DataFrame:
-    """Deaths registered from `start` to `end`, both included, of residents of the areas, with ethnicity."""
+    """Deaths registered from `start` to `end`, both included, of residents of the areas, with ethnicity.
+
+    With `salts` and `salt_by` (see `enrich`) a repeated person id is spread over several partitions of the person join.
+    """
     chosen = register.filter(
         date_range("reg_date", start, end, closed=True) & F.col("residence_la_code").isin(list(areas))
     ).drop("reg_date")
     people = ethnicity.select("pseudo_nhs_number", "ethnic_code", "ethnic_grouping", "is_deceased")
-    return enrich(chosen, people, {"patient_id": "pseudo_nhs_number"}, null_safe=False)
+    on = {"patient_id": "pseudo_nhs_number"}
+    return enrich(chosen, people, on, null_safe=False, salts=salts, salt_by=salt_by)
 
 
 def any_code_filter(df: DataFrame, prefix: str = "I", columns: Sequence[str] = tuple(CAUSE_COLUMNS)) -> DataFrame:

@@ -26,9 +26,11 @@ def death_cohort(
     start: str = "2014-01-01",
     end: str = "2023-12-31",
     prefix: str = "I",
+    salts: int = 1,
+    salt_by: Sequence[str] = (),
 ) -> DataFrame:
     """Residents' deaths with a cause under `prefix` at any position, with ethnicity. All filters precede the join."""
-    return extract_deaths(any_code_filter(register, prefix), ethnicity, areas, start, end)
+    return extract_deaths(any_code_filter(register, prefix), ethnicity, areas, start, end, salts, salt_by)
 
 
 def with_yll(df: DataFrame, age: str = "age", weight: str | None = None) -> DataFrame:

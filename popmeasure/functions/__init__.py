@@ -1,5 +1,13 @@
 from popmeasure.functions.bands import age_group, band, five_year_band, in_levels, quintile_from_decile, two_bands
-from popmeasure.functions.codes import any_code_matches, classify, code_match, code_prefix, span
+from popmeasure.functions.codes import (
+    any_code_matches,
+    classify,
+    code_match,
+    code_prefix,
+    label_of,
+    numbered,
+    span,
+)
 from popmeasure.functions.dates import date_range, within_days
 from popmeasure.functions.stats import (
     Z95,
@@ -31,9 +39,11 @@ __all__ = [
     "fill_null",
     "five_year_band",
     "in_levels",
+    "label_of",
     "null_if",
     "null_max",
     "null_sum",
+    "numbered",
     "percentage",
     "quintile_from_decile",
     "ratio",

@@ -46,7 +46,7 @@ def span(*ranges: tuple[str, str], anywhere: Sequence[str] = ()) -> Callable[[Co
     return condition
 
 
-def classify(code: Column | str, rules: Sequence[tuple[Condition, str]]) -> Column:
+def classify(code: Column | str, rules: Sequence[tuple[Condition, str | int]]) -> Column:
     """Label of the first rule that holds, null when none does.
 
     A rule's condition is a regular expression or a function from the code column to a boolean column.
@@ -61,6 +61,19 @@ def classify(code: Column | str, rules: Sequence[tuple[Condition, str]]) -> Colu
     return label
 
 
+def numbered(rules: Sequence[tuple[Condition, str]]) -> tuple[list[tuple[Condition, int]], list[str]]:
+    """The rules with the number of their label in place of the label, and the labels by number.
+
+    Rows that are hashed or shuffled before the label is needed carry the number: four bytes instead of a long text.
+    """
+    labels = list(dict.fromkeys(label for _, label in rules))
+    return [(condition, labels.index(label)) for condition, label in rules], labels
+
+
+def label_of(number: Column | str, labels: Sequence[str]) -> Column:
+    return F.get(F.array(*[F.lit(label) for label in labels]), _col(number))
+
+
 def any_code_matches(columns: Sequence[str], prefix: str) -> Column:
     """True when one of the columns starts with `prefix`; never true because of a null.
 

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from popmeasure.functions.codes import classify, code_prefix
+from popmeasure.functions.codes import classify, code_prefix, label_of, numbered
 from popmeasure.functions.text import relabel
 from popmeasure.sources.constants import ICD10_GROUP_RULES
 
@@ -69,13 +69,16 @@ def distinct_causes_in_row(
     The repeats sit in one row, so they are removed there: no row id, no shuffle.
     """
 
+    rules, labels = numbered(ICD10_GROUP_RULES)
+
     def entry(code: Column) -> Column:
-        subgroup, group = code_prefix(code, 3, strict=True), classify(code, ICD10_GROUP_RULES)
-        return F.struct(subgroup.alias("icd_subgroup"), group.alias("cvd_group"))
+        return F.struct(
+            code_prefix(code, 3, strict=True).alias("icd_subgroup"), classify(code, rules).alias("cvd_group")
+        )
 
     found = F.array_distinct(F.transform(codes_in_row(causes, prefix, missing), entry))
     rows = df.select(*[c for c in df.columns if c not in causes], F.inline(found))
-    return rows.filter(F.col("icd_subgroup").isNotNull())
+    return rows.filter(F.col("icd_subgroup").isNotNull()).withColumn("cvd_group", label_of("cvd_group", labels))
 
 
 def unpivot_measures(

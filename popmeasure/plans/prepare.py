@@ -18,6 +18,8 @@ from popmeasure.functions import (
     code_match,
     code_prefix,
     fill_null,
+    label_of,
+    numbered,
     relabel,
 )
 from popmeasure.operators.enrich import enrich
@@ -139,13 +141,15 @@ def all_cause_deaths(
     if one_record_per_person:
         rows = distinct_causes_in_row(register.select(*person, *cause_columns), cause_columns, prefix)
         return _finish_deaths(rows, area_names, lookups)
+    rules, labels = numbered(ICD10_GROUP_RULES)
     long = register.select(*person, F.explode(codes_in_row(cause_columns, prefix)).alias("icd10_code"))
     coded = long.filter(F.col("icd10_code").isNotNull()).select(
         *person,
         code_prefix("icd10_code", strict=True).alias("icd_subgroup"),
-        classify("icd10_code", ICD10_GROUP_RULES).alias("cvd_group"),
+        classify("icd10_code", rules).alias("cvd_group"),
     )
-    return _finish_deaths(coded.distinct(), area_names, lookups)
+    rows = coded.distinct().withColumn("cvd_group", label_of("cvd_group", labels))
+    return _finish_deaths(rows, area_names, lookups)
 
 
 def add_broad_ethnicity(df: DataFrame) -> DataFrame:

@@ -202,6 +202,33 @@ def test_causes(spark):
     ]
 
 
+def test_distinct_in_row_keeps_the_group_of_the_full_code(spark):
+    import itertools
+    import random
+    import re
+
+    from test_functions import PATTERNS
+
+    from popmeasure.plans.prepare import all_cause_deaths
+
+    pool = ["I20", "I20I50", "I201", "I99", "I99I51", "I99I52", "I60", "I60I50", "II50", "I5", "I50", "I501", "I512"]
+    pool += ["I55I50", "I55", "J20", "JI50", "NULL", "I4", None, "I291", "I29", "I31I51"]
+    rng = random.Random(1)
+    data = [(i, *rng.sample(pool, 4)) for i in range(300)]
+    data += [(1000 + i, a, b, None, None) for i, (a, b) in enumerate(itertools.product(pool, pool))]
+    df = spark.createDataFrame(data, "id int, a_cod_1 string, a_cod_2 string, a_cod_3 string, a_cod_4 string")
+    want = {
+        (row[0], c[:3], next((label for p, label in PATTERNS if re.search(p, c)), None))
+        for row in data
+        for c in row[1:]
+        if c and c.startswith("I") and len(c) >= 3
+    }
+    got = rows(distinct_causes_in_row(df, df.columns[1:]))
+    assert len(got) == len(want) and set(got) == want
+    both = all_cause_deaths(df.withColumns({"sex": F.lit(1), "age": F.lit(1)}), person=("id", "sex", "age"))
+    assert rows(both.select("id", "icd_subgroup", "cvd_group")) == got
+
+
 def test_distinct_in_row_needs_no_shuffle(spark):
     df = spark.createDataFrame([(1, "I20", "I21")], "id int, a_cod_1 string, a_cod_2 string")
     assert "Exchange" not in plan(distinct_causes_in_row(df, ["a_cod_1", "a_cod_2"]))

@@ -6,6 +6,8 @@ plans the same result.
 
 from __future__ import annotations
 
+from catalog import nullable
+
 ORACLES: dict[str, str] = {}
 
 START, END = "1996-01-01", "2000-12-31"
@@ -241,6 +243,10 @@ STDPOP = (
 
 
 def add(name: str, ctes: str, body: str) -> None:
+    casts = [f"CAST({c} AS DOUBLE) AS {c}" for c in nullable.NUMBERS.get(name, [])]
+    casts += [f"CAST({c} AS VARCHAR) AS {c}" for c in nullable.FLAGS.get(name, [])]
+    if casts:
+        body = f"SELECT * REPLACE ({', '.join(casts)}) FROM (\n{body}\n)"
     ORACLES[name] = f"WITH {ctes}\n{body}" if ctes else body
 
 

@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from catalog import nullable
 from popmeasure.functions import (
     age_group,
     after_first,
@@ -71,24 +72,27 @@ CLINICAL, ICD10 = death_plans.CLINICAL, death_plans.ICD10
 ETHNIC_LEVELS = ["Asian", "Black", "Mixed ", "Other", "Unknown", "White "]
 
 
+def register(name: str, fn: Query) -> None:
+    QUERIES[name] = lambda spark, sf_dir: comparable(name, fn(spark, sf_dir))
+
+
 def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = lambda spark, sf_dir: rounded(fn(spark, sf_dir))
+    register(fn.__name__, fn)
     return fn
 
 
-def register(name: str, fn: Query) -> None:
-    QUERIES[name] = lambda spark, sf_dir: rounded(fn(spark, sf_dir))
+def comparable(name: str, df: DataFrame, digits: int = 6) -> DataFrame:
+    """The result with rounded doubles, dates as text, and the columns of `nullable` cast."""
 
+    def column(n: str, t: str) -> F.Column:
+        c = F.col(f"`{n}`")
+        if t == "double":
+            return F.round(c, digits).alias(n)
+        if t == "date" or n in nullable.FLAGS.get(name, []):
+            return c.cast("string").alias(n)
+        return c.cast("double").alias(n) if n in nullable.NUMBERS.get(name, []) else c
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(
-        *[
-            F.round(F.col(f"`{n}`"), digits).alias(n)
-            if t == "double"
-            else (F.col(f"`{n}`").cast("string").alias(n) if t == "date" else F.col(f"`{n}`"))
-            for n, t in df.dtypes
-        ]
-    )
+    return df.select(*[column(n, t) for n, t in df.dtypes])
 
 
 # --- study bases -----------------------------------------------------------------------------------------------

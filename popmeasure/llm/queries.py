@@ -5,15 +5,54 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from popmeasure.llm import decontaminate
-from popmeasure.llm.common import table
+from popmeasure.llm import decontaminate, language, simhash, toxicity
+from popmeasure.llm.common import remainder, ship, table
+
+
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_fingerprint("fp").alias("fingerprint"), "component_id")
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.filter(remainder("doc_id", 5) != 0))
+    scored = docs.select("doc_id", toxicity.probability_column(model, "text").alias("score"))
+    held_out = (remainder("doc_id", 5) == 0).alias("held_out")
+    return scored.select("doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.train(docs.filter(remainder("doc_id", 4) != 2))
+    held_out = (remainder("doc_id", 4) == 2).alias("held_out")
+    found = docs.select("doc_id", held_out, language.language_column(model, F.col("text")).alias("found"))
+    return found.select("doc_id", "held_out", "found.*")
+
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _shipped(query: Query) -> Query:
+    """The query, with this package given to the Python workers first."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+QUERIES: dict[str, Query] = {
+    "op2_simhash_near_dedup": _shipped(op2),
     "op4_benchmark_decontamination": op4,
+    "op6_toxicity": _shipped(op6),
+    "op7_language_id": _shipped(op7),
 }

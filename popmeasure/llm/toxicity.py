@@ -223,15 +223,16 @@ def farthest_first(tokens: list[str], count: int, length: int, decay: float) ->
 
 
 def fit_curve(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic curve, classes weighted equally, by gradient steps of Newton's kind."""
-    target = np.where(label == 1, 0.999, 0.001)
-    weight = np.where(label == 1, 0.5 / max((label == 1).sum(), 1), 0.5 / max((label == 0).sum(), 1))
+    """Slope and offset of a logistic curve through (margin, 0 or 1), by damped Newton steps."""
+    target = np.where(label == 1, 0.99, 0.01)
     z, w = np.stack([margin, np.ones_like(margin)], axis=1), np.array([1.0, 0.0])
-    for _ in range(50):
+    ridge = 1e-3 * np.eye(2)
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        grad = z.T @ (weight * (p - target)) + 1e-4 * w
-        hess = (z * (weight * p * (1 - p))[:, None]).T @ z + 1e-4 * np.eye(2)
-        w = w - np.linalg.solve(hess, grad)
+        grad = z.T @ (p - target) + ridge @ w
+        hess = (z * (p * (1 - p))[:, None]).T @ z + ridge
+        move = np.linalg.solve(hess, grad)
+        w = w - move / max(1.0, np.abs(move).max() / 2)
     return float(w[0]), float(w[1])
 
 
@@ -296,7 +297,7 @@ def train(
     max_labelled: int = 10_000,
     max_tokens: int = 2_000,
     n_landmarks: int = 64,
-    rounds: int = 3,
+    rounds: int = 4,
     length: int = 3,
     decay: float = 0.6,
 ) -> SubsequenceSVM | None:
@@ -322,38 +323,45 @@ def train(
         return None
     plain = counts.filter((F.col("clean") > 0) & (F.col("toxic") <= both * (0.5 + share / 2)))
     only_toxic = counts.filter((F.col("clean") == 0) & (F.col("toxic") > 1))
+    seen = {r["token"]: r["toxic"] for r in ranked.collect()}
+    positives = {t: seen[t] for t in positive}
     chosen = plain.orderBy(F.xxhash64("token"), "token").limit(2 * max_tokens)
-    negative = [r["token"] for r in chosen.collect()]
-    model = None
+    negatives = {r["token"]: r["clean"] for r in chosen.collect()}
+    hard: list[str] = []
     for k in range(rounds):
-        landmarks = farthest_first(positive, n_landmarks, length, decay)
+        landmarks = farthest_first(list(positives), n_landmarks, length, decay)
+        landmarks += [t for t in hard[:n_landmarks] if t not in set(landmarks)]
         features = Features(landmarks, length, decay)
-        gram = features.table.T @ features.table
-        values, vectors = np.linalg.eigh(gram)
+        values, vectors = np.linalg.eigh(features.table.T @ features.table)
         whitening = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
-        x = features.sums(positive + negative, features.table) @ whitening
-        y = np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
-        weight = np.where(y > 0, len(negative) / len(positive) / 2, 1.0)
-        weights, bias = fit_linear_svm(x, y, weight)
+        x = features.sums([*positives, *negatives], features.table) @ whitening
+        y = np.concatenate([np.ones(len(positives)), -np.ones(len(negatives))])
+        # a token weighs as the root of the number of documents it is in, the positive ones half as much in all
+        up, down = np.sqrt([*positives.values()]), np.sqrt([*negatives.values()])
+        weight = np.concatenate([up / up.sum() * down.sum() / 2, down])
+        weights, bias = fit_linear_svm(x, y, weight / weight.mean())
         model = SubsequenceSVM(features, whitening, weights, bias, length=length)
         if k + 1 < rounds:
-            known = set(negative) | set(positive)
-            negative += [t for t in _highest(plain, model, -0.9, max_tokens) if t not in known]
-            positive += [t for t in _highest(only_toxic, model, 0.0, max_tokens) if t not in known]
+            near = _highest(plain, model, -0.9, max_tokens)
+            hard = [t for t, _, _ in sorted(near, key=lambda r: (-(1 + r[1]) * np.log1p(r[2]), r[0]))]
+            negatives.update({t: n for t, _, n in near if t not in positives})
+            alike = _highest(only_toxic.withColumn("clean", F.col("toxic")), model, 0.0, max_tokens)
+            positives.update({t: n for t, _, n in alike if t not in negatives})
     pairs = _document_margins(sample, model)
     model.slope, model.offset = fit_curve(pairs[:, 0], pairs[:, 1])
     return model
 
 
-def _highest(tokens: DataFrame, model: SubsequenceSVM, over: float, most: int) -> list[str]:
-    """The tokens with the highest margins above `over`."""
+def _highest(tokens: DataFrame, model: SubsequenceSVM, over: float, most: int) -> list[tuple[str, float, int]]:
+    """(token, margin, number of documents) of the tokens with the highest margins above `over`."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame({"token": frame["token"], "m": model.margins(frame["token"].tolist())})
+            yield frame.assign(m=model.margins(frame["token"].tolist()))
 
-    scored = tokens.select("token").mapInPandas(run, "token string, m double").filter(F.col("m") > over)
-    return [r["token"] for r in scored.orderBy(F.desc("m"), "token").limit(most).collect()]
+    scored = tokens.select("token", "clean").mapInPandas(run, "token string, clean long, m double")
+    rows = scored.filter(F.col("m") > over).orderBy(F.desc("m"), "token").limit(most).collect()
+    return [(r["token"], r["m"], r["clean"]) for r in rows]
 
 
 def _document_margins(sample: DataFrame, model: SubsequenceSVM) -> np.ndarray:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from popmeasure.llm import decontaminate, language, simhash, toxicity
+from popmeasure.llm import decontaminate, language, pieces, simhash, toxicity
 from popmeasure.llm.common import remainder, ship, table
 
 
@@ -37,6 +37,22 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "found.*")
 
 
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op9(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    model = pieces.Pieces.load(vocabulary)
+    encoded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    whole = F.coalesce("text", F.lit(""))
+    return encoded.select(
+        "doc_id",
+        F.length(whole).cast("long").alias("n_chars"),
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.xxhash64("ids").alias("ids_hash"),
+        (pieces.text_column(model, F.col("ids")) == whole).alias("round_trip"),
+    )
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -55,4 +71,5 @@ QUERIES: dict[str, Query] = {
     "op4_benchmark_decontamination": op4,
     "op6_toxicity": _shipped(op6),
     "op7_language_id": _shipped(op7),
+    "op9_sentencepiece": _shipped(op9),
 }

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from popmeasure.llm.common import written
+from popmeasure.llm.common import free, written
 from popmeasure.llm.components import components
 from popmeasure.llm.words import spaced_words, texts
 
@@ -142,10 +142,18 @@ def hex_fingerprint(fp: Column | str) -> Column:
 
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """One document of each component: the row with the smallest id. Rows without an id stay."""
-    kept = near_duplicates(docs, id_column, text, **options).select(
-        F.col(id_column).alias("__id"), F.col("component_id").alias("__component")
-    )
-    gone = kept.filter(F.col("__id") != F.col("__component")).select("__id").distinct()
-    rows = docs.join(gone, docs[id_column] == F.col("__id"), "left_anti")
-    return rows
+    """One document of each component: the row with the smallest id. Rows without an id stay.
+
+    The rows that go are found on (id, fingerprint) alone; the documents meet only their ids. Where an id and its text
+    are repeated, one of these rows stays.
+    """
+    own, component = free(docs, "own", "component")
+    found = near_duplicates(docs, id_column, text, **options)
+    classes = written(found.select(F.col(id_column).alias(own), "fp", F.col("component_id").alias(component)))
+    gone = classes.filter(F.col(own) != F.col(component)).select(own).distinct()
+    rows = docs.join(gone, docs[id_column] == F.col(own), "left_anti")
+    repeats = classes.filter(F.col(own).isNotNull()).groupBy(own, "fp").count().filter("count > 1")
+    if repeats.isEmpty():
+        return rows
+    named = rows.filter(F.col(id_column).isNotNull()).dropDuplicates([id_column, text])
+    return named.unionByName(rows.filter(F.col(id_column).isNull()))

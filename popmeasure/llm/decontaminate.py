@@ -182,7 +182,11 @@ def covered(hits: Column | str) -> Column:
 def remove_documents(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """Documents without a hit, with the columns they had."""
     scanned, _, hits = scan(docs, items, **options)
-    return scanned.filter(F.size(hits) == 0).select(*docs.columns)
+    # the optimiser would push the filter below the steps above and write them into each other, so that every element
+    # computed the hashes anew; a column that it must not move keeps the filter where it is
+    (place,) = free(scanned, "place")
+    fixed = scanned.withColumn(place, F.monotonically_increasing_id())
+    return fixed.filter((F.size(hits) == 0) & (F.col(place) >= 0)).select(*docs.columns)
 
 
 def remove_spans(docs: DataFrame, items: DataFrame, text: str = "text", **options) -> DataFrame:

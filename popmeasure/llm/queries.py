@@ -7,10 +7,50 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from popmeasure.llm import decontaminate, language, pieces, simhash, toxicity
+from popmeasure.llm import (
+    decontaminate,
+    language,
+    licences,
+    neighbours,
+    pieces,
+    pitman_yor,
+    quality,
+    simhash,
+    toxicity,
+    url_filter,
+)
 from popmeasure.llm.common import remainder, ship, table
 
 
+RULES = (
+    url_filter.Rule("block", "net/"),
+    url_filter.Rule("allow", "example.net/en/"),
+    url_filter.Rule("block", "example.com/de/"),
+    url_filter.Rule("allow", "org/fr/"),
+)
+
+
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge(pages, RULES).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.nearest(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
+
+
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").filter(remainder("doc_id", 3) != 1)
+    scored = quality.classify(table(spark, sf_dir, "documents").select("doc_id", "text"), labels)
+    held_out = (remainder("doc_id", 3) == 1).alias("held_out")
+    return scored.select("doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("blocks")
+
+
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_fingerprint("fp").alias("fingerprint"), "component_id")
@@ -53,6 +93,12 @@ def op9(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataF
     )
 
 
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = pitman_yor.score(docs, remainder("doc_id", 5) != 1)
+    return scored.withColumn("held_out", ~F.col("train")).drop("train")
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -67,9 +113,14 @@ def _shipped(query: Query) -> Query:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_url_filter": op1,
     "op2_simhash_near_dedup": _shipped(op2),
+    "op3_nearest_vectors": _shipped(op3),
     "op4_benchmark_decontamination": op4,
+    "op5_quality": _shipped(op5),
     "op6_toxicity": _shipped(op6),
     "op7_language_id": _shipped(op7),
+    "op8_licences": _shipped(op8),
     "op9_sentencepiece": _shipped(op9),
+    "op10_language_model": _shipped(op10),
 }

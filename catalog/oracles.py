@@ -91,7 +91,9 @@ PERSON = f"""person AS (
   FROM orders JOIN customer ON o_custkey = c_custkey)"""
 
 REGISTER = PERSON + f""", register AS (
-  SELECT CAST(person_id AS VARCHAR) AS patient_id, CAST(person_id % 3 AS INTEGER) AS sex, age, lsoa,
+  SELECT CASE WHEN person_id % 53 <> 0 THEN CAST(person_id AS VARCHAR) END AS patient_id,
+    CAST(person_id % 3 AS INTEGER) AS sex, 'M' || CAST(episode_id // 2 % 2 AS VARCHAR) AS marital_status,
+    'P' || CAST(episode_id // 4 % 2 AS VARCHAR) AS place_of_death_code, age, lsoa,
     la_code AS residence_la_code, ethnic_code, event_date AS reg_date, 1 + episode_id % 3 AS deaths_weight,
     episode_id AS record_id, {", ".join(f"{cause(k)} AS {c}" for k, c in enumerate(CAUSES))}
   FROM (SELECT *, {code_blocks("episode_id")} AS codes FROM person))"""
@@ -145,7 +147,9 @@ DEATHS = (
   SELECT *, substr(icd10_code, 1, 3) AS icd_subgroup, {icd_group("icd10_code")} AS cvd_group
   FROM long WHERE length(icd10_code) >= 3 AND icd10_code LIKE 'I%'),
 deduplicated AS (
-  SELECT DISTINCT patient_id, sex, age, lsoa, residence_la_code, ethnic_code, icd_subgroup, cvd_group FROM coded),
+  -- every column of the extract but the causes; deaths without a person are never the same
+  SELECT DISTINCT patient_id, CASE WHEN patient_id IS NULL THEN record_id END AS unlinked, sex, marital_status,
+    place_of_death_code, age, lsoa, residence_la_code, ethnic_code, icd_subgroup, cvd_group FROM coded),
 underlying AS (
   SELECT patient_id, sex, age, lsoa, residence_la_code, ethnic_code, icd_subgroup, cvd_group
   FROM coded WHERE cause_number = 's_underlying_cod_icd10')"""
@@ -649,12 +653,14 @@ FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1""",
 TOTALS = "count(*) AS total_admissions, count(*) FILTER (WHERE emergency) AS emergency_admissions"
 
 
+def score_root(sign: str, p: str, n: str, z: str) -> str:
+    """The score interval solves n (p - t)^2 = z^2 t (1 - t), that is (n + z^2) t^2 - (2 n p + z^2) t + n p^2 = 0."""
+    a, b, c = f"({n}::DOUBLE + {z}^2)", f"(2 * {n}::DOUBLE * {p} + {z}^2)", f"({n}::DOUBLE * {p}^2)"
+    return f"(({b} {sign} sqrt({b}^2 - 4 * {a} * {c})) / (2 * {a}))"
+
+
 def limit(sign: str) -> str:
-    n, p = "total_admissions", "p"
-    return (
-        f"100 * ({p} + {Z}^2 / (2 * {n}) {sign} {Z} * sqrt(({p} * (1 - {p}) / {n}) + {Z}^2 / (4 * {n}::DOUBLE^2)))"
-        f" / (1 + {Z}^2 / {n})"
-    )
+    return "100 * " + score_root(sign, "p", "total_admissions", str(Z))
 
 
 def wilson(cells: str, keys: str, extra: str = "") -> str:
@@ -868,9 +874,7 @@ for axis, name in (("ethnicity", "matrix_margin_ethnicity"), ("imd_quintile", "m
         name,
         MATRIX,
         f"""SELECT {axis}, CAST(n AS BIGINT) AS total_admissions, round_even(100 * p, 1) AS percentage,
-  round_even(100 * (((p + 1.64485^2 / (2 * n) + 1.64485 * sqrt((p * (1 - p) / n) + 1.64485^2 / (4 * n * n)))
-    / (1 + 1.64485^2 / n) - p) + (p - (p + 1.64485^2 / (2 * n) - 1.64485 * sqrt((p * (1 - p) / n)
-    + 1.64485^2 / (4 * n * n))) / (1 + 1.64485^2 / n))) / 2, 1) AS half_width
+  round_even(50 * ({score_root("+", "p", "n", "1.64485")} - {score_root("-", "p", "n", "1.64485")}), 1) AS half_width
 FROM (SELECT {axis}, sum(total_admissions)::DOUBLE AS n, sum(emergency_admissions)::DOUBLE / sum(total_admissions) AS p
   FROM cells GROUP BY 1)""",
     )

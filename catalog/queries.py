@@ -117,8 +117,8 @@ def primary(spark: SparkSession, d: str, *wanted: str) -> DataFrame:
 
 
 def all_cause(spark: SparkSession, d: str, *wanted: str) -> DataFrame:
-    register_ = b.deaths_register(spark, d).drop("deaths_weight", "record_id", "reg_date")
-    return all_cause_deaths(register_, b.AREA_NAMES, **deaths_lookups(spark, d, *wanted))
+    register_ = b.deaths_register(spark, d).drop("deaths_weight", "reg_date")
+    return all_cause_deaths(register_, b.AREA_NAMES, record="record_id", **deaths_lookups(spark, d, *wanted))
 
 
 def cvd_only(df: DataFrame) -> DataFrame:
@@ -210,19 +210,21 @@ def latest_ethnicity(spark, d):
     return latest_per_key(usable, "pseudo_nhs_number", ["recorded", "record_id"])
 
 
+PLACE = ("marital_status", "place_of_death_code")
+
+
 @query
 def extract_deaths_rows(spark, d):
     people = b.ethnicity_by_customer(spark, d)
-    return extract_deaths(
-        b.deaths_register(spark, d).drop("ethnic_code", "deaths_weight"), people, b.AREA_CODES, START, END
-    )
+    register_ = b.deaths_register(spark, d).drop("ethnic_code", "deaths_weight", *PLACE)
+    return extract_deaths(register_, people, b.AREA_CODES, START, END, salts=8, salt_by=["record_id"])
 
 
 @query
 def death_cohort_rows(spark, d):
     people = b.ethnicity_by_customer(spark, d)
-    register_ = b.deaths_register(spark, d).drop("ethnic_code", "deaths_weight")
-    return death_plans.death_cohort(register_, people, b.AREA_CODES, START, END)
+    register_ = b.deaths_register(spark, d).drop("ethnic_code", "deaths_weight", *PLACE)
+    return death_plans.death_cohort(register_, people, b.AREA_CODES, START, END, salts=8, salt_by=["record_id"])
 
 
 @query

@@ -21,7 +21,10 @@ def matrix_cells(df: DataFrame, row: str, column: str, num: str, den: str) -> Da
     return out.withColumn("percentage", percentage(num, den))
 
 
-def matrix_wide(cells: DataFrame, row: str, column: str, value: str, levels: Sequence) -> DataFrame:
+def matrix_wide(
+    cells: DataFrame, row: str, column: str, value: str, levels: Sequence | None = None
+) -> DataFrame:
+    """Cells as a table; a category without a level is an error, without levels each category has a column."""
     return to_wide(cells, row, column, value, levels)
 
 

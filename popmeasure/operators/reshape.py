@@ -71,14 +71,23 @@ def distinct_causes_in_row(
 
     rules, labels = numbered(ICD10_GROUP_RULES)
 
-    def entry(code: Column) -> Column:
-        return F.struct(
-            code_prefix(code, 3, strict=True).alias("icd_subgroup"), classify(code, rules).alias("cvd_group")
-        )
-
-    found = F.array_distinct(F.transform(codes_in_row(causes, prefix, missing), entry))
-    rows = df.select(*[c for c in df.columns if c not in causes], F.inline(found))
-    return rows.filter(F.col("icd_subgroup").isNotNull()).withColumn("cvd_group", label_of("cvd_group", labels))
+    def entry(c: str) -> Column:
+        """Subgroup and number of the group as one text, so that the row's array is compared in generated code."""
+        code = F.col(c)
+        wanted = F.startswith(code, F.lit(prefix)) & (F.length(code) >= 3)
+        wanted = wanted if missing is None else wanted & (code != missing)
+        group = F.coalesce(classify(code, rules), F.lit(len(labels)))
+        return F.when(wanted, F.concat(code_prefix(code), F.lpad(group.cast("string"), 3, "0")))
+
+    found = F.array_distinct(F.array(*[entry(c) for c in causes]))
+    rows = df.select(*[c for c in df.columns if c not in causes], F.explode(found).alias("__entry"))
+    rows = rows.filter(F.col("__entry").isNotNull()).withColumns(
+        {
+            "icd_subgroup": F.substring("__entry", 1, 3),
+            "cvd_group": label_of(F.substring("__entry", 4, 3).cast("int"), labels),
+        }
+    )
+    return rows.drop("__entry")
 
 
 def unpivot_measures(
@@ -94,6 +103,20 @@ def recode(df: DataFrame, column: str, mapping: Mapping) -> DataFrame:
     return df.withColumn(column, relabel(column, mapping, keep_other=True))
 
 
-def to_wide(df: DataFrame, row: str, column: str, value: str, levels: Sequence) -> DataFrame:
-    """One row per `row` value and one column per level; a missing cell is null. The levels are given, not collected."""
-    return df.groupBy(row).pivot(column, list(levels)).agg(F.avg(value))
+def to_wide(
+    df: DataFrame, row: str, column: str, value: str, levels: Sequence | None = None, max_levels: int = 1000
+) -> DataFrame:
+    """One row per `row` value and one column per level; a missing cell is null.
+
+    A category that is not among the given levels is an error when the result is computed: it would be lost without a
+    word. Without levels every category gets a column, in order; that reads the categories once, `max_levels` at most.
+    """
+    if levels is None:
+        found = df.select(column).dropna().distinct().limit(max_levels + 1).collect()
+        if len(found) > max_levels:
+            raise ValueError(f"over {max_levels} categories in {column}")
+        return df.groupBy(row).pivot(column, sorted(r[0] for r in found)).agg(F.avg(value))
+    unlisted = F.concat(F.lit(f"category of {column} without a column: "), F.col(column).cast("string"))
+    known = F.col(column).isNull() | F.col(column).isin(list(levels))
+    checked = F.when(known, F.col(value).cast("double")).otherwise(F.raise_error(unlisted).cast("double"))
+    return df.withColumn(value, checked).groupBy(row).pivot(column, list(levels)).agg(F.avg(value))

@@ -78,22 +78,25 @@ def dsr(
     multiplier: float = 100000.0,
     z: float = Z95,
     min_count: float = 10,
+    fill_missing_count: bool = True,
 ) -> DataFrame:
     """Rate, limits and totals per group from one row per group and age band.
 
-    A row without band or population takes no part; `rate_gaps` lists such rows. A zero population makes the rate
-    null. `stdpop` has the columns age_band and standard_population.
+    A row without band or population takes no part; `rate_gaps` lists such rows. A missing count is zero, or, with
+    `fill_missing_count` off, its row takes no part either. A zero population makes the rate null. `stdpop` has the columns age_band and standard_population.
     """
     weights = standard_population(df.sparkSession) if stdpop is None else stdpop
     weights = weights.select(F.col("age_band").alias("__band"), F.col("standard_population").alias("__w"))
-    count, people = F.coalesce(F.col(x), F.lit(0.0)), F.col(n).cast("double")
+    count = F.coalesce(F.col(x), F.lit(0.0)) if fill_missing_count else F.col(x)
+    people = F.col(n).cast("double")
+    taken = F.col("__w").isNotNull() & F.col(n).isNotNull() & count.isNotNull()
     weighted = F.try_divide(F.col("__w"), people)
     sums = (
         df.join(weights, F.col(band) == F.col("__band"), "left")
         .groupBy(*group_keys)
         .agg(
             *[
-                F.sum(F.when(F.col("__w").isNotNull() & F.col(n).isNotNull(), value)).alias(name)
+                F.sum(F.when(taken, value)).alias(name)
                 for name, value in {
                     "total_count": count,
                     "total_pop": F.col(n),
@@ -118,6 +121,7 @@ def dsr(
         F.when(shown, value + scale * (byar_upper(total, z) - total)).alias("uppercl"),
         F.lit("95%" if z == Z95 else f"z = {z}").alias("confidence"),
         F.when(total < min_count, f"dsr NA for total count < {min_count:g}")
+        .when(F.col("__empty") > 0, "dsr NA for zero population")
         .otherwise(f"dsr per {multiplier:.0f}")
         .alias("statistic"),
         F.lit("Dobson").alias("method"),

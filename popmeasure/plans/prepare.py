@@ -52,8 +52,9 @@ def add_lookups(
     titles: DataFrame | None = None,
     methods: DataFrame | None = None,
     code: str = "icd_subgroup",
+    require_unique: bool = False,
 ) -> DataFrame:
-    """Join the lookups that are given.
+    """Join the lookups that are given. With `require_unique` a lookup that holds a key twice is an error.
 
     lsoa       (lookup, column of `df` with the area code): locality, imd_decile, imd_quintile
     ethnicity  ethnicity coding: adds `ethnicity`; `unknown_ethnicity` replaces a missing one unless it is None
@@ -63,18 +64,19 @@ def add_lookups(
     """
     if lsoa is not None:
         lookup, column = lsoa
-        df = enrich(df, lookup, {column: "lsoa"})
+        df = enrich(df, lookup, {column: "lsoa"}, require_unique=require_unique)
     if ethnicity is not None:
         coding = ethnicity.withColumnRenamed("national_code_definition", "ethnicity")
-        df = enrich(df, coding, {"ethnic_code": "national_code"})
+        df = enrich(df, coding, {"ethnic_code": "national_code"}, require_unique=require_unique)
         if unknown_ethnicity is not None:
             df = df.withColumn("ethnicity", fill_null("ethnicity", unknown_ethnicity))
     if clinical is not None:
-        df = enrich(df, clinical.select("code", "clinical_group", "clinical_subgroup"), {code: "code"})
+        groups = clinical.select("code", "clinical_group", "clinical_subgroup")
+        df = enrich(df, groups, {code: "code"}, require_unique=require_unique)
     if titles is not None:
-        df = enrich(df, titles, {code: "icd_subgroup"})
+        df = enrich(df, titles, {code: "icd_subgroup"}, require_unique=require_unique)
     if methods is not None:
-        df = enrich(df, methods, "admission_method_description")
+        df = enrich(df, methods, "admission_method_description", require_unique=require_unique)
         df = df.withColumn("emergency", F.col("admission_group") == "Emergency")
     return df
 
@@ -122,34 +124,41 @@ def primary_deaths(
 def all_cause_deaths(
     register: DataFrame,
     area_names: Mapping[str, str] | None = None,
-    person: tuple[str, ...] = PERSON_COLUMNS,
+    person: tuple[str, ...] | None = None,
     prefix: str = "I",
     causes: str = "_cod_",
     one_record_per_person: bool = False,
+    record: str | None = None,
+    person_id: str = "patient_id",
     **lookups,
 ) -> DataFrame:
     """One row per person and distinct three-character cause under `prefix`.
 
-    `person` lists the columns that tell people apart and that later measures need; identical rows are one person.
-    Repeated codes of a record are removed within its row, the rest by one distinct over these few columns, before the
-    lookups. Lookup keys must be unique for the result to equal de-duplication after them (`enrich.duplicate_keys`
-    checks that).
+    Rows that agree in every column of `person` are one person; by default these are all columns of the register that
+    hold no cause. With `record`, the name of a record id, deaths without a `person_id` are told apart by it and never
+    merged; it is no part of the identity otherwise. Repeated codes of a record are removed within its row, the rest by
+    one distinct before the lookups. The lookups must hold each key once, else the result would not equal
+    de-duplication after them: a lookup with a repeated key is an error.
 
     With `one_record_per_person` every record is a person of its own and nothing is shuffled.
     """
     cause_columns = columns_containing(register, causes)
+    if person is None:
+        person = tuple(c for c in register.columns if c not in cause_columns and c != record)
     if one_record_per_person:
         rows = distinct_causes_in_row(register.select(*person, *cause_columns), cause_columns, prefix)
         return _finish_deaths(rows, area_names, lookups)
     rules, labels = numbered(ICD10_GROUP_RULES)
-    long = register.select(*person, F.explode(codes_in_row(cause_columns, prefix)).alias("icd10_code"))
+    unlinked = F.lit(None) if record is None else F.when(F.col(person_id).isNull(), F.col(record))
+    long = register.select(*person, unlinked.alias("__unlinked"), F.explode(codes_in_row(cause_columns, prefix)).alias("icd10_code"))
     coded = long.filter(F.col("icd10_code").isNotNull()).select(
         *person,
+        "__unlinked",
         code_prefix("icd10_code", strict=True).alias("icd_subgroup"),
         classify("icd10_code", rules).alias("cvd_group"),
     )
-    rows = coded.distinct().withColumn("cvd_group", label_of("cvd_group", labels))
-    return _finish_deaths(rows, area_names, lookups)
+    rows = coded.distinct().drop("__unlinked").withColumn("cvd_group", label_of("cvd_group", labels))
+    return _finish_deaths(rows, area_names, {**lookups, "require_unique": True})
 
 
 def add_broad_ethnicity(df: DataFrame) -> DataFrame:

@@ -80,10 +80,16 @@ def sex_ethnicity_rate(
     return dsr(regroup(merge_small(cells, merged or {}), [*keys, "age_band"]), keys)
 
 
-def deprivation_rate(events: DataFrame, census: DataFrame, years: float, level: str, levels: int) -> DataFrame:
-    """By deprivation decile or quintile, an ordered category 1..levels."""
-    cells = rate_inputs(events, census, [level, "age_band"], years)
-    return dsr(cells.withColumn(level, in_levels(level, 1, levels)), [level])
+def deprivation_rate(
+    events: DataFrame, census: DataFrame, years: float, level: str, levels: int, fill_missing_count: bool = True
+) -> DataFrame:
+    """By deprivation decile or quintile, an ordered category 1..levels.
+
+    With `fill_missing_count` off, an age band without events takes no part instead of counting as zero.
+    """
+    cells = rate_inputs(events, census, [level, "age_band"], years, fill_missing_count=fill_missing_count)
+    cells = cells.withColumn(level, in_levels(level, 1, levels))
+    return dsr(cells, [level], fill_missing_count=fill_missing_count)
 
 
 def known_gender(df: DataFrame, column: str = "gender", out: str = "sex") -> DataFrame:

@@ -8,11 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from popmeasure.sources.constants import CENSUS_ETHNICITY
 from popmeasure.sources.schemas import CAUSE_COLUMNS
-from popmeasure.sources.tables import inline_table
+from popmeasure.sources.tables import inline_table, load_table
 
 AREA_CODES = ["E08000025", "E08000029"]
 AREA_NAMES = {"E08000025": "Area A", "E08000029": "Area B"}
@@ -47,15 +46,9 @@ ADMISSION_METHODS = [
 ]
 
 
-_SCHEMAS: dict[str, StructType] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Scan a test table. Its schema is read from the files once; later scans do not open the footers again."""
-    path = f"{sf_dir}/{name}.parquet"
-    if path not in _SCHEMAS:
-        _SCHEMAS[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+    """Scan a test table with the schema that its files have now."""
+    return load_table(spark, f"{sf_dir}/{name}.parquet")
 
 
 def _two_digits(number: str) -> str:
@@ -119,8 +112,10 @@ def _cause(k: int) -> str:
 def deaths_register(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Death register: one row per order, sixteen cause columns, the text NULL and short codes among them."""
     return _person(spark, sf_dir).selectExpr("*", f"{_code_blocks('episode_id')} AS codes").selectExpr(
-        "cast(person_id AS string) AS patient_id",
+        "CASE WHEN person_id % 53 != 0 THEN cast(person_id AS string) END AS patient_id",
         "cast(person_id % 3 AS int) AS sex",
+        "'M' || cast(episode_id div 2 % 2 AS string) AS marital_status",
+        "'P' || cast(episode_id div 4 % 2 AS string) AS place_of_death_code",
         "age",
         "lsoa",
         "la_code AS residence_la_code",

@@ -21,6 +21,7 @@ NUMBERS = {
     **{f"deaths_by_age_{s}_{g}": ["age_group_ord"] for s in ("primary", "all_cause") for g in ("clinical", "icd10")},
     **{f"dsr_imd_{q}_{o}": [f"imd_{q}", "total_pop"] for q in ("decile", "quintile") for o in ("admissions", "deaths")},
     **{f"dsr_{s}_{o}": ["total_pop"] for s in ("ethnicity", "sex_ethnicity") for o in ("admissions", "deaths")},
+    "dsr_zero_population": ["imd_decile", "total_pop"],
     **{f"deaths_vs_hosp_long_{g}": ["deaths", "total_deaths"] for g in ("clinical", "icd10")},
 }
 FLAGS = {"quality_flag_counts": ["emergency"]}

@@ -496,6 +496,27 @@ FROM (SELECT age, count(*) / 10.0::DOUBLE AS n FROM person GROUP BY age) a
 FULL JOIN (SELECT CAST(age_code AS INTEGER) AS age_code, CAST(sum(observation) AS BIGINT) AS population_count
   FROM census GROUP BY 1) p ON a.age IS NOT DISTINCT FROM p.age_code""",
 )
+MULTI_CAUSE = LONG + f""", sources AS (
+  SELECT DISTINCT record_id, residence_la_code, sex, substr(icd10_code, 1, 3) AS icd_subgroup,
+    {icd_group("icd10_code")} AS cvd_group
+  FROM long WHERE (record_id % 2 = 0 OR residence_la_code = 'E08000025') AND icd10_code LIKE 'I%'
+    AND length(icd10_code) >= 3 AND cause_number IN ({", ".join(f"'{c}'" for c in CAUSES[:8])}))"""
+add(
+    "deaths_multi_cause_by_area",
+    MULTI_CAUSE,
+    "SELECT residence_la_code, icd_subgroup, cvd_group, count(*) AS n FROM sources GROUP BY 1, 2, 3",
+)
+add("deaths_multi_cause_by_sex", MULTI_CAUSE, "SELECT sex, cvd_group, count(*) AS n FROM sources GROUP BY 1, 2")
+SPARK_TYPE = """CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string'
+  WHEN 'DOUBLE' THEN 'double' WHEN 'DATE' THEN 'date' WHEN 'TIMESTAMP' THEN 'timestamp_ntz'
+  ELSE replace(lower(column_type), ' ', '') END"""
+add(
+    "schema_difference",
+    "",
+    f"""SELECT coalesce(a.column_name, b.column_name) AS column_name, a.kind AS first_type, b.kind AS second_type
+FROM (SELECT column_name, {SPARK_TYPE} AS kind FROM (DESCRIBE orders)) a
+FULL JOIN (SELECT column_name, {SPARK_TYPE} AS kind FROM (DESCRIBE customer)) b USING (column_name)""",
+)
 add("row_id_uniqueness", "", 'SELECT count(*) AS ids, count(*) AS "rows" FROM orders')
 
 # --- deaths and years of life lost --------------------------------------------------------------------------------------
@@ -776,23 +797,25 @@ def strata(keys: list[str], event_filter: str = "", census_filter: str = "", fil
     )
 
 
-def rate(cells: str, keys: list[str]) -> str:
+def rate(cells: str, keys: list[str], counted: str = "") -> str:
     lead = "".join(f"{k}, " for k in keys)
     group = f"GROUP BY {', '.join(keys)}" if keys else ""
     return f"""SELECT {lead}{r6("o")} AS total_count, CAST(people AS BIGINT) AS total_pop,
-  CASE WHEN o >= 10 THEN {r6("v")} END AS value,
-  CASE WHEN o >= 10 THEN round(v + 100000 * sqrt(s / o) * (o * (1 - 1 / (9 * o) - {Z} / (3 * sqrt(o)))^3 - o), 6) END
+  CASE WHEN shown THEN {r6("v")} END AS value,
+  CASE WHEN shown THEN round(v + 100000 * sqrt(s / o) * (o * (1 - 1 / (9 * o) - {Z} / (3 * sqrt(o)))^3 - o), 6) END
     AS lowercl,
-  CASE WHEN o >= 10 THEN round(v + 100000 * sqrt(s / o) * ((o + 1) * (1 - 1 / (9 * (o + 1))
+  CASE WHEN shown THEN round(v + 100000 * sqrt(s / o) * ((o + 1) * (1 - 1 / (9 * (o + 1))
     + {Z} / (3 * sqrt(o + 1)))^3 - o), 6) END AS uppercl,
   '95%' AS confidence,
-  CASE WHEN o < 10 THEN 'dsr NA for total count < 10' ELSE 'dsr per 100000' END AS statistic, 'Dobson' AS method
-FROM (SELECT {lead}sum(n) FILTER (WHERE ok) AS o, sum(pop) FILTER (WHERE ok) AS people,
-    100000 * sum(w * n / pop) FILTER (WHERE ok) / sum(w) FILTER (WHERE ok) AS v,
-    sum(w * w * n / (pop * pop)) FILTER (WHERE ok) / (sum(w) FILTER (WHERE ok) * sum(w) FILTER (WHERE ok)) AS s
-  FROM (SELECT cells.*, w::DOUBLE AS w, w IS NOT NULL AND pop IS NOT NULL AS ok
+  CASE WHEN o < 10 THEN 'dsr NA for total count < 10' WHEN empty THEN 'dsr NA for zero population'
+    ELSE 'dsr per 100000' END AS statistic, 'Dobson' AS method
+FROM (SELECT *, o >= 10 AND NOT empty AS shown FROM (SELECT {lead}sum(n) FILTER (WHERE ok) AS o,
+    sum(pop) FILTER (WHERE ok) AS people, coalesce(bool_or(pop = 0) FILTER (WHERE ok), FALSE) AS empty,
+    100000 * sum(w * n / nullif(pop, 0)) FILTER (WHERE ok) / sum(w) FILTER (WHERE ok) AS v,
+    sum(w * w * n / nullif(pop * pop, 0)) FILTER (WHERE ok) / (sum(w) FILTER (WHERE ok) * sum(w) FILTER (WHERE ok)) AS s
+  FROM (SELECT cells.*, w::DOUBLE AS w, w IS NOT NULL AND pop IS NOT NULL{counted} AS ok
     FROM (SELECT * REPLACE (pop::DOUBLE AS pop, n::DOUBLE AS n) FROM ({cells})) cells
-    LEFT JOIN stdpop USING (age_band)) {group})"""
+    LEFT JOIN stdpop USING (age_band)) {group}))"""
 
 
 SPLIT = """SELECT * REPLACE (CASE regexp_replace(ethnicity, '^.*?-', '') WHEN ' British' THEN ' White British'
@@ -836,6 +859,18 @@ for outcome in ("admissions", "deaths"):
     for level in ("imd_decile", "imd_quintile"):
         add(f"dsr_{level}_{outcome}", shapes, rate(strata([level, "age_band"]), [level]))
 
+THIN = """, thin AS (
+  SELECT * REPLACE (CASE WHEN imd_decile = 3 AND age_band = '20-24' THEN 0 ELSE observation END AS observation)
+  FROM census WHERE NOT coalesce(imd_decile = 2 AND age_band IN ('10-14', '15-19'), FALSE))"""
+add(
+    "dsr_zero_population",
+    events("admissions") + THIN,
+    rate(
+        strata(["imd_decile", "age_band"], fill=False).replace("FROM census", "FROM thin"),
+        ["imd_decile"],
+        " AND n IS NOT NULL",
+    ),
+)
 add(
     "dsr_input_gaps",
     events("admissions"),

@@ -57,11 +57,11 @@ from popmeasure.plans.prepare import (
     prepare_admissions,
     primary_deaths,
 )
-from popmeasure.plans.sources_align import conform_sources
+from popmeasure.plans.sources_align import conform_sources, multi_cause_rows
 from popmeasure.sources import bindings as b
 from popmeasure.sources.constants import CENSUS_ETHNICITY, ICD10_GROUP_RULES, SEX_LABELS
 from popmeasure.sources.schemas import CAUSE_COLUMNS
-from popmeasure.sources.tables import inline_table
+from popmeasure.sources.tables import inline_table, schema_diff
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -210,6 +210,47 @@ def latest_ethnicity(spark, d):
     return latest_per_key(usable, "pseudo_nhs_number", ["recorded", "record_id"])
 
 
+EIGHT_CAUSES = CAUSE_COLUMNS[:8]
+
+
+def multi_cause(spark: SparkSession, d: str) -> DataFrame:
+    """Two multi-cause sources in different layouts: one row per record and distinct cause."""
+    base = b.deaths_register(spark, d).select(
+        "record_id", "residence_la_code", "sex", "age", "lsoa", "reg_date", *EIGHT_CAUSES
+    )
+    odd = base.filter(F.col("record_id") % 2 == 1).withColumnsRenamed(
+        {"residence_la_code": "LA CODE", "sex": "SEX", **{c: f"CAUSE {k}" for k, c in enumerate(EIGHT_CAUSES)}}
+    )
+    even = base.filter(F.col("record_id") % 2 == 0).withColumnsRenamed(
+        {"lsoa": "LSOA_OF_RESIDENCE_CODE", **{c: f"MENTION_{k}" for k, c in enumerate(EIGHT_CAUSES)}}
+    )
+    return multi_cause_rows(
+        odd,
+        even,
+        {"LA CODE": "residence_la_code", "SEX": "sex", **{f"CAUSE {k}": f"cause_{k + 1}" for k in range(8)}},
+        {"LSOA_OF_RESIDENCE_CODE": "lsoa", **{f"MENTION_{k}": f"cause_{k + 1}" for k in range(8)}},
+        ["reg_date", "record_id"],
+        ["reg_date", "record_id"],
+        b.AREA_CODES[0],
+    )
+
+
+@query
+def deaths_multi_cause_by_area(spark, d):
+    return count_rows(multi_cause(spark, d), ["residence_la_code", "icd_subgroup", "cvd_group"])
+
+
+@query
+def deaths_multi_cause_by_sex(spark, d):
+    return count_rows(multi_cause(spark, d), ["sex", "cvd_group"])
+
+
+@query
+def schema_difference(spark, d):
+    """Columns that two tables do not share, with their types."""
+    return schema_diff(b.table(spark, d, "orders"), b.table(spark, d, "customer"))
+
+
 PLACE = ("marital_status", "place_of_death_code")
 
 
@@ -714,6 +755,19 @@ def dsr_input_gaps(spark, d):
     return rate_gaps(cells, ["imd_quintile"])
 
 
+@query
+def dsr_zero_population(spark, d):
+    """Rates by decile on a census that lacks one cell and has no people in another; absent counts take no part."""
+    events, years = _rate_events("admissions", spark, d, "lsoa")
+    census = _deprived_census(spark, d)
+    lacking = (F.col("imd_decile") == 2) & F.col("age_band").isin("10-14", "15-19")
+    empty = (F.col("imd_decile") == 3) & (F.col("age_band") == "20-24")
+    thin = census.filter(F.coalesce(~lacking, F.lit(True))).withColumn(
+        "observation", F.when(empty, F.lit(0).cast("bigint")).otherwise(F.col("observation"))
+    )
+    return rate_plans.deprivation_rate(events, thin, years, "imd_decile", 10, fill_missing_count=False)
+
+
 # --- matrix ---------------------------------------------------------------------------------------------------------
 
 

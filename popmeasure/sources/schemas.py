@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 CAUSE_COLUMNS = ["s_underlying_cod_icd10"] + [f"s_cod_code_{k}" for k in range(1, 16)]
 
 _CAUSES = ", ".join(f"{c} string" for c in CAUSE_COLUMNS)
+MULTI_CAUSE_COLUMNS = [f"cause_{k}" for k in range(1, 9)]
 _CENSUS = "age_code int, observation bigint"
 
 TABLES = {
@@ -29,6 +30,10 @@ TABLES = {
     "weighted_deaths": (
         "residence_la_code string, underlying_cause string, deaths bigint, sex int, age int, lsoa string"
     ),
+    "multi_cause_deaths": (
+        "residence_la_code string, sex int, age int, lsoa string, "
+        + ", ".join(f"{c} string" for c in MULTI_CAUSE_COLUMNS)
+    ),
     "lsoa_lookup": "lsoa string, locality string, imd_decile int, imd_quintile int",
     "icd10_listing": "icd10_code string, icd10_short_title string, simplified_cause string",
     "clinical_group": "code string, icd10_short_title string, clinical_group string, clinical_subgroup string",

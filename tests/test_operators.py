@@ -428,3 +428,49 @@ def test_checks(spark):
     df = spark.createDataFrame([("a", None), ("a", "x"), (None, "x")], "p string, q string")
     assert rows(null_report(df, ["p", "q"])) == [(3, "p", 1, True), (3, "q", 1, True)]
     assert rows(crosstab_counts(df, "p", "q")) == [("a", "x", 1), ("a", None, 1), (None, "x", 1)]
+
+
+# --- verdicts of the first round -------------------------------------------------------------------------------------
+
+
+def test_all_cause_identity_is_every_other_column(spark):
+    from popmeasure.plans.prepare import PERSON_COLUMNS, all_cause_deaths
+
+    causes = [c for c in CAUSE_COLUMNS]
+    base = ["patient_id", "record_id", "sex", "age", "lsoa", "residence_la_code", "ethnic_code", "marital_status"]
+
+    def row(person, record, status, code):
+        return (person, record, 1, 70, "L1", "E1", "A", status, code, *[None] * 15)
+
+    schema = ", ".join(
+        f"{c} {'int' if c in ('record_id', 'sex', 'age') else 'string'}" for c in [*base, *causes]
+    )
+    register = spark.createDataFrame(
+        [
+            row("p", 1, "M1", "I211"), row("p", 2, "M1", "I214"), row("p", 3, "M2", "I211"),
+            row(None, 4, "M1", "I211"), row(None, 5, "M1", "I211"), row(None, 5, "M1", "I219"),
+        ],
+        schema,
+    )
+    assert all_cause_deaths(register, record="record_id").count() == 4
+    assert all_cause_deaths(register.drop("record_id")).count() == 3
+    assert all_cause_deaths(register, person=PERSON_COLUMNS).count() == 2  # the narrow identity loses deaths
+    double = spark.createDataFrame([("I21", "t"), ("I21", "u")], "icd_subgroup string, icd10_short_title string")
+    with pytest.raises(ValueError, match="not unique"):
+        all_cause_deaths(register, titles=double)
+
+
+def test_pivot_loses_no_category(spark):
+    cells = spark.createDataFrame([(1, "a", 50.0), (2, "b", 25.0), (2, "c", 5.0)], "q int, e string, percentage double")
+    assert matrix_wide(cells, "q", "e", "percentage").columns == ["q", "a", "b", "c"]
+    with pytest.raises(Exception, match="without a column: c"):
+        matrix_wide(cells, "q", "e", "percentage", ["a", "b"]).collect()
+
+
+def test_rate_of_a_zero_population_and_of_missing_counts(spark):
+    rows_ = [("x", "0-4", 20.0, 0), ("x", "5-9", 20.0, 100), ("y", "0-4", None, 100), ("y", "5-9", 20.0, 100)]
+    cells = spark.createDataFrame(rows_, "g string, age_band string, n double, population_count bigint")
+    out = {r["g"]: r for r in dsr(cells, ["g"]).collect()}
+    assert out["x"]["value"] is None and out["x"]["statistic"] == "dsr NA for zero population"
+    other = {r["g"]: r for r in dsr(cells, ["g"], fill_missing_count=False).collect()}
+    assert (out["y"]["total_pop"], other["y"]["total_pop"]) == (200, 100) and other["y"]["value"] > out["y"]["value"]

@@ -5,8 +5,9 @@ sides of the comparison therefore return the numbers as DOUBLE and the flag as t
 """
 
 NUMBERS = {
-    "extract_deaths_rows": ["age"],
-    "death_cohort_rows": ["age"],
+    "extract_deaths_rows": ["age", "is_deceased"],
+    "death_cohort_rows": ["age", "is_deceased"],
+    "lookup_join_salted": ["is_deceased"],
     "age_group_counts": ["age_group_ord"],
     "five_year_band_counts": ["age_band_ord"],
     "quintiles_and_levels": ["imd_decile", "from_decile", "low_levels"],

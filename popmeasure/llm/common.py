@@ -35,11 +35,18 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BATCH_ROWS = 100
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the Python workers this package, as `--py-files` would; once per application."""
+    """Give the Python workers this package, as `--py-files` would; once per application.
+
+    Also lowers the rows of an Arrow batch to BATCH_ROWS: whole texts travel, and a batch of long ones must fit.
+    """
+    most = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(most)) <= BATCH_ROWS:
+        spark.conf.set(most, str(BATCH_ROWS))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return

@@ -14,7 +14,9 @@ chunk is then traced back on its own between its two states. A cell holds at mos
 2 ** 31 / `chunk` matrices of a few KB: that bounds the one group that meets in a task.
 
 Where no piece reaches over a place (in front of a space that follows another character, around a line feed), paths
-separate. Such units are solved once per worker and remembered, at most `_MEMO` of them.
+separate. Such units are solved once per worker and remembered, and so
+are the parts that a unit falls into between two characters that no piece has side by side. The memory has two
+generations of about `_MEMO` entries; what is used again moves to the younger one.
 
 Defined results: null and empty texts have no pieces. Characters U+2581 in a text read back as spaces, as in the
 original library. Repeated documents each keep their row; extra columns pass through.
@@ -22,6 +24,7 @@ original library. Repeated documents each keep their row; extra columns pass thr
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -37,16 +40,17 @@ from popmeasure.llm.words import texts
 
 SPACE = "▁"
 SCALE = 4096
-_MEMO = 600_000
+_MEMO = 250_000
 _UNITS = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 _LOW = -(1 << 60)
+_KEPT: dict[str, tuple[dict, dict, dict]] = {}
 
 
 @dataclass
 class Pieces:
-    """A vocabulary: scores by piece (None for a mere prefix of pieces), ids, and the bytes of each id."""
+    """A vocabulary: scores by piece, ids, and the bytes of each id."""
 
-    scores: dict[str, int | None]
+    scores: dict[str, int]
     ids: dict[str, int]
     byte_ids: list[int]
     surface: list[bytes]
@@ -55,8 +59,29 @@ class Pieces:
     separable: bool
     memo: dict[str, tuple[int, tuple[int, ...]]] = field(default_factory=dict, repr=False)
 
+    older: dict[str, tuple[int, tuple[int, ...]]] = field(default_factory=dict, repr=False)
+    tree: dict = field(default_factory=dict, repr=False)
+    pairs: frozenset[str] = frozenset()
+
+    identity: str = ""
+
     def __getstate__(self) -> dict:
-        return {**self.__dict__, "memo": {}}
+        return {**self.__dict__, "memo": {}, "older": {}, "tree": {}}
+
+    def __setstate__(self, state: dict) -> None:
+        """What a worker has solved and built for this vocabulary outlives the task."""
+        self.__dict__.update(state)
+        self.memo, self.older, self.tree = _KEPT.setdefault(self.identity, ({}, {}, {}))
+
+    def _tree(self) -> dict:
+        """Pieces as a tree: character to (score or None, the characters that may follow)."""
+        if not self.tree:
+            for piece, score in self.scores.items():
+                node = self.tree
+                for c in piece[:-1]:
+                    node = node.setdefault(c, (None, {}))[1]
+                node[piece[-1]] = (score, node.get(piece[-1], (None, {}))[1])
+        return self.tree
 
     @classmethod
     def load(cls, path: str) -> Pieces:
@@ -83,43 +108,40 @@ class Pieces:
 
     @classmethod
     def of(cls, scored: dict[str, int], ids: dict[str, int], byte_ids: list[int], surface: list[bytes]) -> Pieces:
-        table: dict[str, int | None] = {}
-        for piece in scored:
-            for k in range(1, len(piece)):
-                table.setdefault(piece[:k])
-        table.update(scored)
         bare = [p.lstrip(SPACE) for p in scored]
         return cls(
-            scores=table,
+            scores=scored,
             ids=ids,
             byte_ids=byte_ids,
             surface=surface,
             unknown=min(scored.values()) - 10 * SCALE,
             longest=max(map(len, scored)),
+            identity=hashlib.sha256(repr(sorted(scored.items())).encode()).hexdigest(),
+            pairs=frozenset(p[k : k + 2] for p in scored for k in range(len(p) - 1)),
             separable=not any(SPACE in p or "\n" in p for p in bare),
         )
 
     def forward(self, text: str, entry: int, stop: int) -> tuple[list[int], list[int]]:
         """Best score and last start at every place of `text`, from `entry`; pieces begin before `stop`."""
-        size, longest, get = len(text), self.longest, self.scores.get
+        size, root, unknown = len(text), self._tree(), self.unknown
         best, came = [_LOW] * (size + 1), [-1] * (size + 1)
         best[entry] = 0
         for start in range(entry, stop):
             here = best[start]
             if here == _LOW:
                 continue
+            node = root.get(text[start])
             end = start + 1
-            score = get(text[start:end], 1)  # scores are negative; None marks a mere prefix
-            if (score is None or score == 1) and here + self.unknown > best[end]:
-                best[end], came[end] = here + self.unknown, start
-            limit = min(start + longest, size)
-            while score != 1:
+            if (node is None or node[0] is None) and here + unknown > best[end]:
+                best[end], came[end] = here + unknown, start
+            while node is not None:
+                score, children = node
                 if score is not None and here + score > best[end]:
                     best[end], came[end] = here + score, start
-                end += 1
-                if end > limit:
+                if end == size or not children:
                     break
-                score = get(text[start:end], 1)
+                node = children.get(text[end])
+                end += 1
         return best, came
 
     def traced(self, text: str, came: list[int], end: int, entry: int) -> list[int]:
@@ -134,22 +156,33 @@ class Pieces:
 
     def unit(self, unit: str) -> tuple[int, tuple[int, ...]]:
         """(score, ids) of a text that no piece leaves."""
-        known = self.memo.get(unit)
+        known = self.memo.get(unit) or self.older.get(unit)
         if known is None:
-            best, came = self.forward(unit, 0, len(unit))
-            known = (best[-1], tuple(self.traced(unit, came, len(unit), 0)))
-            if len(unit) <= 64:
-                if len(self.memo) >= _MEMO:
-                    self.memo.clear()
-                self.memo[unit] = known
+            cuts = [k for k in range(1, len(unit)) if unit[k - 1 : k + 1] not in self.pairs]
+            if cuts:
+                parts = [self.unit(unit[i:j]) for i, j in zip([0, *cuts], [*cuts, len(unit)], strict=True)]
+                known = (sum(p[0] for p in parts), tuple(i for p in parts for i in p[1]))
+            else:
+                best, came = self.forward(unit, 0, len(unit))
+                known = (best[-1], tuple(self.traced(unit, came, len(unit), 0)))
+        if len(unit) <= 64:
+            self.memo[unit] = known
         return known
 
+    def _age(self) -> None:
+        """Between two texts: a full younger generation becomes the older one."""
+        if len(self.memo) > _MEMO:
+            self.memo, self.older = {}, self.memo
+            if self.identity in _KEPT:
+                _KEPT[self.identity] = (self.memo, self.older, self.tree)
+
     def units(self, text: str) -> list[str]:
         return _UNITS.findall(text) if self.separable else [text]
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of a text in one piece of work."""
         out: list[int] = []
+        self._age()
         if text:
             get, solve = self.memo.get, self.unit
             for unit in self.units(prepared(text)):
@@ -182,6 +215,7 @@ class Pieces:
         states = self.longest
         out = np.full((states, states), _LOW, np.int64)
         first, last = self._ends(chunk, size)
+        self._age()
         if first == size:
             for a in range(min(states, size + 1)):
                 best, _ = self.forward(chunk, a, size)
@@ -200,6 +234,7 @@ class Pieces:
     def between(self, chunk: str, size: int, entry: int, leave: int) -> list[int]:
         """Ids of a chunk, from its state at the start to its state at the end."""
         first, last = self._ends(chunk, size)
+        self._age()
         if first == size:
             _, came = self.forward(chunk, entry, size)
             return self.traced(chunk, came, size + leave, entry)
@@ -286,8 +321,11 @@ def _encode_giants(giants: DataFrame, model: Pieces, chunk: int) -> DataFrame:
 
     def trace(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = zip(frame["part"], frame["size"], frame["entry"], frame["leave"], strict=True)
-            yield pd.DataFrame({"key": frame["key"], "k": frame["k"], "ids": [model.between(*r) for r in rows]})
+            for lo in range(0, len(frame), 50):  # the ids take more room than the text
+                some = frame.iloc[lo : lo + 50]
+                rows = zip(some["part"], some["size"], some["entry"], some["leave"], strict=True)
+                ids = [np.array(model.between(*r), np.int32) for r in rows]
+                yield pd.DataFrame({"key": some["key"].to_numpy(), "k": some["k"].to_numpy(), "ids": ids})
 
     matrices = parts.mapInPandas(transfer, "key string, k int, matrix binary")
     states = matrices.groupBy("key").applyInPandas(combine, "key string, k int, entry int, leave int")

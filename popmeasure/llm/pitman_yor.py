@@ -8,8 +8,8 @@ A customer who opens a table is a customer of the parent, so a word is spelled o
 
 Seating is sampled by blocked Gibbs sweeps: the customers of a dish in a restaurant leave and sit down again one by one,
 at a table of theirs with odds (customers - discount * tables) or at a new one with odds (strength + discount * tables of
-the restaurant) * parent's probability; the rest stays. From the 64th customer on the waiting time to the next new table
-is drawn at once (the odds' product as a power law). After `burn_in` sweeps each restaurant's predictive rule is averaged
+the restaurant) * parent's probability; the rest stays. From the 64th customer on, the new tables of the next quarter of
+customers are drawn at once, as a Poisson number with the odds added up. After `burn_in` sweeps each restaurant's predictive rule is averaged
 over `samples` sweeps.
 
 On Spark: words are counted per chunk of documents and then over the corpus; subtrees of context restaurants that share
@@ -30,6 +30,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from math import log10
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -42,12 +44,14 @@ from popmeasure.llm.common import written
 from popmeasure.llm.words import spaced_words, texts
 
 CHUNK_ROWS = 10_000
+SUBTREE_TASKS = 64
 ALL_CHARACTERS = 0x110000 + 1
 START, END = "\U0010fffe", "\U0010ffff"
 DISCOUNT = (0.3, 0.5, 0.6, 0.7)  # of the root and the orders above it
 STRENGTH = 1.0
 WORD_DISCOUNT, WORD_STRENGTH = 0.75, 100.0
 _EXACT = 64
+_NORMAL = NormalDist()
 
 
 def seat(
@@ -70,23 +74,47 @@ def seat(
     live = live[customers[live] > _EXACT]
     place = np.full(len(live), float(_EXACT))
     while len(live):
-        opened = np.maximum((strength + discount * (tables[live] + own[live])) * parent[live], 1e-300)
-        base = discount * own[live]
-        wait = np.minimum(-np.log(np.maximum(uniform(live, draw), 1e-300)) / opened, 700.0)
-        place = np.maximum((place - base) * np.exp(wait) + base, place + 1)
-        stay = place <= customers[live]
-        live, place = live[stay], place[stay]
-        own[live] += 1
+        following = np.minimum(np.ceil(place * 1.25), customers[live])
+        opened = (strength + discount * (tables[live] + own[live])) * parent[live]
+        present = place - discount * own[live]
+        expected = opened * np.log((present + opened + following - place) / (present + opened))
+        own[live] += np.minimum(_poisson(expected, uniform(live, draw)), following - place)
+        stay = following < customers[live]
+        live, place = live[stay], following[stay]
         draw += 1
     return own
 
 
+def _poisson(mean: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Poisson numbers from uniform ones, by inversion; means over 30 by the normal curve."""
+    out = np.zeros(len(mean))
+    large = mean > 30
+    if large.any():
+        z = np.array([_NORMAL.inv_cdf(min(max(x, 1e-12), 1 - 1e-12)) for x in u[large].tolist()])
+        out[large] = np.maximum(np.round(mean[large] + np.sqrt(mean[large]) * z), 0)
+    rows = np.flatnonzero(~large)
+    term = np.exp(-mean[rows])
+    reached, k = term.copy(), 0
+    rest = u[rows] > reached
+    while rest.any() and k < 200:
+        rows, term, reached, k = rows[rest], term[rest], reached[rest], k + 1
+        out[rows] = k
+        term = term * mean[rows] / k
+        reached = reached + term
+        rest = u[rows] > reached
+    return out
+
+
 def _hashed(names: list[bytes], seed: int):
-    """Random numbers that depend on a name, its turn and the seed."""
+    """Random numbers that depend on a name, its turn and the seed: one hash a name, mixed anew for every turn."""
+    digest = xxhash.xxh3_64_intdigest
+    own = np.array([digest(n, seed) for n in names], np.uint64)
 
     def uniform(rows: np.ndarray, turn: int) -> np.ndarray:
-        digest = xxhash.xxh3_64_intdigest
-        return np.array([digest(names[i], seed * 1_000_003 + turn) for i in rows.tolist()], np.float64) / 2.0**64
+        x = own[rows] + np.uint64((turn + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return (x ^ (x >> np.uint64(31))).astype(np.float64) / 2.0**64
 
     return uniform
 
@@ -103,28 +131,28 @@ class Spelling:
     def __getstate__(self) -> dict:
         return {**self.__dict__, "memo": {}}
 
-    def probability(self, context: str, character: str) -> float:
-        key = context + character
-        known = self.memo.get(key)
-        if known is None:
-            known = 1.0 / ALL_CHARACTERS
-            for n in range(self.order + 1):
-                own = context[self.order - n :]
-                back = self.back.get(own)
-                if back is None:
-                    break
-                known = self.held.get(own + character, 0.0) + back * known
-            if len(self.memo) > 500_000:
-                self.memo.clear()
-            self.memo[key] = known
-        return known
+    def logged(self, gram: str) -> float:
+        """log10 of the last character's probability behind the others."""
+        known, context, character = 1.0 / ALL_CHARACTERS, gram[:-1], gram[-1]
+        for n in range(self.order + 1):
+            own = context[self.order - n :]
+            back = self.back.get(own)
+            if back is None:
+                break
+            known = self.held.get(own + character, 0.0) + back * known
+        if len(self.memo) > 300_000:
+            self.memo.clear()
+        self.memo[gram] = value = log10(known)
+        return value
 
     def log10(self, word: str) -> float:
-        padded, order = START * self.order + word + END, self.order
-        one = self.probability
-        return float(
-            np.log10([one(padded[i - order : i], padded[i]) for i in range(order, len(padded))]).sum()
-        )
+        padded, size, get = START * self.order + word + END, self.order + 1, self.memo.get
+        total = 0.0
+        for i in range(len(word) + 1):
+            gram = padded[i : i + size]
+            value = get(gram)
+            total += self.logged(gram) if value is None else value
+        return total
 
 
 def _text_of(word: bytes) -> str:
@@ -263,8 +291,9 @@ def _fit(spelled: DataFrame, order: int, least_share: float, seed: int, burn_in:
         chosen = frame[["context", "character", "n"]]
         return _sample_subtree(chosen, root, order, burn_in + samples, burn_in, seed)
 
-    last = F.expr("right(context, 1)")
-    found = rows.groupBy(last.alias("last")).applyInPandas(sample, "kind string, name string, value double")
+    # a number of partitions that adaptive execution keeps: the rows are few, the work on them is not
+    dealt = rows.withColumn("last", F.expr("right(context, 1)")).repartition(SUBTREE_TASKS, "last")
+    found = dealt.groupBy("last").applyInPandas(sample, "kind string, name string, value double")
     held, back, customers = {}, {}, {}
     for r in found.collect():  # bounded by least_share, see the module's text
         if r["kind"] == "root":

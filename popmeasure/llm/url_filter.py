@@ -27,7 +27,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from popmeasure.llm.common import LiteralTable, ascii_lower, free, written
 
@@ -98,8 +97,10 @@ def model_rows(urls: DataFrame, order: int, least_share: float) -> DataFrame:
         F.sum((F.col("rej") > 0).cast("int")).alias("rej_t"),
         F.collect_list(F.struct("sign", "acc", "rej")).alias("seen"),  # at most one entry a sign
     )
-    share = (F.col("acc_n") + F.col("rej_n")) / F.sum(F.col("acc_n") + F.col("rej_n")).over(Window.partitionBy("n"))
-    kept = written(per_context.withColumn("share", share).filter(F.col("share") >= least_share).drop("share"))
+    # every position has one context of each order, so the orders' totals are the same
+    per_context = written(per_context)
+    total = per_context.filter("n = 0").agg(F.sum(F.col("acc_n") + F.col("rej_n"))).first()[0] or 0
+    kept = written(per_context.filter(F.col("acc_n") + F.col("rej_n") >= least_share * total))
     level = None
     flat = F.array_repeat(F.lit(1.0 / SIGNS), SIGNS)
     for n in range(order + 1):
@@ -140,11 +141,10 @@ def score_column(model: LiteralTable, signs: Column, order: int) -> Column:
 
     def at(i: Column) -> Column:
         sign = F.greatest(F.instr(F.lit(ALPHABET), F.substring(padded, i + order, F.lit(1))), F.lit(0)).cast("int")
-        found = []
-        for n in range(order, -1, -1):
-            context = F.substring(padded, i + order - n, F.lit(n)) if n else F.lit("")
-            found.append(F.get(F.get(_same(model, context), F.lit(0))["delta"], sign))
-        return F.coalesce(*found, F.lit(0.0))
+        contexts = [F.substring(padded, i + order - n, F.lit(n)) if n else F.lit("") for n in range(order, -1, -1)]
+        # one mention of the model: each would be a copy of it in the plan
+        found = F.transform(F.array(*contexts), lambda c: F.get(F.get(_same(model, c), F.lit(0))["delta"], sign))
+        return F.coalesce(F.get(F.filter(found, lambda x: x.isNotNull()), F.lit(0)), F.lit(0.0))
 
     size = F.length(signs)
     total = F.aggregate(F.sequence(F.lit(1), size), F.lit(0.0), lambda acc, i: acc + at(i))
@@ -203,7 +203,7 @@ def judge(
     if model.n_rows:
         score = score_column(model, F.col(signs), order)
         held = training.filter(spared).select("label", score_column(model, F.col("signs"), order).alias("score"))
-        limit = threshold_of(held)
+        limit = threshold_of(written(held))
     score_name, rule_name, verdict = free(ruled, "score", "rule", "verdict")
     out = ruled.withColumn(score_name, score)
     own = F.when(F.col(score_name) >= limit, F.lit("allow")).otherwise(F.lit("block"))

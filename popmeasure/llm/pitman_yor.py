@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from popmeasure.llm.common import written
-from popmeasure.llm.words import spaced_words, texts
+from popmeasure.llm.words import gathered, spaced_words, texts
 
 CHUNK_ROWS = 10_000
 SUBTREE_TASKS = 64
@@ -164,7 +164,7 @@ def _spelled(words: DataFrame, order: int, seed: int, model: Spelling | None, n_
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: dict[str, float] = {}
-        for frame in frames:
+        for frame in gathered(frames):
             names, customers = [bytes(w) for w in frame["word"]], frame["c"].to_numpy(np.float64)
             tables = _word_tables(names, customers, model, n_tables, seed, 1)[0] if model else np.ones(len(names))
             for name, t in zip(names, tables.tolist(), strict=True):
@@ -369,7 +369,7 @@ def score(
     spelling = docs.sparkSession.sparkContext.broadcast(model or Spelling(order, {}, {}))
 
     def tables(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in gathered(frames):
             names, customers = [bytes(w) for w in frame["word"]], frame["c"].to_numpy(np.float64)
             t, spelled = _word_tables(names, customers, spelling.value, float(v_train), seed + 200, samples)
             yield pd.DataFrame({"word": frame["word"], "c": frame["c"], "t": t, "spelled": spelled})

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from popmeasure.llm.common import one_label, written
-from popmeasure.llm.words import texts
+from popmeasure.llm.words import gathered, texts
 
 WIDTH, OVERLAP = 24, 12
 _MEMO = 1_500_000
@@ -356,7 +356,7 @@ def _highest(tokens: DataFrame, model: SubsequenceSVM, over: float, most: int) -
     """(token, margin, number of documents) of the tokens with the highest margins above `over`."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in gathered(frames):
             yield frame.assign(m=model.margins(frame["token"].tolist()))
 
     scored = tokens.select("token", "clean").mapInPandas(run, "token string, clean long, m double")

@@ -27,3 +27,16 @@ def plain_words(text: str | None) -> list[bytes]:
 def texts(frame: pd.DataFrame, column: str = "text") -> Iterator[str | None]:
     for value in frame[column]:
         yield value if isinstance(value, str) else None
+
+
+def gathered(frames: Iterator[pd.DataFrame], rows: int = 20_000) -> Iterator[pd.DataFrame]:
+    """The same rows in frames of about `rows`, for work on short values that gains from long arrays."""
+    held, n = [], 0
+    for frame in frames:
+        held.append(frame)
+        n += len(frame)
+        if n >= rows:
+            yield pd.concat(held, ignore_index=True)
+            held, n = [], 0
+    if n:
+        yield pd.concat(held, ignore_index=True)

@@ -383,14 +383,14 @@ def score(
         "word",
         "c",
         (logged - float(np.log10(WORD_STRENGTH + n_train))).alias("p"),
-        F.log10((F.col("c") + 0.5) / (n_train + 0.5 * (v_train + 1))).alias("base"),
     )
-    dictionary = pairs.select("chunk", "word").distinct().join(scored, "word")
+    # a chunk of over a million words lists some of them twice, with the same numbers
+    dictionary = pairs.select("chunk", "word").join(scored, "word")
 
     def add_up(texts_frame: pd.DataFrame, words_frame: pd.DataFrame) -> pd.DataFrame:
         place = {bytes(w): i for i, w in enumerate(words_frame["word"])}
-        p, base = words_frame["p"].to_numpy(), words_frame["base"].to_numpy()
-        known = words_frame["c"].to_numpy() > 0
+        p, c = words_frame["p"].to_numpy(), words_frame["c"].to_numpy()
+        base, known = np.log10((c + 0.5) / (n_train + 0.5 * (v_train + 1))), c > 0
         out = []
         for value in texts(texts_frame):
             at = np.array([place[w] for w in (*spaced_words(value), b"")], np.int64)

@@ -177,7 +177,7 @@ def _extract_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame,
 
 @query
 def extract_admissions_rows(spark, d):
-    rows = extract_admissions(*_extract_inputs(spark, d), b.AREA_CODES, START, END, keep=("episode_id",))
+    rows = extract_admissions(*_extract_inputs(spark, d), b.AREA_CODES, START, END, keep=("episode_id",), salts=8)
     return adm_plans.in_person_order(rows)
 
 

@@ -1,10 +1,13 @@
 """Language-model scores of a hierarchical Pitman-Yor model.
 
 Tokens are words (runs of `[^\\x20\\x09-\\x0D]` after A-Z are lowered) and one end per text, which is the empty word.
-The restaurant of words has one dish per word; its base measure spells a word character by character, each drawn in the
-restaurant of the `order` characters before it (the word's start included), up to the word's end. Context restaurants
-share parents: the context without its first character, down to one root and the uniform measure over all characters.
-A customer who opens a table is a customer of the parent, so a word is spelled once per table, not per occurrence.
+Each word that stands before another has a restaurant of what follows it; in front of a text stands the empty word. Their
+shared parent is the restaurant of words, which has one dish per word. Its base measure spells a word character by
+character, each drawn in the restaurant of the `order` characters before it (the word's start included), up to the
+word's end. Restaurants of characters share parents: the context without its first character, down to one root and the
+uniform measure over all characters.
+A customer who opens a table is a customer of the parent: a word comes to the restaurant of words once per table behind
+another word, and is spelled once per table there.
 
 Seating is sampled by blocked Gibbs sweeps: the customers of a dish in a restaurant leave and sit down again one by one,
 at a table of theirs with odds (customers - discount * tables) or at a new one with odds (strength + discount * tables of
@@ -12,15 +15,20 @@ the restaurant) * parent's probability; the rest stays. From the 64th customer o
 customers are drawn at once, as a Poisson number with the odds added up. After `burn_in` sweeps each restaurant's predictive rule is averaged
 over `samples` sweeps.
 
-On Spark: words are counted per chunk of documents and then over the corpus; subtrees of context restaurants that share
+In the restaurants of words, `word_burn_in` sweeps go before the spelling is fitted to the tables, `word_samples` after
+it; every sweep starts from the tables of the one before, totals included. A pair of words that occurs once has one table
+in every sweep, so only pairs that occur more often are drawn.
+
+On Spark: pairs of neighbouring words are counted per chunk of documents and then over the corpus, and meet the tables of
+their first word and the probability of their second one by shuffled joins. Subtrees of context restaurants that share
 their last character are sampled side by side, with the root's probabilities of the round before. Contexts held by less
 than `least_share` of the spelled characters pass their customers to their parent, so that at most 1 / least_share
 contexts exist per order: that bounds the character model, the only part that is sent to all tasks. A document is scored
-in a group with the distinct words of its chunk (`CHUNK_ROWS` rows at most), so words meet probabilities once per chunk
+in a group with the distinct pairs of its chunk (`CHUNK_ROWS` rows at most), so pairs meet probabilities once per chunk
 instead of once per occurrence. Random numbers depend on the seed and on what is drawn for, not on partitions.
 
 The chunk of a row follows from its place in the input's partitions; `docs` must be a stored table or another input that
-reads the same way twice. A word that its chunk does not know raises an error.
+reads the same way twice. A pair that its chunk does not know raises an error.
 
 Defined results: null and empty texts have the end token only. Without training rows the model is the uniform spelling.
 Rows without an id take part; repeated rows are scored each.
@@ -43,13 +51,14 @@ from pyspark.sql.window import Window
 from popmeasure.llm.common import written
 from popmeasure.llm.words import gathered, spaced_words, texts
 
-CHUNK_ROWS = 10_000
+CHUNK_ROWS = 1000
 SUBTREE_TASKS = 64
 ALL_CHARACTERS = 0x110000 + 1
 START, END = "\U0010fffe", "\U0010ffff"
 DISCOUNT = (0.3, 0.5, 0.6, 0.7)  # of the root and the orders above it
 STRENGTH = 1.0
 WORD_DISCOUNT, WORD_STRENGTH = 0.75, 100.0
+PAIR_DISCOUNT, PAIR_STRENGTH = 0.8, 5.0
 _EXACT = 64
 _NORMAL = NormalDist()
 
@@ -159,16 +168,14 @@ def _text_of(word: bytes) -> str:
     return word.decode("utf-8", "replace").replace(START, "�").replace(END, "�")
 
 
-def _spelled(words: DataFrame, order: int, seed: int, model: Spelling | None, n_tables: float) -> DataFrame:
+def _spelled(words: DataFrame, order: int) -> DataFrame:
     """(context, character, n): the characters spelled by the tables of the word restaurant."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: dict[str, float] = {}
         for frame in gathered(frames):
-            names, customers = [bytes(w) for w in frame["word"]], frame["c"].to_numpy(np.float64)
-            tables = _word_tables(names, customers, model, n_tables, seed, 1)[0] if model else np.ones(len(names))
-            for name, t in zip(names, tables.tolist(), strict=True):
-                padded = START * order + _text_of(name) + END
+            for name, t in zip(frame["word"], frame["t"].tolist(), strict=True):
+                padded = START * order + _text_of(bytes(name)) + END
                 for i in range(len(padded) - order):
                     gram = padded[i : i + order + 1]
                     counts[gram] = counts.get(gram, 0.0) + t
@@ -183,20 +190,53 @@ def _spelled(words: DataFrame, order: int, seed: int, model: Spelling | None, n_
             {"context": [g[:-1] for g in grams], "character": [g[-1] for g in grams], "n": list(counts.values())}
         )
 
-    made = words.mapInPandas(run, "context string, character string, n double")
+    made = words.select("word", "t").mapInPandas(run, "context string, character string, n double")
     return made.groupBy("context", "character").agg(F.sum("n").alias("n"))
 
 
-def _word_tables(
-    names: list[bytes], customers: np.ndarray, model: Spelling, n_tables: float, seed: int, samples: int
-) -> tuple[np.ndarray, np.ndarray]:
-    """Mean tables of each word over the samples, and log10 of its spelling."""
-    spelled = np.array([model.log10(_text_of(n)) for n in names])
-    parent, rest = 10.0 ** np.maximum(spelled, -300), np.full(len(names), n_tables)
-    total = np.zeros(len(names))
-    for k in range(samples):
-        total += seat(customers, parent, rest, WORD_DISCOUNT, WORD_STRENGTH, _hashed(names, seed + k))
-    return total / samples, spelled
+def _with_spelling(words: DataFrame, model: Spelling) -> DataFrame:
+    """`words` with log10 of each word's spelling as `spelled`."""
+    shared = words.sparkSession.sparkContext.broadcast(model)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in gathered(frames):
+            yield frame.assign(spelled=[shared.value.log10(_text_of(bytes(w))) for w in frame["word"]])
+
+    return words.mapInPandas(run, words.schema)
+
+
+def _seated(rows: DataFrame, names: list[str], discount: float, strength: float, seed: int) -> DataFrame:
+    """`rows` after the `customers` of each sat down again; `rest` and `parent` (log10) are used up."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in gathered(frames):
+            listed = [b" ".join(map(bytes, n)) for n in zip(*(frame[c] for c in names), strict=True)]
+            parent = 10.0 ** np.maximum(frame["parent"].to_numpy(), -300)
+            customers, rest = frame["customers"].to_numpy(np.float64), frame["rest"].to_numpy()
+            t = seat(customers, parent, rest, discount, strength, _hashed(listed, seed))
+            yield frame.drop(columns=["parent", "rest"]).assign(t=t)
+
+    return rows.mapInPandas(run, rows.drop("parent", "rest").schema)
+
+
+def _interpolated(held: Column, back: Column, parent: Column) -> Column:
+    """log10 of held + back * 10 ** parent; what nobody sits at has the parent's part alone, however small."""
+    return F.when(held > 0, F.log10(held + back * F.pow(F.lit(10.0), parent))).otherwise(parent + F.log10(back))
+
+
+def _word_rule(words: DataFrame) -> tuple[Column, float, float]:
+    """(held, back, tables) of the restaurant of words as it is seated now."""
+    sums = words.agg(F.sum("customers"), F.sum("t")).first()
+    n, t = float(sums[0] or 0), float(sums[1] or 0)
+    held = (F.col("customers") - WORD_DISCOUNT * F.col("t")) / (WORD_STRENGTH + n)
+    return held, (WORD_STRENGTH + WORD_DISCOUNT * t) / (WORD_STRENGTH + n), t
+
+
+def _with_tables(contexts: DataFrame, live: DataFrame, t: str) -> DataFrame:
+    """(before, n, tables): customers and tables behind each word; a pair met once has one table."""
+    opened = live.groupBy("before").agg(F.sum(t).alias("opened"))
+    tables = F.col("ones") + F.coalesce("opened", F.lit(0.0))
+    return written(contexts.join(opened, "before", "left").select("before", "n", tables.alias("tables")))
 
 
 def _sample_subtree(rows: pd.DataFrame, root: dict[str, float], order: int, sweeps: int, burn_in: int, seed: int):
@@ -312,27 +352,29 @@ def _chunk_of() -> Column:
     return F.shiftright(place, 33) * 1_000_000 + F.floor(place.bitwiseAND(F.lit((1 << 33) - 1)) / CHUNK_ROWS)
 
 
-def _chunk_words(rows: DataFrame) -> DataFrame:
-    """(chunk, word, c): the distinct words of each chunk and how often its training rows hold them."""
+def _chunk_pairs(rows: DataFrame) -> DataFrame:
+    """(chunk, before, word, c): the distinct pairs of each chunk and how often its training rows hold them."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, counts = None, {}
 
         def flushed() -> pd.DataFrame:
-            return pd.DataFrame({"chunk": now, "word": list(counts), "c": list(counts.values())})
+            before, word = zip(*counts, strict=True)
+            return pd.DataFrame({"chunk": now, "before": before, "word": word, "c": list(counts.values())})
 
         for frame in frames:
             for chunk, train, text in zip(frame["chunk"], frame["train"], texts(frame), strict=True):
-                if chunk != now or len(counts) > 1_000_000:
+                if chunk != now or len(counts) > 500_000:
                     if counts:
                         yield flushed()
                     now, counts = chunk, {}
-                for word in (*spaced_words(text), b""):
-                    counts[word] = counts.get(word, 0) + train
+                words = spaced_words(text)
+                for pair in zip([b"", *words], [*words, b""], strict=True):
+                    counts[pair] = counts.get(pair, 0) + train
         if counts:
             yield flushed()
 
-    return rows.select("chunk", "train", "text").mapInPandas(run, "chunk long, word binary, c long")
+    return rows.select("chunk", "train", "text").mapInPandas(run, "chunk long, before binary, word binary, c long")
 
 
 def score(
@@ -345,6 +387,8 @@ def score(
     burn_in: int = 3,
     samples: int = 4,
     seed: int = 11,
+    word_burn_in: int = 2,
+    word_samples: int = 2,
 ) -> DataFrame:
     """One row per document row: id, train, n_tokens, n_known, train_tokens, base_score, score, perplexity.
 
@@ -355,45 +399,69 @@ def score(
         F.coalesce(train, F.lit(False)).cast("int").alias("train"),
         F.col(text).alias("text"),
     ).withColumn("chunk", _chunk_of())
-    pairs = written(_chunk_words(rows))
-    vocabulary = written(pairs.groupBy("word").agg(F.sum("c").alias("c")))
-    sums = vocabulary.agg(F.sum("c").alias("n"), F.sum((F.col("c") > 0).cast("long")).alias("v")).first()
+    pairs = written(_chunk_pairs(rows))
+    grams = written(pairs.groupBy("before", "word").agg(F.sum("c").alias("c")))
+    once, learned = F.sum((F.col("c") == 1).cast("double")), F.sum((F.col("c") > 0).cast("double"))
+    words = grams.groupBy("word").agg(F.sum("c").alias("c"), once.alias("ones"), learned.alias("customers"))
+    words = words.withColumns({"t": (F.col("c") > 0).cast("double"), "spelled": F.lit(0.0), "held": F.lit(0.0)})
+    words = written(words)
+    sums = words.agg(F.sum("c").alias("n"), F.sum("t").alias("v")).first()
     n_train, v_train = int(sums["n"] or 0), int(sums["v"] or 0)
-    learned = vocabulary.filter("c > 0")
-    model: Spelling | None = None
+    contexts = grams.filter("c > 0").groupBy("before").agg(F.sum("c").alias("n"), once.alias("ones"))
+    contexts = written(contexts)
+    live = grams.filter("c > 1").select(
+        "before", "word", F.col("c").alias("customers"), F.lit(1.0).alias("t"), F.lit(0.0).alias("kept")
+    )
+    model, backs = Spelling(order, {}, {}), [1.0]
     if n_train:
-        model = _fit(_spelled(learned, order, seed, None, 0.0), order, least_share, seed, 1, 1)
-        model = _fit(
-            _spelled(learned, order, seed + 100, model, float(v_train)), order, least_share, seed, burn_in, samples
-        )
-    spelling = docs.sparkSession.sparkContext.broadcast(model or Spelling(order, {}, {}))
-
-    def tables(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in gathered(frames):
-            names, customers = [bytes(w) for w in frame["word"]], frame["c"].to_numpy(np.float64)
-            t, spelled = _word_tables(names, customers, spelling.value, float(v_train), seed + 200, samples)
-            yield pd.DataFrame({"word": frame["word"], "c": frame["c"], "t": t, "spelled": spelled})
-
-    seated = written(vocabulary.mapInPandas(tables, "word binary, c long, t double, spelled double"))
-    n_tables = float(seated.agg(F.sum("t")).first()[0] or 0.0)
-    new = WORD_STRENGTH + WORD_DISCOUNT * n_tables
-    known_part = F.col("c") - WORD_DISCOUNT * F.col("t") + new * F.pow(F.lit(10.0), F.col("spelled"))
-    logged = F.when(F.col("c") > 0, F.log10(known_part)).otherwise(F.col("spelled") + float(np.log10(new)))
-    scored = seated.select(
-        "word",
-        "c",
-        (logged - float(np.log10(WORD_STRENGTH + n_train))).alias("p"),
+        model = _fit(_spelled(words.filter("t > 0"), order), order, least_share, seed, 1, 1)
+        words, backs = written(_with_spelling(words, model)), []
+        held, back, tables = _word_rule(words)
+        for k in range(word_burn_in + word_samples):
+            if k == word_burn_in:
+                spelled = _spelled(words.filter("t > 0"), order)
+                model = _fit(spelled, order, least_share, seed, burn_in, samples)
+                words = written(_with_spelling(words, model))
+            parent = words.select("word", _interpolated(held, F.lit(back), F.col("spelled")).alias("parent"))
+            others = live.join(_with_tables(contexts, live, "t"), "before").drop("n")
+            others = others.withColumn("rest", F.col("tables") - F.col("t")).drop("tables").join(parent, "word")
+            live = written(_seated(others, ["before", "word"], PAIR_DISCOUNT, PAIR_STRENGTH, seed + 200 + k))
+            come = live.groupBy("word").agg(F.sum("t").alias("come"))
+            again = words.join(written(come), "word", "left").withColumn(
+                "customers", F.col("ones") + F.coalesce("come", F.lit(0.0))
+            )
+            again = again.drop("come").withColumns({"rest": tables - F.col("t"), "parent": F.col("spelled")})
+            words = written(_seated(again, ["word"], WORD_DISCOUNT, WORD_STRENGTH, seed + 300 + k))
+            held, back, tables = _word_rule(words)
+            if k >= word_burn_in:
+                live = live.withColumn("kept", F.col("kept") + F.col("t") / word_samples)
+                words = words.withColumn("held", F.col("held") + held / word_samples)
+                backs.append(back)
+    else:
+        words = _with_spelling(words, model)
+    shared = _interpolated(F.col("held"), F.lit(sum(backs) / len(backs)), F.col("spelled"))
+    words = written(words.select("word", F.col("c").alias("occurs"), shared.alias("parent")))
+    # the customers of pairs do not change, so the mean of the rules is the rule of the mean tables
+    tables_of = grams.filter("c <= 1").withColumn("t", F.col("c").cast("double")).unionByName(
+        live.select("before", "word", F.col("customers").alias("c"), F.col("kept").alias("t"))
     )
-    # a chunk of over a million words lists some of them twice, with the same numbers
-    dictionary = pairs.select("chunk", "word").join(scored, "word")
-
-    def add_up(texts_frame: pd.DataFrame, words_frame: pd.DataFrame) -> pd.DataFrame:
-        place = {bytes(w): i for i, w in enumerate(words_frame["word"])}
-        p, c = words_frame["p"].to_numpy(), words_frame["c"].to_numpy()
+    tables_of = tables_of.join(_with_tables(contexts, live, "kept"), "before", "left").join(words, "word")
+    n, opened = F.coalesce("n", F.lit(0)), F.coalesce("tables", F.lit(0.0))
+    held = (F.col("c") - PAIR_DISCOUNT * F.col("t")) / (PAIR_STRENGTH + n)
+    back = (PAIR_STRENGTH + PAIR_DISCOUNT * opened) / (PAIR_STRENGTH + n)
+    scored = tables_of.select("before", "word", "occurs", _interpolated(held, back, F.col("parent")).alias("p"))
+    # a chunk of over 500,000 pairs lists some of them twice, with the same numbers
+    dictionary = pairs.select("chunk", "before", "word").join(scored, ["before", "word"])
+
+    def add_up(texts_frame: pd.DataFrame, pairs_frame: pd.DataFrame) -> pd.DataFrame:
+        listed = zip(pairs_frame["before"], pairs_frame["word"], strict=True)
+        place = {(bytes(b), bytes(w)): i for i, (b, w) in enumerate(listed)}
+        p, c = pairs_frame["p"].to_numpy(), pairs_frame["occurs"].to_numpy()
         base, known = np.log10((c + 0.5) / (n_train + 0.5 * (v_train + 1))), c > 0
         out = []
         for value in texts(texts_frame):
-            at = np.array([place[w] for w in (*spaced_words(value), b"")], np.int64)
+            words = spaced_words(value)
+            at = np.array([place[x] for x in zip([b"", *words], [*words, b""], strict=True)], np.int64)
             out.append((len(at), int(known[at].sum()), float(base[at].sum()), float(p[at].sum())))
         made = pd.DataFrame(out, columns=["n_tokens", "n_known", "base_score", "score"], index=texts_frame.index)
         return pd.concat([texts_frame[["id", "train"]], made], axis=1)

@@ -217,6 +217,16 @@ def test_base_scores_and_proper_probabilities(spark, documents, tmp_path):
     assert again == {(str(r["doc_id"]), r["score"]) for r in got}
 
 
+def test_word_order_counts(spark, tmp_path):
+    rng = random.Random(3)
+    phrase = "we hold these truths to be self evident".split()
+    rows = [(i, " ".join(phrase)) for i in range(60)] + [(100, " ".join(phrase)), (101, " ".join(rng.sample(phrase, 8)))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    got = pitman_yor.score(spark.read.parquet(str(tmp_path / "docs")), F.col("doc_id") < 100).collect()
+    score = {r["doc_id"]: r["score"] for r in got}
+    assert len(got) == 62 and score[100] > score[101] + 5
+
+
 def test_without_training_rows(spark, documents):
     got = pitman_yor.score(documents, F.lit(False)).collect()
     assert len(got) == 10 and {r["train_tokens"] for r in got} == {0}

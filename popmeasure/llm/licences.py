@@ -1,27 +1,31 @@
 """Licence scan: an exact set-similarity join of text blocks with licence templates, and the places of fixed phrases.
 
-Words are runs of `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]` after A-Z are lowered; a block is a line's set of words. A
-template meets a block when the block holds at least `threshold` of the template's distinct words.
+Words are runs of `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]` after A-Z are lowered. Blocks are windows of words, wherever the lines
+break: a template of n words meets a text where n + max(8, n / 4) consecutive words hold at least `threshold` of the
+template's distinct words. So a wrapped notice is met, and words scattered over a long line are not.
 
 The join is exact and filtered in three ways. Words are ordered by how many documents of the whole corpus hold them,
-rarest first (a Spark count of the templates' words over all texts). Prefix: a template with n words that needs t of
-them meets a block only if the block holds one of its first n - t + 1 words, so an index of these few words finds the
-candidates. Length: the block has at least t words. Position: as the template's words are looked up in order, a pair is
-given up as soon as the words left cannot reach t. Templates are given by the caller, `MAX_TEMPLATES` at most.
+rarest first (a Spark count of the templates' words over all texts). Prefix: a template with n distinct words that needs
+t of them meets a text only if the text holds one of its first n - t + 1 words, so an index of these few words finds the
+candidates. Length: the text has at least t distinct words. Position: as the template's words are looked up in order, a
+pair is given up as soon as the words left cannot reach t. Windows slide over the texts that are left, from one word of
+the template to the next. Templates are given by the caller, `MAX_TEMPLATES` at most.
 
 Phrases are found at every place where their words stand consecutively, across lines, overlapping ones included.
 
 Defined results: null and empty texts have no words, places or labels and score 0. Templates without a word never meet.
-The score is the highest containment of any template in any block, 1 where a phrase stands. Repeated documents each keep
+The score is the highest containment of any template in any window, 1 where a phrase stands. Repeated documents each keep
 their row.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -38,7 +42,8 @@ PHRASES = {
     "apache license version 2": "apache-2",
     "cc by nc": "cc-by-nc",
 }
-# Short notices by which works name their licence, with a label.
+# Short notices by which works name their licence, and headers of licences, with a label. The GNU headers
+# differ by a word or two, which containment does not tell apart: they share a label.
 TEMPLATES = (
     ("mit", "Released under the MIT License"),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
@@ -50,6 +55,55 @@ TEMPLATES = (
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
     ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("all-rights-reserved", "Copyright. All rights reserved"),
+    (
+        "mit",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+        'documentation files (the "Software"), to deal in the Software without restriction, including without '
+        "limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the "
+        "Software, and to permit persons to whom the Software is furnished to do so, subject to the following "
+        "conditions: The above copyright notice and this permission notice shall be included in all copies or "
+        "substantial portions of the Software.",
+    ),
+    (
+        "apache-2",
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance '
+        "with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless "
+        "required by applicable law or agreed to in writing, software distributed under the License is distributed on "
+        'an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License '
+        "for the specific language governing permissions and limitations under the License.",
+    ),
+    (
+        "gnu",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
+        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
+        "option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY "
+        "WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the "
+        "GNU General Public License for more details.",
+    ),
+    (
+        "bsd",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
+        "the following conditions are met: Redistributions of source code must retain the above copyright notice, this "
+        "list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above "
+        "copyright notice, this list of conditions and the following disclaimer in the documentation and/or other "
+        "materials provided with the distribution.",
+    ),
+    (
+        "mpl-2",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was "
+        "not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    ),
+    (
+        "isc",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+        "granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    ),
+    (
+        "unlicense",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, "
+        "publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, "
+        "for any purpose, commercial or non-commercial, and by any means.",
+    ),
 )
 
 
@@ -59,14 +113,17 @@ class TemplateIndex:
 
     labels: tuple[str, ...]
     words: tuple[tuple[bytes, ...], ...]
+    sets: tuple[frozenset[bytes], ...]
+    spans: tuple[int, ...]
     needed: tuple[int, ...]
     by_word: Mapping[bytes, tuple[int, ...]]
 
     @classmethod
     def of(cls, templates: Sequence[tuple[str, str]], frequency: Mapping[bytes, int], threshold: float) -> TemplateIndex:
-        labels, words, needed, by_word = [], [], [], {}
+        labels, words, spans, needed, by_word = [], [], [], [], {}
         for label, text in templates:
-            ordered = sorted(set(plain_words(text)), key=lambda w: (frequency.get(w, 0), w))
+            listed = plain_words(text)
+            ordered = sorted(set(listed), key=lambda w: (frequency.get(w, 0), w))
             if not ordered:
                 continue
             least = max(1, math.ceil(threshold * len(ordered) - 1e-9))
@@ -74,11 +131,18 @@ class TemplateIndex:
                 by_word.setdefault(word, []).append(len(labels))
             labels.append(label)
             words.append(tuple(ordered))
+            spans.append(len(listed) + max(8, len(listed) // 4))
             needed.append(least)
-        return cls(tuple(labels), tuple(words), tuple(needed), {w: tuple(t) for w, t in by_word.items()})
+        sets = tuple(map(frozenset, words))
+        index = {w: tuple(t) for w, t in by_word.items()}
+        return cls(tuple(labels), tuple(words), sets, tuple(spans), tuple(needed), index)
 
     def met(self, block: set[bytes]) -> list[tuple[str, float]]:
         """(label, containment) of the templates that the block meets."""
+        return [(self.labels[t], held / len(self.words[t])) for t, held in self._meeting(block)]
+
+    def _meeting(self, block: set[bytes]) -> list[tuple[int, int]]:
+        """(template, words held) of the templates that the block meets."""
         candidates = {t for w in block & self.by_word.keys() for t in self.by_word[w]}
         out = []
         for t in sorted(candidates):
@@ -91,9 +155,38 @@ class TemplateIndex:
                 if held + len(words) - place - 1 < least:
                     break
             else:
-                out.append((self.labels[t], held / len(words)))
+                out.append((t, held))
         return out
 
+    def windows(self, words: list[bytes], held: set[bytes]) -> list[tuple[int, str, float]]:
+        """(first word, label, containment) of the best window in every run of windows that meet a template.
+
+        `held` is the set of the words.
+        """
+        out = []
+        for t, _ in self._meeting(held):
+            own, span, least = self.sets[t], self.spans[t], self.needed[t]
+            at = [i for i, w in enumerate(words) if w in own]
+            inside: Counter = Counter()
+            first, best = 0, (0, 0)
+            for i in at:
+                inside[words[i]] += 1
+                while at[first] <= i - span:
+                    gone = words[at[first]]
+                    inside[gone] -= 1
+                    if not inside[gone]:
+                        del inside[gone]
+                    first += 1
+                if len(inside) < least:
+                    if best[1]:
+                        out.append((best[0], self.labels[t], best[1] / len(own)))
+                    best = (0, 0)
+                elif len(inside) > best[1]:
+                    best = (at[first], len(inside))
+            if best[1]:
+                out.append((best[0], self.labels[t], best[1] / len(own)))
+        return sorted(out)
+
 
 def word_frequencies(docs: DataFrame, words: set[bytes], text: str = "text") -> dict[bytes, int]:
     """In how many documents of the whole corpus each of the given words occurs."""
@@ -135,7 +228,7 @@ def scan(
 ) -> DataFrame:
     """One row per document row: id, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks.
 
-    `blocks` lists the lines that met a template: line number, label, containment.
+    `blocks` lists the windows that met a template: line of the first word, label, containment.
     """
     if len(templates) > MAX_TEMPLATES:
         raise ValueError(f"over {MAX_TEMPLATES} templates")
@@ -152,8 +245,10 @@ def scan(
         base = {asked[k][1] for _, k in places}
         blocks = []
         if held & prefix:
-            for number, line in enumerate(value.split("\n")):
-                blocks += [(number, label, share) for label, share in index.met(set(plain_words(line)))]
+            blocks = index.windows(words, held)
+        if blocks:
+            ends = list(accumulate(len(plain_words(line)) for line in value.split("\n")))
+            blocks = [(bisect_right(ends, start), label, share) for start, label, share in blocks]
         starts = [s for s, _ in places]
         return (
             len(words),

@@ -238,6 +238,39 @@ def test_containment_join_equals_brute_force():
         assert sorted(index.met(block)) == sorted(want)
 
 
+def test_wrapped_notices_and_scattered_words(spark):
+    bsd = " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided"
+    mpl = "// This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0. If a copy"
+    apache = "# Licensed under the Apache\n# License, Version 2.0 (the"
+    filler = "some other words that stand between these ones here "
+    scattered = f"Copyright {filler * 3} all {filler * 3} rights {filler * 3} reserved"
+    gnu = dict(licences.TEMPLATES)["gnu"].replace("program", "library").replace(" 3 ", " 2 ")
+    rows = [bsd, mpl, apache, scattered, "x\n\nCopyright (c) 2020 Jane Doe.\nAll rights reserved.", "\n".join(gnu.split())]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licences.scan(docs).collect()}
+    assert [got[i]["labels"] for i in range(6)] == ["bsd", "mpl-2", "apache-2", "", "all-rights-reserved", "gnu"]
+    assert got[4]["blocks"][0]["line"] == 2 and got[3]["score"] == 0
+
+
+def test_windows_equal_brute_force():
+    rng = random.Random(5)
+    words = [f"w{i}".encode() for i in range(25)]
+    templates = [(f"t{k}", " ".join(w.decode() for w in rng.sample(words, rng.randint(2, 8)))) for k in range(10)]
+    index = licences.TemplateIndex.of(templates, {w: rng.randint(0, 9) for w in words}, 0.8)
+    for _ in range(50):
+        text = [rng.choice(words) for _ in range(rng.randint(0, 60))]
+        got, want = {}, {}
+        for _, label, share in index.windows(text, set(text)):
+            got[label] = max(share, got.get(label, 0))
+        for label, template in templates:
+            own = set(plain_words(template))
+            span = len(own) + 8
+            most = max((len(own & set(text[i : i + span])) for i in range(len(text))), default=0)
+            if most >= math.ceil(0.8 * len(own) - 1e-9):
+                want[label] = most / len(own)
+        assert got == want
+
+
 # --- quality ---------------------------------------------------------------------------------------------------------
 
 

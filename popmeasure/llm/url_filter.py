@@ -5,15 +5,17 @@ longest fitting rule wins, of equally long ones the first in order. Rules are pl
 
 What no rule decides is judged by smoothed variable-order Markov models of accepted and rejected URLs, both over the text
 behind `://`, A-Z lowered, cut to an alphabet of 40 signs (any other character is one more sign). A context is the last
-0 to `order` characters; it is kept where at least one in `1 / least_share` training positions has it, so there are never
-more than 1 / least_share contexts per order, however long the corpus. In a kept context the probability of a sign is
-interpolated with that of the shorter context (Witten-Bell); elsewhere the longest kept context counts. The score is
-the mean over the characters of log p(accepted) - log p(rejected).
+0 to `order` characters. Every context that the training URLs hold is kept: of 41 signs and the mark in front of a text there
+are at most 72,410 of 0 to 3 characters, however long the corpus (a caller may ask for those only that have at least
+`least_share` of the positions). In a context the probability of a sign
+is interpolated with that of the shorter context (Witten-Bell); where a context is unknown the longest known one counts.
+The score is the mean over the characters of log p(accepted) - log p(rejected). The model is sparse: a context lists the
+signs seen behind it; for any other sign its factor goes on top of the shorter context's value.
 
 The threshold is calibrated on every fifth training URL (by hash), which the counts leave out: of the middles between
 neighbouring bins of a score histogram the one with the least sum of the two error shares, of equal ones the middle one.
 
-All of it is DataFrame work; the models (at most 1 + order / least_share rows) are one constant of the plan.
+All of it is DataFrame work; the model (at most `most_contexts(order)` rows) is one constant of the plan.
 
 Defined results: null URLs and URLs without `://` have an empty host and path, fit no rule and score 0. A score of at
 least the threshold is allowed. Without accepted or without rejected training URLs every score is 0 and the threshold
@@ -82,8 +84,15 @@ def _positions(urls: DataFrame, order: int) -> DataFrame:
     return each.select("label", "n", context.alias("context"), sign.cast("int").alias("sign"))
 
 
-def model_rows(urls: DataFrame, order: int, least_share: float) -> DataFrame:
-    """(context, delta): for each kept context log p(accepted) - log p(rejected) of all signs.
+def most_contexts(order: int) -> int:
+    """How many contexts of 0 to `order` characters there can be: marks in front, then signs."""
+    return sum(SIGNS**k for n in range(order + 1) for k in range(n + 1))
+
+
+def model_rows(urls: DataFrame, order: int, least_share: float = 0.0) -> DataFrame:
+    """(context, back, seen): for each kept context log p(accepted) - log p(rejected) of the signs seen behind it.
+
+    `back` is what is added to the shorter context's value for all other signs.
 
     `urls` has label (1 accepted, 0 rejected) and signs.
     """
@@ -123,12 +132,19 @@ def model_rows(urls: DataFrame, order: int, least_share: float) -> DataFrame:
                 )
             )
 
-        done = now.withColumns({"acc_q": smoothed("acc"), "rej_q": smoothed("rej")})
-        done = done.select("context", "acc_q", "rej_q")
+        def left(side: str) -> Column:
+            total = F.col(f"{side}_n") + F.col(f"{side}_t")
+            return F.when(total == 0, F.lit(0.0)).otherwise(F.log(F.col(f"{side}_t") / total))
+
+        done = now.withColumns({"acc_q": smoothed("acc"), "rej_q": smoothed("rej"), "back": left("acc") - left("rej")})
+        done = done.select("context", "acc_q", "rej_q", "back", F.col("seen.sign").alias("signs"))
         level = done = written(done)
         rows = done if n == 0 else rows.unionByName(done)
-    delta = F.transform(F.arrays_zip("acc_q", "rej_q"), lambda x: F.log(x["acc_q"]) - F.log(x["rej_q"]))
-    return rows.select("context", delta.alias("delta"), F.xxhash64("context").alias("key"))
+    seen = F.transform(
+        "signs",
+        lambda k: F.struct(k.alias("sign"), (F.log(F.get("acc_q", k)) - F.log(F.get("rej_q", k))).alias("delta")),
+    )
+    return rows.select("context", "back", seen.alias("seen"), F.xxhash64("context").alias("key"))
 
 
 def _same(model: LiteralTable, context: Column) -> Column:
@@ -143,8 +159,26 @@ def score_column(model: LiteralTable, signs: Column, order: int) -> Column:
         sign = F.greatest(F.instr(F.lit(ALPHABET), F.substring(padded, i + order, F.lit(1))), F.lit(0)).cast("int")
         contexts = [F.substring(padded, i + order - n, F.lit(n)) if n else F.lit("") for n in range(order, -1, -1)]
         # one mention of the model: each would be a copy of it in the plan
-        found = F.transform(F.array(*contexts), lambda c: F.get(F.get(_same(model, c), F.lit(0))["delta"], sign))
-        return F.coalesce(F.get(F.filter(found, lambda x: x.isNotNull()), F.lit(0)), F.lit(0.0))
+        found = F.transform(F.array(*contexts), lambda c: F.get(_same(model, c), F.lit(0)))
+        parts = F.transform(
+            found,
+            lambda x: F.struct(
+                F.get(F.filter(x["seen"], lambda y: y["sign"] == sign), F.lit(0))["delta"].alias("delta"),
+                F.coalesce(x["back"], F.lit(0.0)).alias("back"),
+            ),
+        )
+        # from the longest context on: the factors of those that lack the sign, then the value of the first that has it
+        start = F.struct(F.lit(0.0).alias("sum"), F.lit(False).alias("over"))
+        ended = F.aggregate(
+            parts,
+            start,
+            lambda acc, x: F.when(acc["over"], acc).otherwise(
+                F.struct(
+                    (acc["sum"] + F.coalesce(x["delta"], x["back"])).alias("sum"), x["delta"].isNotNull().alias("over")
+                )
+            ),
+        )
+        return ended["sum"]
 
     size = F.length(signs)
     total = F.aggregate(F.sequence(F.lit(1), size), F.lit(0.0), lambda acc, i: acc + at(i))
@@ -178,7 +212,7 @@ def judge(
     rules: Sequence[Rule],
     url: str = "url",
     order: int = 3,
-    least_share: float = 1 / 4096,
+    least_share: float = 0.0,
     accepted: DataFrame | None = None,
     rejected: DataFrame | None = None,
 ) -> DataFrame:
@@ -198,7 +232,7 @@ def judge(
         training = parts[0].unionByName(parts[1])
     spared = F.pmod(F.xxhash64("signs"), F.lit(5)) == 0
     rows = model_rows(training.filter(~spared), order, least_share)
-    model = LiteralTable(rows, "key", round(order / least_share) + 1)
+    model = LiteralTable(rows, "key", most_contexts(order))
     limit, score = 0.0, F.lit(0.0)
     if model.n_rows:
         score = score_column(model, F.col(signs), order)

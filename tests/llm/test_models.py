@@ -86,6 +86,21 @@ def test_url_scores_equal_brute_force(spark):
         assert math.isclose(row["score"], want, abs_tol=1e-9)
 
 
+def test_rare_contexts_of_a_large_corpus_count(spark):
+    """Words on few of many training URLs, in every one of their contexts under 1/4096 of the positions."""
+    common = [(f"http://a.org/{i % 10}{i // 10 % 10}{i // 100 % 10}{i // 1000}",) for i in range(4000)]
+    good, bad = ([(f"http://a.org/{w}{i % 10}",) for i in range(10)] for w in ("qzqx", "zqxq"))
+    frames = [spark.createDataFrame(common + rare, "url string") for rare in (good, bad)]
+    pages = spark.createDataFrame([(1, good[0][0]), (0, bad[0][0])], "page_id long, url string")
+    got = {r["page_id"]: r["score"] for r in url_filter.judge(pages, (), accepted=frames[0], rejected=frames[1]).collect()}
+    training = [(k, r["url"].split("://")[1]) for k in (0, 1) for r in frames[1 - k].collect()]
+    rows = spark.createDataFrame(training, "label int, signs string")
+    used = [(r["label"], r["signs"]) for r in rows.filter(F.pmod(F.xxhash64("signs"), F.lit(5)) != 0).collect()]
+    for i, (url,) in ((1, good[0]), (0, bad[0])):
+        assert math.isclose(got[i], brute_delta(used, url.split("://")[1], 3, 0.0), abs_tol=1e-9)
+    assert got[1] > got[0] + 0.1
+
+
 # --- nearest vectors -------------------------------------------------------------------------------------------------
 
 

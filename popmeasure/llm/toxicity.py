@@ -5,7 +5,9 @@ decay ** (characters it spans in both strings), so a gap or an inserted characte
 word. Values are normalised by the strings' own.
 
 A sentence is the bag of its tokens: text is lowered, ASCII punctuation inside and around words is deleted, words are cut
-at white space, and three or more single characters in a row are one token. A token of over 24 characters is viewed
+at white space, and three or more single characters in a row, whatever white space and punctuation stands between them,
+are one token more. Text is seen through these tokens only: a word split into pieces of several characters (`id iot`) and
+an insult of several ordinary words are not found. A token of over 24 characters is viewed
 through windows of 24 that overlap by 12. A sentence is as toxic as its worst token, a document as its worst sentence.
 
 Training takes at most `max_labelled` labelled documents of either class (those with the smallest hash of their id).
@@ -42,14 +44,14 @@ from popmeasure.llm.words import gathered, texts
 WIDTH, OVERLAP = 24, 12
 _MEMO = 1_500_000
 _PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum())
-_SINGLES = re.compile(rb"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
+_SINGLE = rb"(?:[^\s\x80-\xff]|[\xc2-\xf4][\x80-\xbf]+)"
+_SINGLES = re.compile(rb"(?<!\S)" + _SINGLE + rb"(?:\s+" + _SINGLE + rb"){2,}(?!\S)")
 
 
 def tokens_of(text: str | None) -> list[str]:
     """Distinct tokens of a text."""
     if not text:
         return []
-    # a character of a single-letter run takes one byte here; longer ones only meet the plain path
     raw = text.lower().encode("utf-8", "surrogatepass").translate(None, _PUNCTUATION)
     found = set(raw.split())
     if _SINGLES.search(raw):

@@ -330,6 +330,13 @@ def test_toxicity_finds_insults_and_their_variants(spark, documents):
     assert scored.filter("p between 0 and 1").count() == 10
 
 
+@pytest.mark.parametrize("text", ["i d i o t", "i . d . i . o . t", "i  d  i  o  t", "i\nd\ni\no\nt", "so: i - d\t i, o  t !"])
+def test_spelled_out_words_are_one_token(text):
+    assert "idiot" in toxicity.tokens_of(text)
+    accented = toxicity.tokens_of(text.replace("i", "é"))
+    assert "édéot" in accented
+
+
 def test_remainder_matches_crc32(spark):
     from popmeasure.llm.common import remainder
 

@@ -224,3 +224,15 @@ def language_column(model: RankProfiles, text: Column | str) -> Column:
 
 def train(docs: DataFrame, lang: str = "lang", text: str = "text", size: int = 300) -> RankProfiles:
     return RankProfiles.of(profiles(docs, lang, text, size), size)
+
+
+def least_scores(
+    learned: DataFrame, lang: Column, found: Column, quantile: float = 0.01, share: float = 0.9
+) -> dict[str, float]:
+    """For each language the score under which a text is unlike it: `share` of a low quantile of its own texts' scores.
+
+    `learned` has the texts that were learned from, with their language and what `language_column` found.
+    """
+    own = learned.select(lang.cast("string").alias("lang"), found.alias("found")).filter("found.lang_pred = lang")
+    low = own.groupBy("lang").agg(F.percentile_approx("found.score", quantile).alias("q"))
+    return {r["lang"]: share * r["q"] for r in low.collect()}  # one row a language that has a profile

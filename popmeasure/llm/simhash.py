@@ -68,6 +68,14 @@ def add_fingerprints(docs: DataFrame, id_column: str = "doc_id", text: str = "te
     return slim.mapInPandas(run, "id long, fp long").withColumnRenamed("id", id_column)
 
 
+def fingerprint_column(text: str, width: int = 3) -> Column:
+    @F.pandas_udf("long")
+    def prints(values: pd.Series) -> pd.Series:
+        return pd.Series([fingerprint(spaced_words(v if isinstance(v, str) else None), width) for v in values])
+
+    return prints(text)
+
+
 def _half_points(fp: Column) -> Column:
     """The two half points as long numbers: 16 coordinates of two bits, each the bit count of its segment."""
     halves = F.array(fp.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(fp, 32))
@@ -144,16 +152,25 @@ def hex_fingerprint(fp: Column | str) -> Column:
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One document of each component: the row with the smallest id. Rows without an id stay.
 
-    The rows that go are found on (id, fingerprint) alone; the documents meet only their ids. Where an id and its text
+    The rows that go are found on (id, fingerprint) alone; the documents meet only their ids. Where an id stands on
+    several texts of which some go, the fingerprints of its rows are made again to tell which. Where an id and its text
     are repeated, one of these rows stays.
     """
-    own, component = free(docs, "own", "component")
+    own, component, print_ = free(docs, "own", "component", "fp")
     found = near_duplicates(docs, id_column, text, **options)
-    classes = written(found.select(F.col(id_column).alias(own), "fp", F.col("component_id").alias(component)))
-    gone = classes.filter(F.col(own) != F.col(component)).select(own).distinct()
-    rows = docs.join(gone, docs[id_column] == F.col(own), "left_anti")
-    repeats = classes.filter(F.col(own).isNotNull()).groupBy(own, "fp").count().filter("count > 1")
-    if repeats.isEmpty():
+    classes = found.select(F.col(id_column).alias(own), F.col("fp").alias(print_), F.col("component_id").alias(component))
+    classes = written(classes.filter(F.col(own).isNotNull()).groupBy(own, print_, component).count())
+    first = F.col(own) == F.col(component)
+    gone = written(classes.filter(~first).select(own, print_))
+    mixed = written(gone.join(classes.filter(first).select(own), own, "left_semi"))
+    rows = docs.join(gone.select(own).distinct(), docs[id_column] == F.col(own), "left_anti")
+    if not mixed.isEmpty():
+        ids = mixed.select(own).distinct()
+        doubtful = docs.join(ids, docs[id_column] == F.col(own), "left_semi")
+        doubtful = doubtful.withColumn(print_, fingerprint_column(text, options.get("width", 3)))
+        same = (doubtful[id_column] == mixed[own]) & (doubtful[print_] == mixed[print_])
+        rows = rows.unionByName(doubtful.join(mixed, same, "left_anti").drop(print_))
+    if classes.filter("count > 1").isEmpty():
         return rows
     named = rows.filter(F.col(id_column).isNotNull()).dropDuplicates([id_column, text])
     return named.unionByName(rows.filter(F.col(id_column).isNull()))

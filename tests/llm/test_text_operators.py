@@ -130,6 +130,15 @@ def test_near_duplicates_of_texts(spark, documents):
     assert ids.count(None) == 2 and 2 not in ids and {1, 3, 6, 9} <= set(ids) and len(ids) == 6
 
 
+def test_keep_one_where_an_id_stands_on_several_texts(spark):
+    shared, lone = "one two three four five six seven", "nothing else in here is like this text at all"
+    rows = [(1, shared, "a"), (2, shared, "b"), (2, lone, "c"), (3, "entirely other words again", "d"), (3, None, "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp string")
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r["fp"] for r in kept.collect()) == ["a", "c", "d", "e"]
+
+
 def test_grid_finds_every_link(spark):
     rng = random.Random(5)
     points = set()

@@ -1,7 +1,7 @@
 import math
 
 import pytest
-from conftest import plan
+from helpers import plan
 from pyspark.sql import functions as F
 
 from popmeasure.operators.breakdown import by_area, by_characteristic, proportion_by_characteristic

@@ -3,7 +3,7 @@
 import re
 
 import pytest
-from conftest import plan
+from helpers import plan
 from pyspark.sql import functions as F
 
 from popmeasure.operators.extract import any_code_filter, extract_admissions

@@ -5,6 +5,10 @@ sides of the comparison therefore return the numbers as DOUBLE and the flag as t
 """
 
 NUMBERS = {
+    "csv_round_trip": ["age"],
+    "full_join_repeated_keys": ["n", "age_code", "population_count"],
+    "matrix_all_margins": ["imd_quintile"],
+    "schema_difference": [f"{side}_{c}" for side in ("first", "second") for c in ("rows", "nulls", "distinct_values")],
     "extract_deaths_rows": ["age", "is_deceased"],
     "death_cohort_rows": ["age", "is_deceased"],
     "lookup_join_salted": ["is_deceased"],

@@ -298,18 +298,61 @@ add(
     EXTRACT,
     f"SELECT {EXTRACT_COLUMNS.format(date='CAST(admission_date AS VARCHAR)')} FROM all_data",
 )
-for name, days in (("admission_cohort", 90), ("admission_cohort_in_order", 30)):
+for name, days in (("admission_cohort", 90), ("admission_cohort_in_order", 30), ("bucketed_cohort", 90)):
     add(
         name,
         EXTRACT
         + """, numbered AS (
   SELECT *, row_number() OVER (PARTITION BY nhs_number, diagnosis_group
     ORDER BY admission_date, episode_id, provider_code) AS rn FROM all_data)""",
-        f"""SELECT {EXTRACT_COLUMNS.format(date="CAST(admission_date AS VARCHAR)")} FROM numbered a
+        f"""SELECT {EXTRACT_COLUMNS.format(date="CAST(admission_date AS VARCHAR)")}, rn FROM numbered a
 WHERE NOT EXISTS (SELECT 1 FROM numbered b WHERE a.nhs_number = b.nhs_number
   AND a.diagnosis_group = b.diagnosis_group AND a.rn = b.rn + 1
   AND a.admission_date <= b.admission_date + INTERVAL {days} DAY)""",
     )
+add(
+    "extract_admissions_numbered",
+    EXTRACT,
+    f"""SELECT {EXTRACT_COLUMNS.format(date="CAST(admission_date AS VARCHAR)")},
+  row_number() OVER (PARTITION BY nhs_number, diagnosis_group ORDER BY admission_date, episode_id) AS rn FROM all_data""",
+)
+add(
+    "admission_episodes",
+    EXTRACT
+    + """, marked AS (
+  SELECT nhs_number, diagnosis_group, admission_date, coalesce(admission_date > lag(admission_date) OVER w
+    + INTERVAL 90 DAY, true) AS opens FROM all_data
+  WINDOW w AS (PARTITION BY nhs_number, diagnosis_group ORDER BY admission_date)),
+islands AS (
+  SELECT *, sum(opens::INTEGER) OVER (PARTITION BY nhs_number, diagnosis_group ORDER BY admission_date
+    RANGE UNBOUNDED PRECEDING) AS island FROM marked)""",
+    """SELECT nhs_number, diagnosis_group, CAST(min(admission_date) AS VARCHAR) AS start,
+  CAST(max(admission_date) AS VARCHAR) AS "end", count(*) AS admissions FROM islands
+GROUP BY nhs_number, diagnosis_group, island""",
+)
+add(
+    "elective_without_recent_emergency",
+    PERSON,
+    """SELECT episode_id, CAST(person_id AS VARCHAR) AS nhs_number, CAST(event_date AS VARCHAR) AS admission_date,
+  method AS admission_method_description
+FROM person a WHERE method <> '1-URGENT' AND NOT EXISTS (
+  SELECT 1 FROM person b WHERE b.method = '1-URGENT' AND a.person_id = b.person_id
+    AND b.event_date <= a.event_date AND a.event_date <= b.event_date + INTERVAL 120 DAY)""",
+)
+add(
+    "record_index",
+    "",
+    """SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_orderkey) AS index
+FROM orders""",
+)
+add(
+    "first_title_in_file_order",
+    LOOKUPS,
+    """SELECT icd10_code, icd10_short_title, icd_subgroup FROM (
+  SELECT *, row_number() OVER (PARTITION BY icd_subgroup ORDER BY position) AS rn
+  FROM (SELECT *, CASE WHEN length(icd10_code) >= 3 THEN substr(icd10_code, 1, 3) END AS icd_subgroup FROM listing))
+WHERE rn = 1""",
+)
 add(
     "first_admission_in_gap",
     REGISTER
@@ -322,14 +365,23 @@ FROM numbered a LEFT JOIN numbered b ON a.person = b.person AND a.chapter = b.ch
   AND a.admitted <= b.admitted + INTERVAL 90 DAY
 WHERE b.person IS NULL""",
 )
-add(
-    "latest_ethnicity",
-    f"""patient_index AS (
+PATIENT_INDEX = f"""patient_index AS (
   SELECT CASE WHEN o_custkey % 97 <> 0 THEN CAST(o_custkey AS VARCHAR) END AS pseudo_nhs_number,
     CASE WHEN o_orderkey % 13 <> 0 THEN substr('{LETTERS}', CAST(o_orderkey % 18 + 1 AS INTEGER), 1) END AS ethnic_code,
     CASE WHEN o_orderkey % 7 = 0 THEN '' WHEN o_orderkey % 11 <> 0 THEN o_orderpriority END AS ethnicity_category,
     CAST(o_orderdate AS DATE) AS recorded, o_orderkey AS record_id
-  FROM orders),
+  FROM orders)"""
+add(
+    "ethnicity_numbered",
+    PATIENT_INDEX,
+    """SELECT * REPLACE (CAST(recorded AS VARCHAR) AS recorded),
+  row_number() OVER (ORDER BY pseudo_nhs_number, recorded, record_id) AS rn FROM patient_index
+WHERE ethnicity_category <> '' AND ethnic_code <> 'Z' AND pseudo_nhs_number IS NOT NULL""",
+)
+add(
+    "latest_ethnicity",
+    PATIENT_INDEX
+    + """,
 numbered AS (
   SELECT *, row_number() OVER (PARTITION BY pseudo_nhs_number ORDER BY recorded DESC, record_id DESC) AS rn
   FROM patient_index
@@ -507,15 +559,51 @@ add(
     "SELECT residence_la_code, icd_subgroup, cvd_group, count(*) AS n FROM sources GROUP BY 1, 2, 3",
 )
 add("deaths_multi_cause_by_sex", MULTI_CAUSE, "SELECT sex, cvd_group, count(*) AS n FROM sources GROUP BY 1, 2")
-SPARK_TYPE = """CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string'
-  WHEN 'DOUBLE' THEN 'double' WHEN 'DATE' THEN 'date' WHEN 'TIMESTAMP' THEN 'timestamp_ntz'
-  ELSE replace(lower(column_type), ' ', '') END"""
+
+
+def profile(side: str, source: str, columns: dict[str, str]) -> str:
+    """(column_name, type, rows, nulls, distinct values) of the named columns, one SELECT for each."""
+    return " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, '{t}' AS {side}_type, count(*) AS {side}_rows, count(*) - count({c}) AS {side}_nulls, "
+        f"count(DISTINCT {c}) AS {side}_distinct_values FROM {source}"
+        for c, t in columns.items()
+    )
+
+
+REGISTER_TYPES = {
+    "patient_id": "string",
+    "sex": "int",
+    "marital_status": "string",
+    "place_of_death_code": "string",
+    "age": "int",
+    "lsoa": "string",
+    "residence_la_code": "string",
+    "ethnic_code": "string",
+    "deaths_weight": "bigint",
+    "record_id": "bigint",
+}
+ADMISSION_TYPES = {
+    "episode_id": "bigint",
+    "nhs_number": "string",
+    "diagnosis_group": "string",
+    "age_on_admission": "int",
+    "gender": "string",
+    "lsoa_2011": "string",
+    "local_authority": "string",
+    "gp_code": "string",
+    "ethnic_code": "string",
+    "admission_method_description": "string",
+}
 add(
     "schema_difference",
-    "",
-    f"""SELECT coalesce(a.column_name, b.column_name) AS column_name, a.kind AS first_type, b.kind AS second_type
-FROM (SELECT column_name, {SPARK_TYPE} AS kind FROM (DESCRIBE orders)) a
-FULL JOIN (SELECT column_name, {SPARK_TYPE} AS kind FROM (DESCRIBE customer)) b USING (column_name)""",
+    REGISTER
+    + f""", raw_admissions AS (
+  SELECT episode_id, CAST(person_id AS VARCHAR) AS nhs_number, 'I' || {two_digits("(episode_id * 7 % 100)")}
+      AS diagnosis_group, age AS age_on_admission, person_id % 3 AS gender, lsoa AS lsoa_2011, la_code AS local_authority,
+    person_id % 40 AS gp_code, ethnic_code, method AS admission_method_description FROM person),
+a AS ({profile("first", "register", REGISTER_TYPES)}),
+b AS ({profile("second", "raw_admissions", ADMISSION_TYPES)})""",
+    "SELECT * FROM a FULL JOIN b USING (column_name)",
 )
 add("row_id_uniqueness", "", 'SELECT count(*) AS ids, count(*) AS "rows" FROM orders')
 
@@ -923,6 +1011,54 @@ add(
   CAST(row_number() OVER (PARTITION BY sex ORDER BY deaths, ethnicity) AS INTEGER) AS position
 FROM (SELECT ethnicity, sex, count(*) / 10.0::DOUBLE AS deaths FROM base GROUP BY 1, 2)""",
 )
+add(
+    "rank_over_all",
+    deaths("primary", "icd10"),
+    f"""SELECT ethnicity, sex, {r6("deaths")} AS deaths,
+  row_number() OVER (ORDER BY deaths DESC, ethnicity, sex NULLS FIRST) AS position
+FROM (SELECT ethnicity, sex, count(*) / 10.0::DOUBLE AS deaths FROM base GROUP BY 1, 2)""",
+)
+add(
+    "ethnicity_levels",
+    REGISTER + ", " + LOOKUPS,
+    """SELECT ethnicity, dense_rank() OVER (ORDER BY ethnicity) AS by_name,
+  dense_rank() OVER (ORDER BY mean_age DESC NULLS LAST, ethnicity) AS by_age, n
+FROM (SELECT coalesce(label, 'Unknown') AS ethnicity, avg(age) AS mean_age, count(*) AS n
+  FROM register LEFT JOIN coding ON ethnic_code = code GROUP BY 1)""",
+)
+add(
+    "full_join_repeated_keys",
+    ADMISSIONS + ", " + CENSUS,
+    """SELECT coalesce(a.lsoa, p.lsoa) AS lsoa, gender, n, sex, age_code, population_count
+FROM (SELECT lsoa, gender, count(*) AS n FROM (SELECT lsoa, CASE person_id % 3 WHEN 1 THEN 'Male' WHEN 2 THEN 'Female'
+    ELSE 'Not known' END AS gender FROM person) WHERE coalesce(lsoa, '') <> 'L03' GROUP BY 1, 2) a
+FULL JOIN (SELECT CASE WHEN no <> '07' THEN 'L' || no END AS lsoa, sex, age_code, CAST(sum(observation) AS BIGINT)
+    AS population_count FROM census GROUP BY 1, 2, 3) p ON a.lsoa IS NOT DISTINCT FROM p.lsoa""",
+)
+add(
+    "stored_partitions_replaced",
+    REGISTER,
+    """SELECT year, sex, count(*) AS n, CAST(sum(deaths_weight + CASE year WHEN 1996 THEN 10 ELSE 0 END) AS BIGINT)
+  AS deaths FROM (SELECT *, CAST(year(reg_date) AS INTEGER) AS year FROM register)
+WHERE year BETWEEN 1995 AND 1997 AND (year <> 1996 OR sex <> 0) GROUP BY 1, 2""",
+)
+add(
+    "csv_round_trip",
+    REGISTER,
+    f"""SELECT age, count(*) AS n, count(patient_id) AS persons, {", ".join(f"count({c}) AS {c}" for c in CAUSES[:4])},
+  CAST(min(reg_date) AS VARCHAR) AS first_date, max(record_id) AS last_record FROM register GROUP BY 1""",
+)
+add(
+    "matrix_all_margins",
+    ADMISSIONS,
+    f"""SELECT imd_quintile, gender, CAST(margin AS INTEGER) AS margin, CAST(total AS BIGINT) AS total_admissions,
+  CAST(hits AS BIGINT) AS emergency_admissions, round_even(100 * p, 1) AS percentage,
+  round_even(50 * ({score_root("+", "p", "n", "1.64485")} - {score_root("-", "p", "n", "1.64485")}), 1) AS half_width
+FROM (SELECT *, total::DOUBLE AS n, hits::DOUBLE / total AS p FROM (
+  SELECT imd_quintile, gender, grouping(imd_quintile, gender) AS margin, count(*) AS total,
+    count(*) FILTER (WHERE emergency) AS hits FROM admissions
+  GROUP BY GROUPING SETS ((imd_quintile, gender), (imd_quintile), (gender), ())))""",
+)
 add(
     "grand_total",
     ADMISSIONS,

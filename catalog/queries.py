@@ -25,12 +25,14 @@ from popmeasure.functions import (
     two_bands,
 )
 from popmeasure.operators.breakdown import by_characteristic
-from popmeasure.operators.checks import crosstab_counts, null_report
+from popmeasure.operators.checks import compare_columns, crosstab_counts, null_report
 from popmeasure.operators.enrich import duplicate_keys, enrich, map_labels
 from popmeasure.operators.episodes import first_in_gap, latest_per_key, with_row_id
 from popmeasure.operators.extract import any_code_filter, exclude, extract_admissions, extract_deaths, filter_codes
 from popmeasure.operators.extract import usable_ethnicity
-from popmeasure.operators.matrix import matrix_wide
+from popmeasure.operators.joins import full_join, without_earlier
+from popmeasure.operators.levels import with_level_code
+from popmeasure.operators.matrix import matrix_wide, matrix_with_margins
 from popmeasure.operators.measures import (
     count_rows,
     max_group_total,
@@ -42,6 +44,7 @@ from popmeasure.operators.measures import (
     yearly_count,
     yearly_yll,
 )
+from popmeasure.operators.numbering import first_in_file_order, number_rows, number_scan
 from popmeasure.operators.reshape import distinct_causes_in_row, explode_causes, primary_cause
 from popmeasure.operators.standardise import join_population, rate_gaps, rate_inputs
 from popmeasure.plans import admissions as adm_plans
@@ -61,7 +64,8 @@ from popmeasure.plans.sources_align import conform_sources, multi_cause_rows
 from popmeasure.sources import bindings as b
 from popmeasure.sources.constants import CENSUS_ETHNICITY, ICD10_GROUP_RULES, SEX_LABELS
 from popmeasure.sources.schemas import CAUSE_COLUMNS
-from popmeasure.sources.tables import inline_table, schema_diff
+from popmeasure.sources.storage import new_path
+from popmeasure.sources.tables import inline_table, load_table, save_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -192,6 +196,46 @@ def admission_cohort_in_order(spark, d):
     return adm_plans.in_person_order(cohort)
 
 
+@query
+def extract_admissions_numbered(spark, d):
+    return adm_plans.numbered_admissions(*_extract_inputs(spark, d), b.AREA_CODES, START, END, salts=8)
+
+
+@query
+def admission_episodes(spark, d):
+    diagnosis, geography = b.episode_diagnosis(spark, d), b.episode_geography(spark, d)
+    return adm_plans.admission_episodes(diagnosis, geography, b.AREA_CODES, START, END, gap_days=90)
+
+
+@query
+def elective_without_recent_emergency(spark, d):
+    """Elective admissions of a person without an emergency admission on the day or in the 120 days before."""
+    rows = b.admissions(spark, d).select("episode_id", "nhs_number", "admission_date", "admission_method_description")
+    urgent = F.col("admission_method_description") == "1-URGENT"
+    return without_earlier(rows.filter(~urgent), rows.filter(urgent), "nhs_number", "admission_date", "admission_date", 120)
+
+
+@query
+def ethnicity_numbered(spark, d):
+    """The usable entries of the patient index, numbered in order of person and date."""
+    usable = usable_ethnicity(b.mh_patient_index(spark, d))
+    return number_rows(usable, ["pseudo_nhs_number", "recorded", "record_id"], "rn")
+
+
+@query
+def record_index(spark, d):
+    """Every record with its place in the stored table."""
+    return number_scan(b.table(spark, d, "orders").select("o_orderkey", "o_custkey"), "index")
+
+
+@query
+def first_title_in_file_order(spark, d):
+    """The first title of each code group, in the order of the stored listing."""
+    listing = b.icd10_listing(spark, d).drop("position", "simplified_cause")
+    groups = listing.withColumn("icd_subgroup", code_prefix("icd10_code", strict=True))
+    return first_in_file_order(groups, "icd_subgroup")
+
+
 @query
 def first_admission_in_gap(spark, d):
     person = F.col("patient_id")
@@ -247,8 +291,9 @@ def deaths_multi_cause_by_sex(spark, d):
 
 @query
 def schema_difference(spark, d):
-    """Columns that two tables do not share, with their types."""
-    return schema_diff(b.table(spark, d, "orders"), b.table(spark, d, "customer"))
+    """The columns of two tables: types, rows, nulls and distinct values on either side."""
+    register_ = b.deaths_register(spark, d).drop(*CAUSE_COLUMNS, "reg_date")
+    return compare_columns(register_, b.admissions(spark, d).drop("admission_date"))
 
 
 PLACE = ("marital_status", "place_of_death_code")
@@ -386,6 +431,15 @@ def ethnicity_split(spark, d):
     )
 
 
+@query
+def ethnicity_levels(spark, d):
+    """Ethnic categories as an ordered category: places among the levels found, by name and by mean age."""
+    rows = add_lookups(b.deaths_register(spark, d).select("ethnic_code", "age"), ethnicity=b.ethnicity_coding(spark))
+    by_name = with_level_code(rows, "ethnicity", out="by_name")
+    by_age = with_level_code(by_name, "ethnicity", by="age", desc=True, out="by_age")
+    return count_rows(by_age, ["ethnicity", "by_name", "by_age"])
+
+
 @query
 def census_label_map(spark, d):
     mapping = inline_table(spark, list(CENSUS_ETHNICITY.items()), "census string, health string")
@@ -409,6 +463,15 @@ def quintiles_and_levels(spark, d):
 # --- joins -----------------------------------------------------------------------------------------------------------
 
 
+@query
+def full_join_repeated_keys(spark, d):
+    """Admissions by place and gender beside the population by place and sex: keys repeat on both sides."""
+    counts = count_rows(b.admissions(spark, d), ["lsoa_2011", "gender"]).withColumnRenamed("lsoa_2011", "lsoa")
+    place = F.when(F.col("lsoa") != "M07", F.translate("lsoa", "M", "L"))
+    people = population_totals(b.census(spark, d).withColumn("lsoa", place), ["lsoa", "sex", "age_code"])
+    return full_join(counts.filter(F.coalesce("lsoa", F.lit("")) != "L03"), people, "lsoa")
+
+
 def _lookup_with_null(spark: SparkSession, d: str) -> DataFrame:
     extra = inline_table(
         spark,
@@ -768,6 +831,46 @@ def dsr_zero_population(spark, d):
     return rate_plans.deprivation_rate(events, thin, years, "imd_decile", 10, fill_missing_count=False)
 
 
+# --- stored tables --------------------------------------------------------------------------------------------------
+
+
+@query
+def stored_partitions_replaced(spark, d):
+    """Deaths stored by year, one year replaced by corrected rows, a span of years read back."""
+    rows = b.deaths_register(spark, d).select("record_id", "sex", "deaths_weight", F.year("reg_date").alias("year"))
+    path = new_path(spark, "deaths")
+    save_table(rows, path, ["year"])
+    corrected = rows.filter("year = 1996 AND sex != 0").withColumn("deaths_weight", F.col("deaths_weight") + 10)
+    save_table(corrected, path, ["year"], replace="partitions")
+    back = load_table(spark, path).filter(F.col("year").between(1995, 1997))
+    return back.groupBy("year", "sex").agg(F.count(F.lit(1)).alias("n"), F.sum("deaths_weight").alias("deaths"))
+
+
+@query
+def csv_round_trip(spark, d):
+    """The register written as text with a header and read back with its schema: nulls, dates and numbers stay."""
+    rows = b.deaths_register(spark, d).select("record_id", "patient_id", "age", "reg_date", *CAUSE_COLUMNS[:4])
+    path = new_path(spark, "register")
+    save_table(rows, path, fmt="csv")
+    back = load_table(spark, path, rows.schema, "csv")
+    return back.groupBy("age").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count("patient_id").alias("persons"),
+        *[F.count(c).alias(c) for c in CAUSE_COLUMNS[:4]],
+        F.min("reg_date").alias("first_date"),
+        F.max("record_id").alias("last_record"),
+    )
+
+
+@query
+def bucketed_cohort(spark, d):
+    """The admission cohort from tables stored by person: gap rule and person join without an exchange."""
+    diagnosis, geography, people = _extract_inputs(spark, d)
+    return adm_plans.cohort_from_buckets(
+        *adm_plans.bucketed_inputs(diagnosis, geography, people, b.AREA_CODES, START, END, buckets=8), gap_days=90
+    )
+
+
 # --- matrix ---------------------------------------------------------------------------------------------------------
 
 
@@ -775,6 +878,18 @@ def _matrix(spark: SparkSession, d: str) -> DataFrame:
     return em_plans.matrix_input(_imd_ethnicity(spark, d))
 
 
+@query
+def matrix_all_margins(spark, d):
+    """Emergency share by quintile and gender with both margins and the total, straight from the admissions."""
+    rows = admissions(spark, d, "lsoa", "methods").select(
+        "imd_quintile",
+        "gender",
+        F.when(F.col("emergency"), 1).otherwise(0).cast("bigint").alias("emergency_admissions"),
+        F.lit(1).cast("bigint").alias("total_admissions"),
+    )
+    return matrix_with_margins(rows, "imd_quintile", "gender", "emergency_admissions", "total_admissions")
+
+
 @query
 def matrix_long(spark, d):
     return _matrix(spark, d)
@@ -798,6 +913,12 @@ def matrix_margin_imd(spark, d):
 # --- ordering, totals, checks ---------------------------------------------------------------------------------------
 
 
+@query
+def rank_over_all(spark, d):
+    cells = yearly_count(primary(spark, d, "ethnicity"), ["sex", "ethnicity"], DEATH_YEARS, "deaths")
+    return order_by_measure(cells, "deaths", desc=True, rank_col="position", tie=["ethnicity", "sex"])
+
+
 @query
 def rank_within_facet(spark, d):
     cells = yearly_count(primary(spark, d, "ethnicity"), ["ethnicity", "sex"], DEATH_YEARS)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from popmeasure.functions.stats import null_max, null_sum, percentage
+from popmeasure.operators.numbering import number_rows
 
 
 def yearly(years: float, weight: str | None = None) -> Column:
@@ -101,16 +102,18 @@ def order_by_measure(
     within: str | None = None,
     desc: bool = False,
     rank_col: str | None = None,
-    tie: str | None = None,
+    tie: str | Sequence[str] = (),
 ) -> DataFrame:
     """Sort categories by a measure, over the whole table or within a facet.
 
-    `rank_col` adds the position within the facet. The input is an aggregated table, one row per category and facet.
+    `rank_col` adds the position, within the facet or over the whole table; without a facet it is a distributed prefix
+    sum (`number_rows`) and no window of one task. Nulls come first, or last in descending order. The input is an
+    aggregated table, one row per category and facet.
     """
     order = F.col(measure).desc() if desc else F.col(measure).asc()
-    ties = [tie] if tie else []
+    ties = [tie] if isinstance(tie, str) else list(tie)
     if rank_col is not None:
         if within is None:
-            raise ValueError("a rank is given within a facet only")
+            return number_rows(df, [order, *ties], rank_col).orderBy(rank_col)
         df = df.withColumn(rank_col, F.row_number().over(Window.partitionBy(within).orderBy(order, *ties)))
     return df.orderBy(*([within] if within else []), order, *ties)

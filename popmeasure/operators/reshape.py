@@ -66,20 +66,18 @@ def distinct_causes_in_row(
 ) -> DataFrame:
     """One row per record and distinct (icd_subgroup, cvd_group) among its causes: each record is its own person.
 
-    The repeats sit in one row, so they are removed there: no row id, no shuffle.
+    The repeats sit in one row, so they are removed there: no row id, no shuffle. Codes are made distinct first and the
+    classifier runs in one lambda over them: a copy of it for each column is a method too large to be compiled.
     """
 
     rules, labels = numbered(ICD10_GROUP_RULES)
 
-    def entry(c: str) -> Column:
-        """Subgroup and number of the group as one text, so that the row's array is compared in generated code."""
-        code = F.col(c)
-        wanted = F.startswith(code, F.lit(prefix)) & (F.length(code) >= 3)
-        wanted = wanted if missing is None else wanted & (code != missing)
+    def entry(code: Column) -> Column:
+        """Subgroup and number of the group as one text, so that the row's array is compared as texts."""
         group = F.coalesce(classify(code, rules), F.lit(len(labels)))
-        return F.when(wanted, F.concat(code_prefix(code), F.lpad(group.cast("string"), 3, "0")))
+        return F.when(code.isNotNull(), F.concat(code_prefix(code), F.lpad(group.cast("string"), 3, "0")))
 
-    found = F.array_distinct(F.array(*[entry(c) for c in causes]))
+    found = F.array_distinct(F.transform(codes_in_row(causes, prefix, missing), entry))
     rows = df.select(*[c for c in df.columns if c not in causes], F.explode(found).alias("__entry"))
     rows = rows.filter(F.col("__entry").isNotNull()).withColumns(
         {

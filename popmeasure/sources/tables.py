@@ -30,16 +30,31 @@ def load_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
     return df.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
-def save_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    """Overwrite a Parquet table.
+def save_table(
+    df: DataFrame, path: str, partition_by: Sequence[str] = (), replace: str = "table", fmt: str = "parquet"
+) -> None:
+    """Overwrite a Parquet or CSV table, or only those of its partitions that `df` has rows of.
 
     With partition columns the rows are rebalanced on them first: small partitions share a file and a partition
     that holds a large part of all rows is split over several tasks.
+
+    `replace="partitions"` leaves the other partitions as they are. New files become visible when the job commits, so
+    a lost executor or a failed job leaves the old partitions in place. `df` must not read the table it replaces.
+    A CSV table gets a header; `load_table` reads an empty text back as null.
     """
-    if partition_by:
-        df.hint("rebalance", *partition_by).write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    if replace not in ("table", "partitions"):
+        raise ValueError(f"replace what? {replace}")
+    if replace == "partitions" and not partition_by:
+        raise ValueError("only a partitioned table can have partitions replaced")
+    rows = df.hint("rebalance", *partition_by) if partition_by else df
+    writer = rows.write.mode("overwrite").partitionBy(*partition_by)
+    writer = writer.option("partitionOverwriteMode", "dynamic" if replace == "partitions" else "static")
+    if fmt == "csv":
+        writer.option("header", True).csv(path)
+    elif fmt == "parquet":
+        writer.parquet(path)
     else:
-        df.write.mode("overwrite").parquet(path)
+        raise ValueError(f"unsupported format: {fmt}")
 
 
 def temp_table(df: DataFrame, name: str, materialise: bool = False) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from popmeasure.llm import (
     decontaminate,
+    fill_middle,
+    hard_negatives,
     language,
     licences,
     neighbours,
@@ -16,6 +18,7 @@ from popmeasure.llm import (
     pitman_yor,
     quality,
     simhash,
+    token_files,
     toxicity,
     url_filter,
 )
@@ -99,6 +102,41 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("held_out", ~F.col("train")).drop("train")
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = docs.select("doc_id", fill_middle.fim_column("doc_id", "text").alias("fim")).select("doc_id", "fim.*")
+    restored = fill_middle.restored_column(F.col("output"), F.col("form"))
+    return found.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(restored, 256).alias("restored_sha256"),
+    )
+
+
+def op12(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    return token_files.round_trip(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer)
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number, label = F.col("vec_id"), F.col("label")
+    whole = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    rows = table(spark, sf_dir, "embeddings").select(
+        number.alias("id"),
+        F.when(number % 7 == 0, (label + 1) % 10).otherwise(label).alias("label"),
+        F.when(whole, F.transform("embedding", lambda x: F.floor(x.cast("double") * 256))).alias("vector"),
+        (number % 100 == 0).alias("anchor"),
+    )
+    return hard_negatives.mine(rows)
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -123,4 +161,7 @@ QUERIES: dict[str, Query] = {
     "op8_licences": _shipped(op8),
     "op9_sentencepiece": _shipped(op9),
     "op10_language_model": _shipped(op10),
+    "op11_fill_in_middle": _shipped(op11),
+    "op12_token_files": _shipped(op12),
+    "op13_hard_negatives": _shipped(op13),
 }

@@ -45,6 +45,8 @@ MAGIC = b"PFORIDS1"
 _HEADER = struct.Struct("<8sIQQQQQ")
 _BLOCK = struct.Struct("<IBI")
 BLOCK = 1024
+#: Marks that never join the letters before them; the apostrophe and the brackets of special tokens can.
+MARKS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 LANES = 32  # values that share whole words: 32 values of w bits are w words
 
 
@@ -108,14 +110,23 @@ def pack_blocks(ids: np.ndarray, block: int = BLOCK, percentile: float = 0.9) ->
     return out
 
 
-def unpack_block(data: bytes | memoryview, at: int, block: int) -> np.ndarray:
-    low, width, n_over = _BLOCK.unpack_from(data, at)
-    at += _BLOCK.size
-    n_words = block // LANES * width
-    out = unpack(np.frombuffer(data, "<u4", n_words, at).reshape(1, -1), width, block)[0]
-    at += 4 * n_words
-    out[np.frombuffer(data, "<u4", n_over, at)] = np.frombuffer(data, "<u4", n_over, at + 4 * n_over)
-    return out + np.uint32(low)
+def unpack_blocks(data: bytes, starts: list[int], block: int) -> np.ndarray:
+    """The ids of the blocks that start there, one after the other; blocks of one width are unpacked together."""
+    heads = [_BLOCK.unpack_from(data, at) for at in starts]
+    out = np.empty((len(starts), block), dtype=np.uint32)
+    by_width: dict[int, list[int]] = {}
+    for k, (_, width, _) in enumerate(heads):
+        by_width.setdefault(width, []).append(k)
+    for width, rows in by_width.items():
+        n_words = block // LANES * width
+        words = [np.frombuffer(data, "<u4", n_words, starts[k] + _BLOCK.size) for k in rows]
+        out[rows] = unpack(np.stack(words), width, block)
+    for k, (low, width, n_over) in enumerate(heads):
+        at = starts[k] + _BLOCK.size + 4 * (block // LANES * width)
+        if n_over:
+            out[k, np.frombuffer(data, "<u4", n_over, at)] = np.frombuffer(data, "<u4", n_over, at + 4 * n_over)
+        out[k] += np.uint32(low)
+    return out.reshape(-1)
 
 
 def file_bytes(
@@ -158,9 +169,8 @@ class FileReader:
         """Ids `start` to `end` of the file; the blocks unpacked last are kept, as documents share blocks."""
         first, last = start // self.block, -(-end // self.block)
         if first < self._first or last * self.block > self._first * self.block + len(self._held):
-            blocks = [unpack_block(self.data, int(at), self.block) for at in self.starts[first:last]]
             self._first = first
-            self._held = np.concatenate(blocks) if blocks else np.zeros(0, dtype=np.uint32)
+            self._held = unpack_blocks(self.data, self.starts[first:last].tolist(), self.block)
         base = self._first * self.block
         return self._held[start - base : end - base]
 
@@ -169,30 +179,90 @@ class FileReader:
         return self.ids(int(self.offsets[k]), int(self.offsets[k + 1]))
 
 
+class StaysLetter(dict[str, bool]):
+    """Whether a letter still ends with a letter when it is normalised; some become a letter and a mark."""
+
+    def __init__(self, normalizer: object):
+        self.normalizer = normalizer
+
+    def __missing__(self, letter: str) -> bool:
+        out = self.normalizer.normalize_str(letter) if self.normalizer else letter
+        self[letter] = out[-1:].isalpha()
+        return self[letter]
+
+
 class WordEncoder:
-    """Texts to ids as little-endian uint32 bytes; remembers up to `most` words of up to `longest` characters."""
+    """Texts to ids as little-endian uint32 bytes, by words that are remembered.
 
-    def __init__(self, tokenizer_path: str, most: int = 1 << 18, longest: int = 64):
+    Up to `most` words of up to `longest` characters, in two generations: a word of the older half that occurs again
+    moves to the newer one, the rest is forgotten when that one is full. A tokenizer that does not drop the blank
+    between two words gets whole texts.
+    """
+
+    def __init__(self, tokenizer_path: str, most: int = 1 << 20, longest: int = 64):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.most, self.longest = most, longest
-        self.known: dict[str, bytes] = {"": b""}
+        self.half, self.longest = most // 2, longest
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        both, one, two = (self._ids([t])[0] for t in ("a b", "a", "b"))
+        self.by_words = both == one + two
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # tokens that end a run of letters
+        self.stays_letter = StaysLetter(self.tokenizer.normalizer)
+        self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """Words of letters only, encoded as one text: each is one run of letters, and ends with its only closing token.
+
+        Every word has such a token, so as many as there are words means one each; else (letters that normalisation
+        splits) the words are encoded one by one.
+        """
+        (joined,) = self._ids([" ".join(words)])
+        ends = np.flatnonzero(self.closes[np.frombuffer(joined, "<u4")]) + 1
+        if len(ends) != len(words):
+            return self._ids(words)
+        ends = (4 * ends).tolist()
+        return [joined[a:b] for a, b in zip([0, *ends], ends)]
+
+    def _encode_new(self, words: list[str]) -> dict[str, bytes]:
+        """A run of marks behind a letter is a run of its own, so it is encoded apart."""
+        stems = [w.rstrip(MARKS) for w in words]
+        plain = list({s for s in stems if s.isalpha() and self.stays_letter[s[-1]]})
+        marks = list({w[len(s) :] for w, s in zip(words, stems, strict=True)})
+        letters = dict(zip(plain, self._letters(plain), strict=True)) if plain else {}
+        tails = dict(zip(marks, self._ids(marks), strict=True))
+        rest = [w for w, s in zip(words, stems, strict=True) if s not in letters]
+        out = dict(zip(rest, self._ids(rest), strict=True))
+        out.update((w, letters[s] + tails[w[len(s) :]]) for w, s in zip(words, stems, strict=True) if s in letters)
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        blank = str.maketrans("\t\n\r", "   ")
-        split = [(t or "").translate(blank).split(" ") for t in texts]
-        new = list(set().union(*split) - self.known.keys()) if split else []
-        found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        self.known.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(new, found, strict=True))
+        if not self.by_words:
+            return self._ids([t or "" for t in texts])
+        split = [(t or "").replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ") for t in texts]
+        known, older = self.known, self.older
+        new = []
+        for w in set().union(*split):
+            if w not in known:
+                if w in older:
+                    known[w] = older[w]
+                else:
+                    new.append(w)
+        if new:
+            known.update(self._encode_new(new))
         out = [b"".join(map(self.known.__getitem__, words)) for words in split]
-        if len(self.known) > self.most:
-            self.known = {"": b""}
-        else:
-            for w in new:
-                if len(w) > self.longest:
-                    del self.known[w]
+        for w in new:
+            if len(w) > self.longest:
+                del self.known[w]
+        if len(self.known) > self.half:
+            self.older, self.known = self.known, {}
         return out
 
 
@@ -304,6 +374,7 @@ def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 reader = FileReader(data.read())
             for first in range(0, len(reader.doc_ids), 200):
                 some = range(first, min(first + 200, len(reader.doc_ids)))
+                reader.ids(int(reader.offsets[some.start]), int(reader.offsets[some.stop]))  # their blocks at once
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([reader.doc_ids[k] for k in some], pa.int64()),

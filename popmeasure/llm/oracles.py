@@ -31,4 +31,27 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM dw LEFT JOIN cover USING (r) LEFT JOIN items USING (r)
 """
 
-ORACLES = {"op4_benchmark_decontamination": DECONTAMINATION}
+FILL_IN_MIDDLE = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+    sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS s FROM documents
+), h AS (
+  SELECT doc_id, t, u, len(u) AS n, CAST('0x' || s[1:8] AS BIGINT) % (len(u) + 1) AS h1,
+    CAST('0x' || s[9:16] AS BIGINT) % (len(u) + 1) AS h2, CAST('0x' || s[25:32] AS BIGINT) % 100 AS h4,
+    t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') AS plain FROM d
+), c AS (
+  SELECT *, array_to_string(u[1 : least(h1, h2)], '') AS p,
+    array_to_string(u[least(h1, h2) + 1 : greatest(h1, h2)], '') AS m,
+    array_to_string(u[greatest(h1, h2) + 1 :], '') AS x FROM h
+), f AS (
+  SELECT *, CASE WHEN plain THEN 'plain' WHEN h4 < 50 THEN 'spm' ELSE 'psm' END AS form FROM c
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CAST(CASE WHEN NOT plain THEN length(p) END AS BIGINT) AS prefix_chars,
+  CAST(CASE WHEN NOT plain THEN length(m) END AS BIGINT) AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || x || '<M>' || m
+    ELSE '<S>' || x || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM f
+"""
+
+ORACLES = {"op4_benchmark_decontamination": DECONTAMINATION, "op11_fill_in_middle": FILL_IN_MIDDLE}

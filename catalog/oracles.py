@@ -457,6 +457,14 @@ add(
     DEATHS,
     "SELECT icd_subgroup, cvd_group, count(*) AS n FROM deduplicated GROUP BY 1, 2",
 )
+add(
+    "distinct_cause_rows",
+    DEATHS,
+    """SELECT residence_la_code, icd_subgroup, cvd_group, count(*) AS n FROM (
+  SELECT DISTINCT patient_id, sex, marital_status, place_of_death_code, age, lsoa, residence_la_code, ethnic_code,
+    reg_date, icd_subgroup, cvd_group FROM coded)
+GROUP BY 1, 2, 3""",
+)
 add(
     "distinct_causes_by_record",
     DEATHS,

@@ -45,7 +45,7 @@ from popmeasure.operators.measures import (
     yearly_yll,
 )
 from popmeasure.operators.numbering import first_in_file_order, number_rows, number_scan
-from popmeasure.operators.reshape import distinct_causes_in_row, explode_causes, primary_cause
+from popmeasure.operators.reshape import distinct_causes, distinct_causes_in_row, explode_causes, primary_cause
 from popmeasure.operators.standardise import join_population, rate_gaps, rate_inputs
 from popmeasure.plans import admissions as adm_plans
 from popmeasure.plans import deaths as death_plans
@@ -380,6 +380,17 @@ def distinct_causes_by_person(spark, d):
     return count_rows(all_cause(spark, d), ["icd_subgroup", "cvd_group"])
 
 
+@query
+def distinct_cause_rows(spark, d):
+    """One row per person and three-character cause over all columns of the register, by hash before whole rows."""
+    rows = b.deaths_register(spark, d).drop("record_id", "deaths_weight")
+    long = explode_causes(rows, prefix="I").filter(F.length("icd10_code") >= 3)
+    coded = long.withColumns(
+        {"icd_subgroup": code_prefix("icd10_code"), "cvd_group": classify("icd10_code", ICD10_GROUP_RULES)}
+    )
+    return count_rows(distinct_causes(coded, wide=True), ["residence_la_code", "icd_subgroup", "cvd_group"])
+
+
 @query
 def distinct_causes_by_record(spark, d):
     rows = b.deaths_register(spark, d).select("record_id", *CAUSE_COLUMNS)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from popmeasure.functions.codes import classify, code_prefix, label_of, numbered
 from popmeasure.functions.text import relabel
 from popmeasure.sources.constants import ICD10_GROUP_RULES
+from popmeasure.sources.storage import stored
 
 
 def columns_containing(df: DataFrame, part: str) -> list[str]:
@@ -43,12 +44,37 @@ def primary_cause(df: DataFrame, cause_name: str, name: str = "cause_number") ->
     return df.filter(F.col(name) == cause_name)
 
 
-def distinct_causes(df: DataFrame, drop: Sequence[str] = ("cause_number", "icd10_code")) -> DataFrame:
+def distinct_causes(
+    df: DataFrame, drop: Sequence[str] = ("cause_number", "icd10_code"), wide: bool = False
+) -> DataFrame:
     """Distinct rows over all columns but `drop`: one row per person and derived code.
 
-    Project to the columns that matter before; every remaining column is shuffled.
+    Project to the columns that matter before; every remaining column is shuffled, or with `wide` those of rows whose
+    hash repeats (see `distinct_wide`).
+    """
+    rows = df.drop(*drop)
+    return distinct_wide(rows) if wide else rows.distinct()
+
+
+def distinct_wide(df: DataFrame, max_repeated: int = 1_000_000) -> DataFrame:
+    """`df.distinct()` for wide rows that seldom repeat: only rows whose hash repeats are shuffled whole.
+
+    First pass: two 64-bit hashes of each row are counted, which shuffles 16 bytes and a count a row; hashes that occur
+    more than once are stored. Second pass: a row whose hash is not among them is unique and goes straight on, the
+    others are compared whole. Hashes only sort out what cannot be equal, so a collision costs a comparison and no row.
+
+    The repeated hashes are counted before they are broadcast. Beyond `max_repeated` of them (24 MB) rows repeat too
+    often for this to pay, and the plain distinct is returned. The input is read twice and must be the same each time.
     """
-    return df.drop(*drop).distinct()
+    hashes = {"__h1": F.xxhash64(*df.columns), "__h2": F.xxhash64(F.lit(1), *df.columns)}
+    counts = df.select(*[h.alias(name) for name, h in hashes.items()]).groupBy(*hashes).agg(F.count(F.lit(1)).alias("__n"))
+    repeated = stored(counts.filter(F.col("__n") > 1).select(*hashes))
+    if repeated.count() > max_repeated:
+        return df.distinct()
+    repeated = F.broadcast(repeated)
+    hashed = df.withColumns(hashes)
+    alone = hashed.join(repeated, list(hashes), "left_anti").select(*df.columns)
+    return alone.unionByName(hashed.join(repeated, list(hashes), "left_semi").select(*df.columns).distinct())
 
 
 def codes_in_row(causes: Sequence[str], prefix: str = "I", missing: str | None = None, min_length: int = 3) -> Column:

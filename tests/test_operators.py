@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from helpers import plan
@@ -23,6 +24,7 @@ from popmeasure.operators.measures import (
 from popmeasure.operators.reshape import (
     distinct_causes,
     distinct_causes_in_row,
+    distinct_wide,
     explode_causes,
     primary_cause,
     recode,
@@ -202,6 +204,29 @@ def test_causes(spark):
     ]
 
 
+@pytest.mark.parametrize("limit", [0, 1_000_000])
+def test_wide_distinct_equals_distinct(spark, limit):
+    rng = random.Random(limit)
+    rows = [(rng.choice([None, "a", "b"]), rng.choice([None, 0.0, -0.0, 1.5, float("nan")]), rng.randrange(3)) for _ in range(200)]
+    rows += [("hot", 1.0, 1)] * 300 + [("once", None, k) for k in range(50)] + [(None, None, 7), (None, None, None)]
+    df = spark.createDataFrame(rows, "k string, v double, n int").repartition(4)
+    assert sorted(map(str, distinct_wide(df, limit).collect())) == sorted(map(str, df.distinct().collect()))
+    assert distinct_wide(df.limit(0), limit).collect() == []
+
+
+def test_wide_distinct_keeps_rows_whose_hashes_collide(spark):
+    """Nulls do not change the hash, so these rows share one; they are compared whole."""
+    df = spark.createDataFrame([("x", None), (None, "x"), ("x", None)], "a string, b string")
+    assert df.select(F.xxhash64("a", "b")).distinct().count() == 1
+    assert sorted(map(str, distinct_wide(df).collect())) == ["Row(a='x', b=None)", "Row(a=None, b='x')"]
+
+
+def test_wide_distinct_shuffles_repeated_rows_only(spark):
+    df = spark.range(5000).select((F.col("id") % 4990).alias("k"), F.repeat(F.lit("w"), 200).alias("wide"))
+    text = plan(distinct_wide(df))
+    assert "SortMergeJoin" not in text and text.count("Exchange hashpartitioning") == 1 and "LeftSemi" in text
+
+
 def test_distinct_in_row_keeps_the_group_of_the_full_code(spark):
     import itertools
     import random

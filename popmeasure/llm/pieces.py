@@ -5,18 +5,20 @@ of piece scores (unigram model). A file whose pieces carry merge ranks instead o
 piece of rank r scores -ln((r + 1) H) with H the harmonic number of the vocabulary's size. A character that no piece
 covers is one step of the lowest score less ten, written as its UTF-8 bytes. Scores are whole multiples of 2 ** -12 and
 are added as integers, so that sums do not depend on how a text is cut. Of equal paths the one with the longer last
-piece wins, within a chunk.
+piece wins, then the one with the longer piece before it, and so on; the ids do not depend on how a text is cut.
 
 A document of more than `chunk` characters is cut into chunks, spread over the tasks. The state at a cut is the number
 of characters by which a piece reaches over it. Every chunk yields its transfer matrix (best score from each state at
-its start to each state at its end); the matrices of a document are combined by an associative max-plus scan; every
-chunk is then traced back on its own between its two states. A cell holds at most 2 GB, so a document has at most
-2 ** 31 / `chunk` matrices of a few KB: that bounds the one group that meets in a task.
+its start to each state at its end); the matrices of a document are combined by an associative max-plus scan, which
+gives the best score of each state at each cut. With these every chunk finds, for each state at its end, the state at
+its start from which the winning path comes; these maps are composed from the document's end, and every chunk is then
+traced back on its own between its two states. A cell holds at most 2 GB, so a document has at most 2 ** 31 / `chunk`
+matrices of a few KB: that bounds the one group that meets in a task.
 
 Where no piece reaches over a place (in front of a space that follows another character, around a line feed), paths
-separate. Such units are solved once per worker and remembered, and so
-are the parts that a unit falls into between two characters that no piece has side by side. The memory has two
-generations of about `_MEMO` entries; what is used again moves to the younger one.
+separate. Such units are solved once per worker and remembered, in two generations of about `_MEMO` entries; what is
+used again moves to the younger one. The new units of a batch are solved together: all walk down the tree of pieces
+one character at a time, and the best paths of all advance place by place.
 
 Defined results: null and empty texts have no pieces. Characters U+2581 in a text read back as spaces, as in the
 original library. Repeated documents each keep their row; extra columns pass through.
@@ -28,6 +30,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -43,7 +46,37 @@ SCALE = 4096
 _MEMO = 250_000
 _UNITS = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 _LOW = -(1 << 60)
-_KEPT: dict[str, tuple[dict, dict, dict]] = {}
+_CODE_BITS = 21  # a code point
+_NO_CODE = (1 << _CODE_BITS) - 1
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_WIDTHS = (4, 6, 8, 10, 12, 14, 16, 20, 24, 32, 48, 64)
+_KEPT: dict[str, dict] = {}
+
+
+class Trie(NamedTuple):
+    """Pieces as a tree in arrays: (node, code point) to node, sorted; score and id of the piece that a node ends."""
+
+    keys: np.ndarray
+    children: np.ndarray
+    score: np.ndarray
+    piece: np.ndarray
+
+    @classmethod
+    def of(cls, scores: dict[str, int], ids: dict[str, int]) -> Trie:
+        edges: dict[int, int] = {}
+        score, piece = [_LOW], [-1]
+        for text, value in scores.items():
+            node = 0
+            for c in text:
+                node = edges.setdefault(node << _CODE_BITS | ord(c), len(score))
+                if node == len(score):
+                    score.append(_LOW)
+                    piece.append(-1)
+            score[node], piece[node] = value, ids[text]
+        keys = np.array(list(edges), dtype=np.int64)
+        order = np.argsort(keys)
+        children = np.array(list(edges.values()), dtype=np.int64)
+        return cls(keys[order], children[order], np.array(score), np.array(piece, dtype=np.int32))
 
 
 @dataclass
@@ -60,18 +93,24 @@ class Pieces:
     memo: dict[str, tuple[int, tuple[int, ...]]] = field(default_factory=dict, repr=False)
 
     older: dict[str, tuple[int, tuple[int, ...]]] = field(default_factory=dict, repr=False)
+    solved: dict[str, bytes] = field(default_factory=dict, repr=False)
+    solved_before: dict[str, bytes] = field(default_factory=dict, repr=False)
     tree: dict = field(default_factory=dict, repr=False)
+    trie: Trie | None = field(default=None, repr=False)
     pairs: frozenset[str] = frozenset()
 
     identity: str = ""
 
     def __getstate__(self) -> dict:
-        return {**self.__dict__, "memo": {}, "older": {}, "tree": {}}
+        own = {"memo": {}, "older": {}, "solved": {}, "solved_before": {}, "tree": {}, "trie": None}
+        return {**self.__dict__, **own}
 
     def __setstate__(self, state: dict) -> None:
         """What a worker has solved and built for this vocabulary outlives the task."""
-        self.__dict__.update(state)
-        self.memo, self.older, self.tree = _KEPT.setdefault(self.identity, ({}, {}, {}))
+        if self.__dict__ is not (kept := _KEPT.setdefault(state["identity"], {})):
+            self.__dict__ = kept
+        if not kept:
+            kept.update(state)
 
     def _tree(self) -> dict:
         """Pieces as a tree: character to (score or None, the characters that may follow)."""
@@ -121,11 +160,19 @@ class Pieces:
             separable=not any(SPACE in p or "\n" in p for p in bare),
         )
 
-    def forward(self, text: str, entry: int, stop: int) -> tuple[list[int], list[int]]:
-        """Best score and last start at every place of `text`, from `entry`; pieces begin before `stop`."""
+    def forward(
+        self, text: str, entry: int, stop: int, reached: np.ndarray | None = None
+    ) -> tuple[list[int], list[int]]:
+        """Best score and last start at every place of `text`; pieces begin before `stop`.
+
+        Paths come from `entry`, or from the first places with the scores that they are `reached` with.
+        """
         size, root, unknown = len(text), self._tree(), self.unknown
         best, came = [_LOW] * (size + 1), [-1] * (size + 1)
-        best[entry] = 0
+        if reached is None:
+            best[entry] = 0
+        else:
+            best[: len(reached)] = [max(int(x), _LOW) if x > _LOW // 2 else _LOW for x in reached[: size + 1]]
         for start in range(entry, stop):
             here = best[start]
             if here == _LOW:
@@ -171,23 +218,113 @@ class Pieces:
 
     def _age(self) -> None:
         """Between two texts: a full younger generation becomes the older one."""
-        if len(self.memo) > _MEMO:
+        if len(self.memo) > _MEMO // 4:
             self.memo, self.older = {}, self.memo
-            if self.identity in _KEPT:
-                _KEPT[self.identity] = (self.memo, self.older, self.tree)
+        if len(self.solved) > _MEMO:
+            self.solved, self.solved_before = {}, self.solved
+
+    def solve(self, units: list[str]) -> dict[str, bytes]:
+        """Ids (as int32 bytes) of units of up to 64 characters, all at once; longer ones one by one."""
+        by_width: dict[int, list[str]] = {}
+        for unit in units:
+            by_width.setdefault(next((w for w in _WIDTHS if len(unit) <= w), 0), []).append(unit)
+        out = {u: np.array(self.unit(u)[1], np.int32).tobytes() for u in by_width.pop(0, [])}
+        for width, some in by_width.items():
+            for lo in range(0, len(some), 4096):
+                out.update(self._solve(some[lo : lo + 4096], width))
+        return out
+
+    def _solve(self, units: list[str], width: int) -> Iterator[tuple[str, bytes]]:
+        if self.trie is None:
+            self.trie = Trie.of(self.scores, self.ids)
+        trie, n = self.trie, len(units)
+        sizes = np.array([len(u) for u in units])
+        flat = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), "<u4")
+        codes = np.full((n, width), _NO_CODE, np.int64)
+        codes[np.arange(width) < sizes[:, None]] = flat
+        codes = np.ascontiguousarray(codes.T).reshape(-1)  # places first, so that the next character is n further
+        # every place walks down the tree as far as pieces reach
+        scores, pieces = [], []
+        at, node = np.arange(width * n), np.zeros(width * n, np.int64)
+        for size in range(1, min(self.longest, width) + 1):
+            ahead = at + (size - 1) * n
+            inside = ahead < width * n
+            at, key = at[inside], node[inside] << _CODE_BITS | codes[ahead[inside]]
+            edge = np.minimum(np.searchsorted(trie.keys, key), len(trie.keys) - 1)
+            met = trie.keys[edge] == key
+            at, node = at[met], trie.children[edge[met]]
+            found = np.full(width * n, _LOW)
+            found[at] = trie.score[node]
+            named = np.full(width * n, -1, np.int32)
+            named[at] = trie.piece[node]
+            if size == 1:
+                found[found == _LOW] = self.unknown
+            scores.append(found.reshape(width, n))
+            pieces.append(named.reshape(width, n))
+            if not len(at):
+                break
+        # best score at every place; the longest last piece comes first and stays on a tie
+        best = np.zeros((width + 1, n), np.int64)
+        step = np.zeros((width + 1, n), np.int64)
+        for end in range(1, width + 1):
+            top = np.full(n, 2 * _LOW)
+            for size in range(min(len(scores), end), 0, -1):
+                value = best[end - size] + scores[size - 1][end - size]
+                better = value > top
+                top = np.where(better, value, top)
+                step[end][better] = size
+            best[end] = top
+        traced = np.full((n, width), -1, np.int32)
+        unknown = np.zeros(n, bool)
+        pieces_of, left = np.stack(pieces), np.full(n, width)
+        place, live = sizes.copy(), np.flatnonzero(sizes)
+        while len(live):
+            size = step[place[live], live]
+            place[live] -= size
+            left[live] -= 1
+            one = pieces_of[size - 1, place[live], live]
+            traced[live, left[live]] = one
+            unknown[live] |= one < 0
+            live = live[place[live] > 0]
+        for k, unit in enumerate(units):
+            if unknown[k]:
+                yield unit, np.array(self.unit(unit)[1], np.int32).tobytes()
+            else:
+                yield unit, traced[k, left[k] :].tobytes()
+
+    def _solve_new(self, units: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Marks at the end of a unit are solved apart where no piece reaches from the unit into them."""
+        stems = [u.rstrip(_MARKS) for u in units]
+        stems = [s if s and u[len(s) - 1 : len(s) + 1] not in self.pairs else u for u, s in zip(units, stems, strict=True)]
+        tails = [u[len(s) :] for u, s in zip(units, stems, strict=True)]
+        known = self.solve(list({*stems, *tails} - {""}))
+        known[""] = b""
+        return ((u, known[s] + known[t]) for u, s, t in zip(units, stems, tails, strict=True))
+
+    def encode_many(self, values: list[str | None]) -> list[bytes]:
+        """Ids (as int32 bytes) of texts, each in one piece of work."""
+        self._age()
+        split = [self.units(prepared(v)) if v else [] for v in values]
+        known, before, new = self.solved, self.solved_before, []
+        for unit in set().union(*split):
+            if unit not in known:
+                if unit in before:
+                    known[unit] = before[unit]
+                else:
+                    new.append(unit)
+        known.update(self._solve_new(new))
+        out = [b"".join(map(known.__getitem__, units)) for units in split]
+        for unit in new:
+            if len(unit) > 64:
+                del known[unit]
+        return out
 
     def units(self, text: str) -> list[str]:
         return _UNITS.findall(text) if self.separable else [text]
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of a text in one piece of work."""
-        out: list[int] = []
-        self._age()
-        if text:
-            get, solve = self.memo.get, self.unit
-            for unit in self.units(prepared(text)):
-                out += (get(unit) or solve(unit))[1]
-        return out
+        return np.frombuffer(self.encode_many([text])[0], np.int32).tolist()
 
     def decode(self, ids) -> str:
         joined = b"".join(map(self.surface.__getitem__, ids))
@@ -231,6 +368,22 @@ class Pieces:
         total = head[:, None] + middle + tail[None, :]
         return np.where((head[:, None] <= _LOW // 2) | (tail[None, :] <= _LOW // 2), _LOW, total)
 
+    def entries(self, chunk: str, size: int, reached: np.ndarray) -> np.ndarray:
+        """For each state at the chunk's end the state at its start that the winning path to it comes from.
+
+        `reached` has the best score of each state at the start; -1 marks a state at the end that cannot be reached.
+        A path that reaches a place from before the chunk has the longer last piece there, so it stays on a tie.
+        """
+        states = self.longest
+        first, last = self._ends(chunk, size)
+        self._age()
+        head = chunk if first == size else chunk[:first]
+        best, came = self.forward(head, 0, min(first, size), reached)
+        if first < size:  # all paths meet at `first`, whatever follows
+            return np.full(states, _entry(came, first))
+        ends = [_entry(came, size + a) if size + a < len(best) and best[size + a] > _LOW // 2 else -1 for a in range(states)]
+        return np.array(ends)
+
     def between(self, chunk: str, size: int, entry: int, leave: int) -> list[int]:
         """Ids of a chunk, from its state at the start to its state at the end."""
         first, last = self._ends(chunk, size)
@@ -272,13 +425,25 @@ def scan(matrices: np.ndarray) -> np.ndarray:
     return out
 
 
-def states_of(matrices: np.ndarray) -> list[int]:
-    """The state at the start and behind every chunk on a best path; the path begins and ends in state 0."""
-    prefix = scan(matrices)[:, 0, :]  # best score from the document's start to each state behind each chunk
+def _entry(came: list[int], place: int) -> int:
+    while came[place] >= 0:
+        place = came[place]
+    return place
+
+
+def reached_before(matrices: np.ndarray) -> np.ndarray:
+    """Best score from the document's start to each state in front of each chunk; the document starts in state 0."""
+    start = np.full((1, matrices.shape[1]), _LOW, np.int64)
+    start[0, 0] = 0
+    return np.concatenate([start, scan(matrices)[:-1, 0, :]])
+
+
+def states_of(entries: list[np.ndarray]) -> list[int]:
+    """The state at the start and behind every chunk; the maps are followed from the document's end, in state 0."""
     states = [0]
-    for k in range(len(matrices) - 1, 0, -1):
-        states.append(int((prefix[k - 1] + matrices[k][:, states[-1]]).argmax()))
-    return [0, *reversed(states)]
+    for back in reversed(entries):
+        states.append(int(back[states[-1]]))
+    return states[::-1]
 
 
 def _chunks(docs: DataFrame, chunk: int, overlap: int) -> DataFrame:
@@ -316,7 +481,18 @@ def _encode_giants(giants: DataFrame, model: Pieces, chunk: int) -> DataFrame:
     def combine(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("k")
         shape = (-1, model.longest, model.longest)
-        states = states_of(np.frombuffer(b"".join(frame["matrix"]), np.int64).reshape(shape))
+        rows = reached_before(np.frombuffer(b"".join(frame["matrix"]), np.int64).reshape(shape))
+        return pd.DataFrame({"key": frame["key"], "k": frame["k"], "reached": [r.tobytes() for r in rows]})
+
+    def lead_back(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            given = zip(frame["part"], frame["size"], frame["reached"], strict=True)
+            maps = [model.entries(p, n, np.frombuffer(r, np.int64)).astype("<i8").tobytes() for p, n, r in given]
+            yield pd.DataFrame({"key": frame["key"], "k": frame["k"], "back": maps})
+
+    def compose(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("k")
+        states = states_of([np.frombuffer(b, "<i8") for b in frame["back"]])
         return pd.DataFrame({"key": frame["key"], "k": frame["k"], "entry": states[:-1], "leave": states[1:]})
 
     def trace(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -328,7 +504,9 @@ def _encode_giants(giants: DataFrame, model: Pieces, chunk: int) -> DataFrame:
                 yield pd.DataFrame({"key": some["key"].to_numpy(), "k": some["k"].to_numpy(), "ids": ids})
 
     matrices = parts.mapInPandas(transfer, "key string, k int, matrix binary")
-    states = matrices.groupBy("key").applyInPandas(combine, "key string, k int, entry int, leave int")
+    reached = matrices.groupBy("key").applyInPandas(combine, "key string, k int, reached binary")
+    maps = parts.join(reached, ["key", "k"]).mapInPandas(lead_back, "key string, k int, back binary")
+    states = maps.groupBy("key").applyInPandas(compose, "key string, k int, entry int, leave int")
     traced = parts.join(states, ["key", "k"]).mapInPandas(trace, "key string, k int, ids array<int>")
     whole = traced.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("parts"))
     return whole.select("key", F.flatten(F.col("parts.ids")).alias("ids"))
@@ -339,7 +517,8 @@ def ids_column(model: Pieces, text: Column | str) -> Column:
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def encode(values: pd.Series) -> pd.Series:
-        return pd.Series([np.array(model.encode(v if isinstance(v, str) else None), np.int32) for v in values])
+        found = model.encode_many([v if isinstance(v, str) else None for v in values])
+        return pd.Series([np.frombuffer(b, np.int32) for b in found])
 
     return encode(text)
 

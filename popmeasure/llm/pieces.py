@@ -43,13 +43,13 @@ from popmeasure.llm.words import texts
 
 SPACE = "▁"
 SCALE = 4096
-_MEMO = 250_000
+_MEMO = 400_000
 _UNITS = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 _LOW = -(1 << 60)
 _CODE_BITS = 21  # a code point
 _NO_CODE = (1 << _CODE_BITS) - 1
-_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _WIDTHS = (4, 6, 8, 10, 12, 14, 16, 20, 24, 32, 48, 64)
+_WIDTH_OF = [next(w for w in _WIDTHS if n <= w) for n in range(65)]
 _KEPT: dict[str, dict] = {}
 
 
@@ -227,7 +227,7 @@ class Pieces:
         """Ids (as int32 bytes) of units of up to 64 characters, all at once; longer ones one by one."""
         by_width: dict[int, list[str]] = {}
         for unit in units:
-            by_width.setdefault(next((w for w in _WIDTHS if len(unit) <= w), 0), []).append(unit)
+            by_width.setdefault(_WIDTH_OF[len(unit)] if len(unit) <= 64 else 0, []).append(unit)
         out = {u: np.array(self.unit(u)[1], np.int32).tobytes() for u in by_width.pop(0, [])}
         for width, some in by_width.items():
             for lo in range(0, len(some), 4096):
@@ -292,19 +292,13 @@ class Pieces:
             else:
                 yield unit, traced[k, left[k] :].tobytes()
 
-    def _solve_new(self, units: list[str]) -> Iterator[tuple[str, bytes]]:
-        """Marks at the end of a unit are solved apart where no piece reaches from the unit into them."""
-        stems = [u.rstrip(_MARKS) for u in units]
-        stems = [s if s and u[len(s) - 1 : len(s) + 1] not in self.pairs else u for u, s in zip(units, stems, strict=True)]
-        tails = [u[len(s) :] for u, s in zip(units, stems, strict=True)]
-        known = self.solve(list({*stems, *tails} - {""}))
-        known[""] = b""
-        return ((u, known[s] + known[t]) for u, s, t in zip(units, stems, tails, strict=True))
-
     def encode_many(self, values: list[str | None]) -> list[bytes]:
         """Ids (as int32 bytes) of texts, each in one piece of work."""
+        return self.joined([self.units(prepared(v)) if v else [] for v in values])
+
+    def joined(self, split: list[list[str]]) -> list[bytes]:
+        """Ids (as int32 bytes) of each list of units."""
         self._age()
-        split = [self.units(prepared(v)) if v else [] for v in values]
         known, before, new = self.solved, self.solved_before, []
         for unit in set().union(*split):
             if unit not in known:
@@ -312,7 +306,7 @@ class Pieces:
                     known[unit] = before[unit]
                 else:
                     new.append(unit)
-        known.update(self._solve_new(new))
+        known.update(self.solve(new))
         out = [b"".join(map(known.__getitem__, units)) for units in split]
         for unit in new:
             if len(unit) > 64:
@@ -348,7 +342,11 @@ class Pieces:
         return first, last
 
     def transfer(self, chunk: str, size: int) -> np.ndarray:
-        """Matrix [state at the start, state at the end] of a chunk of `size` characters and what follows it."""
+        """Matrix [state at the start, state at the end] of a chunk of `size` characters and what follows it.
+
+        Between the first and the last place where paths separate all paths are one; its score is left out, as it adds
+        the same to every path.
+        """
         states = self.longest
         out = np.full((states, states), _LOW, np.int64)
         first, last = self._ends(chunk, size)
@@ -359,13 +357,12 @@ class Pieces:
                 row = best[size : size + states]
                 out[a, : len(row)] = row
             return out
-        middle = sum(self.unit(u)[0] for u in self.units(chunk[first:last])) if last > first else 0
         head = np.array([self.forward(chunk[:first], a, first)[0][first] for a in range(states)], np.int64)
         best, _ = self.forward(chunk[last:], 0, size - last)
         row = best[size - last : size - last + states]
         tail = np.full(states, _LOW, np.int64)
         tail[: len(row)] = row
-        total = head[:, None] + middle + tail[None, :]
+        total = head[:, None] + tail[None, :]
         return np.where((head[:, None] <= _LOW // 2) | (tail[None, :] <= _LOW // 2), _LOW, total)
 
     def entries(self, chunk: str, size: int, reached: np.ndarray) -> np.ndarray:
@@ -384,19 +381,21 @@ class Pieces:
         ends = [_entry(came, size + a) if size + a < len(best) and best[size + a] > _LOW // 2 else -1 for a in range(states)]
         return np.array(ends)
 
-    def between(self, chunk: str, size: int, entry: int, leave: int) -> list[int]:
-        """Ids of a chunk, from its state at the start to its state at the end."""
-        first, last = self._ends(chunk, size)
-        self._age()
-        if first == size:
-            _, came = self.forward(chunk, entry, size)
-            return self.traced(chunk, came, size + leave, entry)
-        _, came = self.forward(chunk[:first], entry, first)
-        out = self.traced(chunk[:first], came, first, entry)
-        for u in self.units(chunk[first:last]):
-            out += self.unit(u)[1]
-        _, came = self.forward(chunk[last:], 0, size - last)
-        return out + self.traced(chunk[last:], came, size + leave - last, 0)
+    def between(self, chunks: list[tuple[str, int, int, int]]) -> list[np.ndarray]:
+        """Ids of chunks (text, size, state at the start, state at the end)."""
+        heads, middles, tails = [], [], []
+        for chunk, size, entry, leave in chunks:
+            first, last = self._ends(chunk, size)
+            _, came = self.forward(chunk if first == size else chunk[:first], entry, min(first, size))
+            heads.append(self.traced(chunk, came, size + leave if first == size else first, entry))
+            middles.append(self.units(chunk[first:last]) if last > first else [])
+            if first == size:
+                tails.append([])
+            else:
+                _, came = self.forward(chunk[last:], 0, size - last)
+                tails.append(self.traced(chunk[last:], came, size + leave - last, 0))
+        parts = zip(heads, self.joined(middles), tails, strict=True)
+        return [np.concatenate([np.array(h, np.int32), np.frombuffer(m, np.int32), np.array(t, np.int32)]) for h, m, t in parts]
 
 
 def _splits(text: str, place: int) -> bool:
@@ -500,7 +499,7 @@ def _encode_giants(giants: DataFrame, model: Pieces, chunk: int) -> DataFrame:
             for lo in range(0, len(frame), 50):  # the ids take more room than the text
                 some = frame.iloc[lo : lo + 50]
                 rows = zip(some["part"], some["size"], some["entry"], some["leave"], strict=True)
-                ids = [np.array(model.between(*r), np.int32) for r in rows]
+                ids = model.between(list(rows))
                 yield pd.DataFrame({"key": some["key"].to_numpy(), "k": some["k"].to_numpy(), "ids": ids})
 
     matrices = parts.mapInPandas(transfer, "key string, k int, matrix binary")
@@ -516,13 +515,29 @@ def ids_column(model: Pieces, text: Column | str) -> Column:
     """Ids of texts that are worked on in one piece."""
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def encode(values: pd.Series) -> pd.Series:
-        found = model.encode_many([v if isinstance(v, str) else None for v in values])
-        return pd.Series([np.frombuffer(b, np.int32) for b in found])
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for some in _some(batches):
+            found = iter(model.encode_many([v if isinstance(v, str) else None for values in some for v in values]))
+            for values in some:
+                yield pd.Series([np.frombuffer(next(found), np.int32) for _ in range(len(values))])
 
     return encode(text)
 
 
+def _some(batches: Iterator[pd.Series], characters: int = 1 << 20) -> Iterator[list[pd.Series]]:
+    """Batches together, for work that gains from many texts at once, until they hold so many characters."""
+    held: list[pd.Series] = []
+    size = 0
+    for values in batches:
+        held.append(values)
+        size += sum(len(v) for v in values if isinstance(v, str))
+        if size >= characters:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def text_column(model: Pieces, ids: Column | str) -> Column:
     """Text of a column of ids."""
 

@@ -43,7 +43,7 @@ from popmeasure.llm.words import texts
 
 SPACE = "▁"
 SCALE = 4096
-_MEMO = 250_000
+_MEMO = 180_000
 _UNITS = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 _LOW = -(1 << 60)
 _CODE_BITS = 21  # a code point
@@ -514,14 +514,30 @@ def _encode_giants(giants: DataFrame, model: Pieces, chunk: int) -> DataFrame:
 def ids_column(model: Pieces, text: Column | str) -> Column:
     """Ids of texts that are worked on in one piece."""
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))  # not an iterator: so it shares a worker with `text_column` behind it
-    def encode(values: pd.Series) -> pd.Series:
-        found = model.encode_many([v if isinstance(v, str) else None for v in values])
-        return pd.Series([np.frombuffer(b, np.int32) for b in found])
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for some in _some(batches):
+            found = iter(model.encode_many([v if isinstance(v, str) else None for values in some for v in values]))
+            for values in some:
+                yield pd.Series([np.frombuffer(next(found), np.int32) for _ in range(len(values))])
 
     return encode(text)
 
 
+def _some(batches: Iterator[pd.Series], characters: int = 1 << 20) -> Iterator[list[pd.Series]]:
+    """Batches together, for work that gains from many texts at once, until they hold so many characters."""
+    held: list[pd.Series] = []
+    size = 0
+    for values in batches:
+        held.append(values)
+        size += sum(len(v) for v in values if isinstance(v, str))
+        if size >= characters:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def text_column(model: Pieces, ids: Column | str) -> Column:
     """Text of a column of ids."""
 

@@ -127,7 +127,7 @@ def near_duplicates(
         raise ValueError("the grid finds distances 1 to 3")
     prints = written(add_fingerprints(docs, id_column, text, width))
     # a class is named by its smallest id; classes of rows without any id by their fingerprint, below all real ids
-    classes = written(prints.groupBy("fp").agg(F.min(id_column).alias("first")))
+    classes = written(prints.groupBy("fp").agg(F.min(id_column).alias("first"), F.count(F.lit(1)).alias("n")))
     named = classes.select("fp", F.col("fp").alias("id"))
     first_round = components(one_bit_links(named))
     known = named.join(first_round, named["id"] == first_round["node"], "left").select(
@@ -141,8 +141,12 @@ def near_duplicates(
     )
     with_first = label.join(classes, "fp")
     smallest = with_first.groupBy("label").agg(F.min("first").alias("component_id"))
-    of_class = with_first.join(smallest, "label").select("fp", "component_id")
-    return prints.join(of_class, "fp").select(id_column, "fp", "component_id")
+    of_class = written(with_first.join(smallest, "label").select("fp", "component_id", "n"))
+    # a fingerprint of over a thousandth of all rows would send them to one task: at most 1,000 of these are broadcast
+    hot = F.col("n") > prints.count() // 1000
+    common = F.broadcast(of_class.filter(hot).drop("n"))
+    rest = prints.join(common, "fp", "left_anti").join(of_class.filter(~hot).drop("n"), "fp")
+    return prints.join(common, "fp").unionByName(rest).select(id_column, "fp", "component_id")
 
 
 def hex_fingerprint(fp: Column | str) -> Column:

@@ -253,7 +253,7 @@ def test_wrapped_notices_and_scattered_words(spark):
     apache = "# Licensed under the Apache\n# License, Version 2.0 (the"
     filler = "some other words that stand between these ones here "
     scattered = f"Copyright {filler * 3} all {filler * 3} rights {filler * 3} reserved"
-    gnu = dict(licences.TEMPLATES)["gnu"].replace("program", "library").replace(" 3 ", " 2 ")
+    gnu = {t.label: t.text for t in licences.TEMPLATES}["gnu"].replace("program", "library").replace(" 3 ", " 2 ")
     rows = [bsd, mpl, apache, scattered, "x\n\nCopyright (c) 2020 Jane Doe.\nAll rights reserved.", "\n".join(gnu.split())]
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     got = {r["doc_id"]: r for r in licences.scan(docs).collect()}
@@ -261,6 +261,72 @@ def test_wrapped_notices_and_scattered_words(spark):
     assert got[4]["blocks"][0]["line"] == 2 and got[3]["score"] == 0
 
 
+NAMED = [
+    ("Released under the MIT License", "mit"),
+    ("This module is released under the terms of the MIT licence.", "mit"),
+    ("Licensed under the Apache License, Version 2.0", "apache-2"),
+    ("It is licensed under the Apache License 2.0 as of today", "apache-2"),
+    ("Licensed under CC BY-NC 4.0", "cc-by-nc"),
+    ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "cc-by"),
+    ("This work is licensed under the GNU General Public License, version 3.", "gpl-3"),
+    ("Covered by the GNU Lesser General Public License (LGPL)", "lgpl"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mpl-2"),
+    ("Copyright 2001. All rights reserved.", "all-rights-reserved"),
+    *[(t.text, t.label) for t in licences.TEMPLATES],
+]
+OTHERS = [
+    "Released under the Apache License",
+    "Released under the Eclipse License",
+    "The report was released under the license of the ministry",
+    "Permission is hereby granted, for a charge, to any person obtaining a copy of this report and this software",
+    "Licensed under CC BY-SA 4.0",
+    "Licensed under CC BY 4.0",
+    "Licensed under the Mozilla Public License, Version 2.0",
+    "Licensed under the Educational Community License, Version 2.0",
+    "Licensed under the Apache License, Version 1.1 or 0",
+    "This work is licensed under the GNU General Public License, version 2",
+    "This work is licensed under the GNU Affero General Public License, version 3",
+    "GNU General Public License (GPL)",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License",
+    "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+    "We reserve all rights; copyright was reserved in 1990 for all",
+    "Redistribution of income and use of source material in binary form, with or without modification, are forms permitted and in",
+    "This Source Code Form is subject to the terms of the Eclipse Public License, v. 2.0",
+    "Permission to copy, modify, or distribute this book for any purpose with or without fee and use is hereby granted, "
+    "provided that the above copyright notice and this permission notice appear in all copies",
+    "This is free and encumbered software released into the public square. Anyone is free to copy, modify, publish, use, "
+    "compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, "
+    "commercial or non-commercial, and by any means, domain",
+]
+
+
+def test_notices_and_their_near_misses(spark):
+    rows = [t for t, _ in NAMED] + OTHERS
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r["doc_id"]: set(filter(None, r["labels"].split(","))) for r in licences.scan(docs).collect()}
+    for i, (text, label) in enumerate(NAMED):
+        assert got[i] == {label}, text
+    for i, text in enumerate(OTHERS, len(NAMED)):
+        assert got[i] == set(), text
+
+
+def test_phrase_places_equal_brute_force():
+    rng = random.Random(8)
+    phrases = [[b"a"], [b"a", b"a"], [b"a", b"b", b"a"], [b"c"], []]
+    for _ in range(200):
+        words = [rng.choice([b"a", b"b"]) for _ in range(rng.randint(0, 12))]
+        want = [(i, k) for k, p in enumerate(phrases) for i in range(len(words)) if p and words[i : i + len(p)] == p]
+        assert sorted(licences.phrase_places(words, phrases)) == sorted(want)
+
+
+def test_licences_of_no_and_of_very_long_texts(spark):
+    long = "word " * 300_000 + "under the MIT license"
+    docs = spark.createDataFrame([(1, long, "x")], "doc_id long, text string, labels string")
+    (one,) = licences.scan(docs).collect()
+    assert (one["n_words"], one["n_base"], one["first_word"], one["labels"]) == (300_004, 1, 300_000, "mit")
+    assert licences.scan(docs.limit(0)).collect() == []
+
+
 def test_windows_equal_brute_force():
     rng = random.Random(5)
     words = [f"w{i}".encode() for i in range(25)]

@@ -336,7 +336,9 @@ def train(
         features = Features(landmarks, length, decay)
         values, vectors = np.linalg.eigh(features.table.T @ features.table)
         whitening = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
-        x = features.sums([*positives, *negatives], features.table) @ whitening
+        tokens = [*positives, *negatives]
+        parts = [features.sums(tokens[i : i + 500], features.table) for i in range(0, len(tokens), 500)]
+        x = np.concatenate(parts) @ whitening  # in parts, as the driver holds every hit of a part
         y = np.concatenate([np.ones(len(positives)), -np.ones(len(negatives))])
         # a token weighs as the root of the number of documents it is in, the positive ones half as much in all
         up, down = np.sqrt([*positives.values()]), np.sqrt([*negatives.values()])

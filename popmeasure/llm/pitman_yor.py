@@ -17,18 +17,23 @@ over `samples` sweeps.
 
 In the restaurants of words, `word_burn_in` sweeps go before the spelling is fitted to the tables, `word_samples` after
 it; every sweep starts from the tables of the one before, totals included. A pair of words that occurs once has one table
-in every sweep, so only pairs that occur more often are drawn.
-
-On Spark: pairs of neighbouring words are counted per chunk of documents and then over the corpus, and meet the tables of
-their first word and the probability of their second one by shuffled joins. Subtrees of context restaurants that share
-their last character are sampled side by side, with the root's probabilities of the round before. Contexts held by less
-than `least_share` of the spelled characters pass their customers to their parent, so that at most 1 / least_share
-contexts exist per order: that bounds the character model, the only part that is sent to all tasks. A document is scored
-in a group with the distinct pairs of its chunk (`CHUNK_ROWS` rows at most), so pairs meet probabilities once per chunk
-instead of once per occurrence. Random numbers depend on the seed and on what is drawn for, not on partitions.
-
-The chunk of a row follows from its place in the input's partitions; `docs` must be a stored table or another input that
-reads the same way twice. A pair that its chunk does not know raises an error.
+in every sweep, so only pairs that occur more often are drawn, and no row stands for the others: how many of a word's
+followers or predecessors were met once is its own count less that of its repeated pairs.
+
+On Spark: documents become blocks of at most `BLOCK_BYTES` of text (or one longer document): the words once, tokens as
+places in that list. Words are counted over blocks. The distinct pairs of a block go to buckets by a hash, 48 bits and a
+count each, sorted and packed; a bucket adds up what the blocks sent and asks one block for the words of each repeated
+pair. These pairs are the rows of the sweeps; they meet the tables of their first word and the probability of their second
+one by shuffled joins. At the end the buckets answer each block with the count and the tables of its pairs, in the order
+they were sent, and the block's words bring their own values. The number of buckets grows with the tokens, so a bucket
+holds about `BUCKET_PAIRS` of them; the pairs of all blocks together hold one entry a block for the most frequent pair.
+Words are named by their 64-bit hash, pairs by 48 bits beside their bucket: about one pair in 10^8 is counted with another.
+Shuffle files go after each step and tables after their last use (`_Store`).
+
+Subtrees of context restaurants that share their last character are sampled side by side, with the root's probabilities of
+the round before. Contexts held by less than `least_share` of the spelled characters pass their customers to their parent,
+so that at most 1 / least_share contexts exist per order: that bounds the character model, the only part that is sent to
+all tasks. Random numbers depend on the seed and on what is drawn for, not on partitions.
 
 Defined results: null and empty texts have the end token only. Without training rows the model is the uniform spelling.
 Rows without an id take part; repeated rows are scored each.
@@ -36,6 +41,7 @@ Rows without an id take part; repeated rows are scored each.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from math import log10
@@ -44,14 +50,16 @@ from statistics import NormalDist
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from popmeasure.llm.common import written
+from popmeasure.llm.common import shared_dir
 from popmeasure.llm.words import gathered, spaced_words, texts
 
-CHUNK_ROWS = 1000
+BLOCK_BYTES, BLOCK_ROWS = 4 << 20, 5_000
+BUCKET_PAIRS = 1_000_000
 SUBTREE_TASKS = 64
 ALL_CHARACTERS = 0x110000 + 1
 START, END = "\U0010fffe", "\U0010ffff"
@@ -63,6 +71,37 @@ _EXACT = 64
 _NORMAL = NormalDist()
 
 
+class _Store:
+    """Tables of one run by name: no shuffle files stay behind, and a table goes when one of its name replaces it."""
+
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def __init__(self):
+        self.paths: dict[str, str] = {}
+
+    def __call__(self, name: str, df: DataFrame) -> DataFrame:
+        spark = df.sparkSession
+        path = f"{shared_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
+        before = spark.conf.get(self.cleanup, None)
+        spark.conf.set(self.cleanup, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            if before is None:
+                spark.conf.unset(self.cleanup)
+            else:
+                spark.conf.set(self.cleanup, before)
+        self.drop(spark, name)
+        self.paths[name] = path
+        return spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, spark: SparkSession, name: str) -> None:
+        """Removes a table of this run that nothing reads any more."""
+        if name in self.paths:
+            path = spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def seat(
     customers: np.ndarray, parent: np.ndarray, tables: np.ndarray, discount: float, strength: float, uniform
 ) -> np.ndarray:
@@ -114,16 +153,24 @@ def _poisson(mean: np.ndarray, u: np.ndarray) -> np.ndarray:
     return out
 
 
-def _hashed(names: list[bytes], seed: int):
-    """Random numbers that depend on a name, its turn and the seed: one hash a name, mixed anew for every turn."""
-    digest = xxhash.xxh3_64_intdigest
-    own = np.array([digest(n, seed) for n in names], np.uint64)
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _pair_names(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """64-bit names of pairs from the hashes of their words."""
+    return _mixed(_mixed(before) * np.uint64(0x9E3779B97F4A7C15) + word)
+
+
+def _hashed(names: np.ndarray, seed: int):
+    """Random numbers that depend on a 64-bit name, its turn and the seed."""
+    own = _mixed(names + np.uint64(seed * 0x9E3779B97F4A7C15 % (1 << 64)))
 
     def uniform(rows: np.ndarray, turn: int) -> np.ndarray:
         x = own[rows] + np.uint64((turn + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return (x ^ (x >> np.uint64(31))).astype(np.float64) / 2.0**64
+        return _mixed(x).astype(np.float64) / 2.0**64
 
     return uniform
 
@@ -210,10 +257,11 @@ def _seated(rows: DataFrame, names: list[str], discount: float, strength: float,
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in gathered(frames):
-            listed = [b" ".join(map(bytes, n)) for n in zip(*(frame[c] for c in names), strict=True)]
+            hashes = [frame[c].to_numpy(np.int64).view(np.uint64) for c in names]
+            own = hashes[0] if len(hashes) == 1 else _pair_names(*hashes)
             parent = 10.0 ** np.maximum(frame["parent"].to_numpy(), -300)
             customers, rest = frame["customers"].to_numpy(np.float64), frame["rest"].to_numpy()
-            t = seat(customers, parent, rest, discount, strength, _hashed(listed, seed))
+            t = seat(customers, parent, rest, discount, strength, _hashed(own, seed))
             yield frame.drop(columns=["parent", "rest"]).assign(t=t)
 
     return rows.mapInPandas(run, rows.drop("parent", "rest").schema)
@@ -232,13 +280,6 @@ def _word_rule(words: DataFrame) -> tuple[Column, float, float]:
     return held, (WORD_STRENGTH + WORD_DISCOUNT * t) / (WORD_STRENGTH + n), t
 
 
-def _with_tables(contexts: DataFrame, live: DataFrame, t: str) -> DataFrame:
-    """(before, n, tables): customers and tables behind each word; a pair met once has one table."""
-    opened = live.groupBy("before").agg(F.sum(t).alias("opened"))
-    tables = F.col("ones") + F.coalesce("opened", F.lit(0.0))
-    return written(contexts.join(opened, "before", "left").select("before", "n", tables.alias("tables")))
-
-
 def _sample_subtree(rows: pd.DataFrame, root: dict[str, float], order: int, sweeps: int, burn_in: int, seed: int):
     """Gibbs sweeps over the contexts with one last character. Returns rows (kind, name, value) of the averaged rules."""
     rows = rows.sort_values(["context", "character"])
@@ -312,8 +353,10 @@ def _root_rule(customers: dict[str, float]) -> tuple[dict[str, float], float]:
     return held, 1.0 - sum(held.values())
 
 
-def _fit(spelled: DataFrame, order: int, least_share: float, seed: int, burn_in: int, samples: int) -> Spelling:
-    spelled = written(spelled)
+def _fit(
+    stored: _Store, spelled: DataFrame, order: int, least_share: float, seed: int, burn_in: int, samples: int
+) -> Spelling:
+    spelled = stored("spelled", spelled)
     total = spelled.agg(F.sum("n")).first()[0] or 0.0
     rows = spelled
     for n in range(order, 1, -1):  # rare contexts pass their customers on
@@ -322,7 +365,7 @@ def _fit(spelled: DataFrame, order: int, least_share: float, seed: int, burn_in:
         shorter = F.expr("substring(context, 2)")
         rows = rows.withColumn("context", F.when(short, shorter).otherwise(F.col("context")))
         rows = rows.groupBy("context", "character").agg(F.sum("n").alias("n"))
-    rows = written(rows)
+    rows = stored("contexts", rows)
     first = {r["character"]: r["n"] for r in rows.groupBy("character").agg(F.count("*").alias("n")).collect()}
     root_held, root_back = _root_rule({ch: float(n) for ch, n in first.items()})
     root = {ch: v + root_back / ALL_CHARACTERS for ch, v in root_held.items()}
@@ -346,35 +389,251 @@ def _fit(spelled: DataFrame, order: int, least_share: float, seed: int, burn_in:
     return Spelling(order, held, back)
 
 
-def _chunk_of() -> Column:
-    """Number of a row's chunk, from its place in the input's partitions."""
-    place = F.monotonically_increasing_id()
-    return F.shiftright(place, 33) * 1_000_000 + F.floor(place.bitwiseAND(F.lit((1 << 33) - 1)) / CHUNK_ROWS)
+class _Places(dict):
+    def __missing__(self, word: bytes) -> int:
+        self[word] = place = len(self)
+        return place
 
 
-def _chunk_pairs(rows: DataFrame) -> DataFrame:
-    """(chunk, before, word, c): the distinct pairs of each chunk and how often its training rows hold them."""
+def _blocks(rows: DataFrame) -> DataFrame:
+    """Runs of documents: their ids and train flags, tokens of each, and their words. Place 0 is the empty word."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, counts = None, {}
-
-        def flushed() -> pd.DataFrame:
-            before, word = zip(*counts, strict=True)
-            return pd.DataFrame({"chunk": now, "before": before, "word": word, "c": list(counts.values())})
+        number = TaskContext.get().partitionId() << 33
+        place, docs, tokens, size = _Places({b"": 0}), [], [], 0
+
+        def block() -> pd.DataFrame:
+            ids, train, sizes = zip(*docs, strict=True)
+            at = np.concatenate(tokens)
+            made = {
+                "chunk": number,
+                "ids": [list(ids)],
+                "train": np.array(train, np.uint8).tobytes(),
+                "sizes": np.array(sizes, "<u4").tobytes(),
+                # low halves, then high halves, most of which are zero
+                "tokens": at.astype("<u2").tobytes() + (at >> 16).astype("<u2").tobytes(),
+                "words": b" ".join(place),
+            }
+            return pd.DataFrame(made)
 
         for frame in frames:
-            for chunk, train, text in zip(frame["chunk"], frame["train"], texts(frame), strict=True):
-                if chunk != now or len(counts) > 500_000:
-                    if counts:
-                        yield flushed()
-                    now, counts = chunk, {}
+            for name, train, text in zip(frame["id"], frame["train"], texts(frame), strict=True):
+                length = len(text or "")
+                if docs and (size + length > BLOCK_BYTES or len(docs) >= BLOCK_ROWS):
+                    yield block()
+                    number, place, docs, tokens, size = number + 1, _Places({b"": 0}), [], [], 0
                 words = spaced_words(text)
-                for pair in zip([b"", *words], [*words, b""], strict=True):
-                    counts[pair] = counts.get(pair, 0) + train
-        if counts:
-            yield flushed()
+                words.append(b"")
+                docs.append((name, train, len(words)))
+                tokens.append(np.fromiter(map(place.__getitem__, words), np.uint32, len(words)))
+                size += length
+        if docs:
+            yield block()
+
+    made = "chunk long, ids array<string>, train binary, sizes binary, tokens binary, words binary"
+    return rows.mapInPandas(run, made)
+
+
+class _Block:
+    """A block unpacked: words, tokens, and its distinct pairs in the order of their names."""
+
+    def __init__(self, row):
+        self.ids, self.words = list(row.ids), bytes(row.words).split(b" ")
+        self.train = np.frombuffer(row.train, np.uint8)
+        self.sizes = np.frombuffer(row.sizes, "<u4").astype(np.int64)
+        low, high = np.frombuffer(row.tokens, "<u2").reshape(2, -1)
+        self.tokens = low.astype(np.int64) | high.astype(np.int64) << 16
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def counts(self) -> np.ndarray:
+        """Training tokens of each word."""
+        return np.bincount(self.tokens, np.repeat(self.train, self.sizes), len(self.words))
+
+    def hashes(self) -> np.ndarray:
+        return np.array([xxhash.xxh64_intdigest(w, 42) for w in self.words], np.uint64)
+
+    def pair(self) -> None:
+        """names, before, word, count of the distinct pairs; `at` leads from a token to its pair."""
+        before = np.concatenate([[0], self.tokens[:-1]])
+        before[self.starts] = 0
+        own = self.hashes()
+        # pairs are told apart by places, then put into the order of their names
+        codes, at, count = np.unique(before * len(self.words) + self.tokens, return_inverse=True, return_counts=True)
+        trained = np.repeat(self.train, self.sizes)
+        count = np.bincount(at, trained, len(codes)).astype(np.int64)
+        first, second = codes // len(self.words), codes % len(self.words)
+        names = _pair_names(own[first], own[second])
+        order = np.argsort(names, kind="stable")
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        self.own, self.at, self.names = own, back[at], names[order]
+        self.before, self.word, self.count = first[order], second[order], count[order]
+
+
+def _block_words(blocks: DataFrame) -> DataFrame:
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples(index=False):
+                block = _Block(row)
+                yield pd.DataFrame({"word": block.words, "c": block.counts().astype(np.int64)})
+
+    return blocks.mapInPandas(run, "word binary, c long")
+
+
+def _block_dictionary(blocks: DataFrame) -> DataFrame:
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples(index=False):
+                own = _Block(row).hashes().view(np.int64)
+                yield pd.DataFrame({"chunk": row.chunk, "place": np.arange(len(own)), "id": own})
+
+    return blocks.mapInPandas(run, "chunk long, place long, id long")
+
+
+_SENT = "bucket long, chunk long, names binary, counts binary"
+
+
+def _packed(names: np.ndarray, counts: np.ndarray, bits: int, chunk: int) -> pd.DataFrame:
+    """Rows of `_SENT`, one a bucket: the low 48 bits of the names, which are in order, and a count each."""
+    of = (names >> np.uint64(64 - bits)).astype(np.int64)
+    buckets, starts = np.unique(of, return_index=True)
+    low = names.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+    ends = [*starts[1:].tolist(), len(of)]
+    spans = list(zip(starts.tolist(), ends, strict=True)) if len(of) else []
+    return pd.DataFrame(
+        {
+            "bucket": buckets,
+            "chunk": chunk,
+            "names": [low[i:j].tobytes() for i, j in spans],
+            "counts": [counts[i:j].astype("<u4").tobytes() for i, j in spans],
+        }
+    )
 
-    return rows.select("chunk", "train", "text").mapInPandas(run, "chunk long, before binary, word binary, c long")
+
+def _unpacked(column: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """(names, how many each row holds)."""
+    sizes = np.array([len(x) // 6 for x in column], np.int64)
+    out = np.zeros((int(sizes.sum()), 8), np.uint8)
+    out[:, :6] = np.frombuffer(b"".join(map(bytes, column)), np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel(), sizes
+
+
+def _numbers(column: pd.Series, kind: str = "<u4") -> np.ndarray:
+    return np.frombuffer(b"".join(map(bytes, column)), kind).astype(np.int64)
+
+
+def _sent_pairs(blocks: DataFrame, bits: int) -> DataFrame:
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples(index=False):
+                block = _Block(row)
+                block.pair()
+                yield _packed(block.names, block.count, bits, row.chunk)
+
+    return blocks.mapInPandas(run, _SENT)
+
+
+def _sent_tables(live: DataFrame, bits: int, samples: int) -> DataFrame:
+    """Rows of `_SENT` with chunk -1: the tables of repeated pairs, summed over the samples."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in gathered(frames, 500_000):
+            names = _pair_names(*(frame[c].to_numpy(np.int64).view(np.uint64) for c in ("before", "word")))
+            order = np.argsort(names)
+            tables = np.rint(frame["kept"].to_numpy() * samples).astype(np.int64)
+            yield _packed(names[order], tables[order], bits, -1)
+
+    return live.select("before", "word", "kept").mapInPandas(run, _SENT)
+
+
+def _repeated(sent: DataFrame) -> DataFrame:
+    """(chunk, bucket, asked, counts): which pairs a block is asked to name, as bits, and their training counts."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("chunk")
+        names, sizes = _unpacked(frame["names"])
+        _, first, at = np.unique(names, return_index=True, return_inverse=True)
+        total = np.bincount(at, _numbers(frame["counts"])).astype("<u4")
+        asked, counts = np.zeros(len(names), bool), np.zeros(len(names), "<u4")
+        asked[first[total > 1]] = True
+        counts[first] = total
+        ends = np.cumsum(sizes).tolist()
+        spans = list(zip([0, *ends[:-1]], ends, strict=True))
+        return pd.DataFrame(
+            {
+                "chunk": frame["chunk"].to_numpy(),
+                "bucket": frame["bucket"].to_numpy(),
+                "asked": [np.packbits(asked[i:j]).tobytes() for i, j in spans],
+                "counts": [counts[i:j][asked[i:j]].tobytes() for i, j in spans],
+            }
+        )
+
+    made = "chunk long, bucket long, asked binary, counts binary"
+    return sent.groupBy("bucket").applyInPandas(run, made)
+
+
+def _parts(blocks: DataFrame, answers: DataFrame) -> DataFrame:
+    return blocks.unionByName(answers, allowMissingColumns=True)
+
+
+def _split(frame: pd.DataFrame) -> tuple[_Block, pd.DataFrame]:
+    """A group of `_parts`: its block with pairs, and the answers in the order of the block's pairs."""
+    whole = frame["bucket"].isna()
+    block = _Block(next(frame[whole].itertuples(index=False)))
+    block.pair()
+    return block, frame[~whole].sort_values("bucket")
+
+
+def _live_pairs(blocks: DataFrame, repeated: DataFrame, bits: int) -> DataFrame:
+    """(before, word, customers): hashes and training counts of the pairs that occur more than once."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        block, answers = _split(frame)
+        _, sizes = np.unique(block.names >> np.uint64(64 - bits), return_counts=True)
+        flags = [
+            np.unpackbits(np.frombuffer(x, np.uint8), count=int(n)) for x, n in zip(answers["asked"], sizes, strict=True)
+        ]
+        asked = np.concatenate(flags).astype(bool)
+        own = block.own.view(np.int64)
+        return pd.DataFrame(
+            {
+                "before": own[block.before[asked]],
+                "word": own[block.word[asked]],
+                "customers": _numbers(answers["counts"]).astype(np.float64),
+            }
+        )
+
+    grouped = _parts(blocks, repeated).groupBy("chunk")
+    return grouped.applyInPandas(run, "before long, word long, customers double")
+
+
+def _answers(sent: DataFrame, tables: DataFrame) -> DataFrame:
+    """(chunk, bucket, counts, tables): training counts and tables of the pairs that a block sent, in its order."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        held = frame[frame["chunk"] < 0]
+        frame = frame[frame["chunk"] >= 0]
+        names, sizes = _unpacked(frame["names"])
+        distinct, at = np.unique(names, return_inverse=True)
+        total = np.bincount(at, _numbers(frame["counts"])).astype("<u4")
+        opened = np.minimum(total, 1)
+        opened[total > 1] = 0
+        if len(held):
+            known, _ = _unpacked(held["names"])
+            np.add.at(opened, np.searchsorted(distinct, known), _numbers(held["counts"]).astype("<u4"))
+        ends = np.cumsum(sizes).tolist()
+        spans = list(zip([0, *ends[:-1]], ends, strict=True))
+        return pd.DataFrame(
+            {
+                "chunk": frame["chunk"].to_numpy(),
+                "bucket": frame["bucket"].to_numpy(),
+                "counts": [total[at[i:j]].tobytes() for i, j in spans],
+                "tables": [opened[at[i:j]].tobytes() for i, j in spans],
+            }
+        )
+
+    made = "chunk long, bucket long, counts binary, tables binary"
+    return sent.unionByName(tables).groupBy("bucket").applyInPandas(run, made)
 
 
 def score(
@@ -394,79 +653,118 @@ def score(
 
     `train` says which rows to learn from.
     """
+    stored = _Store()
     rows = docs.select(
         F.col(id_column).cast("string").alias("id"),
         F.coalesce(train, F.lit(False)).cast("int").alias("train"),
         F.col(text).alias("text"),
-    ).withColumn("chunk", _chunk_of())
-    pairs = written(_chunk_pairs(rows))
-    grams = written(pairs.groupBy("before", "word").agg(F.sum("c").alias("c")))
-    once, learned = F.sum((F.col("c") == 1).cast("double")), F.sum((F.col("c") > 0).cast("double"))
-    words = grams.groupBy("word").agg(F.sum("c").alias("c"), once.alias("ones"), learned.alias("customers"))
-    words = words.withColumns({"t": (F.col("c") > 0).cast("double"), "spelled": F.lit(0.0), "held": F.lit(0.0)})
-    words = written(words)
+    )
+    blocks = stored("blocks", _blocks(rows))
+    n_all = blocks.agg(F.sum(F.length("tokens") / 4)).first()[0] or 0
+    bits = max(1, int(n_all / BUCKET_PAIRS).bit_length())
+    repeated = stored("repeated", _repeated(_sent_pairs(blocks, bits)))
+    live = stored("live", _live_pairs(blocks, repeated, bits))
+    stored.drop(docs.sparkSession, "repeated")
+    zero = F.lit(0.0)
+    counted = _block_words(blocks).groupBy("word").agg(F.sum("c").alias("c")).withColumn("id", F.xxhash64("word"))
+    behind = live.groupBy(F.col("word").alias("id")).agg(F.sum("customers").alias("met"), F.count("*").alias("pairs"))
+    after = live.groupBy(F.col("before").alias("id")).agg(F.sum("customers").alias("led"))
+    words = counted.join(behind, "id", "left").join(after, "id", "left")
+    words = words.select(
+        "id",
+        "word",
+        "c",
+        (F.col("c") - F.coalesce("met", zero)).alias("ones"),
+        (F.col("c") - F.coalesce("led", zero)).alias("followed"),
+        (F.col("c") - F.coalesce("met", zero) + F.coalesce("pairs", F.lit(0))).alias("customers"),
+        (F.col("c") > 0).cast("double").alias("t"),
+        F.lit(0.0).alias("spelled"),
+        F.lit(0.0).alias("held"),
+    )
+    words = stored("words", words)
     sums = words.agg(F.sum("c").alias("n"), F.sum("t").alias("v")).first()
     n_train, v_train = int(sums["n"] or 0), int(sums["v"] or 0)
-    contexts = grams.filter("c > 0").groupBy("before").agg(F.sum("c").alias("n"), once.alias("ones"))
-    contexts = written(contexts)
-    live = grams.filter("c > 1").select(
-        "before", "word", F.col("c").alias("customers"), F.lit(1.0).alias("t"), F.lit(0.0).alias("kept")
+    live = stored(
+        "live",
+        live.join(words.select(F.col("id").alias("before"), "followed"), "before").withColumns(
+            {"t": F.lit(1.0), "kept": F.lit(0.0)}
+        ),
     )
     model, backs = Spelling(order, {}, {}), [1.0]
     if n_train:
-        model = _fit(_spelled(words.filter("t > 0"), order), order, least_share, seed, 1, 1)
-        words, backs = written(_with_spelling(words, model)), []
+        model = _fit(stored, _spelled(words.filter("t > 0"), order), order, least_share, seed, 1, 1)
+        words, backs = stored("words", _with_spelling(words, model)), []
         held, back, tables = _word_rule(words)
         for k in range(word_burn_in + word_samples):
             if k == word_burn_in:
                 spelled = _spelled(words.filter("t > 0"), order)
-                model = _fit(spelled, order, least_share, seed, burn_in, samples)
-                words = written(_with_spelling(words, model))
-            parent = words.select("word", _interpolated(held, F.lit(back), F.col("spelled")).alias("parent"))
-            others = live.join(_with_tables(contexts, live, "t"), "before").drop("n")
-            others = others.withColumn("rest", F.col("tables") - F.col("t")).drop("tables").join(parent, "word")
-            live = written(_seated(others, ["before", "word"], PAIR_DISCOUNT, PAIR_STRENGTH, seed + 200 + k))
-            come = live.groupBy("word").agg(F.sum("t").alias("come"))
-            again = words.join(written(come), "word", "left").withColumn(
-                "customers", F.col("ones") + F.coalesce("come", F.lit(0.0))
+                model = _fit(stored, spelled, order, least_share, seed, burn_in, samples)
+                words = stored("words", _with_spelling(words, model))
+            parent = words.select(
+                F.col("id").alias("word"), _interpolated(held, F.lit(back), F.col("spelled")).alias("parent")
+            )
+            others = live.join(live.groupBy("before").agg(F.sum("t").alias("opened")), "before")
+            others = others.withColumn("rest", F.col("followed") + F.col("opened") - F.col("t")).drop("opened")
+            seated = _seated(
+                others.join(parent, "word"), ["before", "word"], PAIR_DISCOUNT, PAIR_STRENGTH, seed + 200 + k
             )
+            if k >= word_burn_in:
+                seated = seated.withColumn("kept", F.col("kept") + F.col("t") / word_samples)
+            live = stored("live", seated)
+            come = live.groupBy(F.col("word").alias("id")).agg(F.sum("t").alias("come"))
+            again = words.join(come, "id", "left").withColumn("customers", F.col("ones") + F.coalesce("come", zero))
             again = again.drop("come").withColumns({"rest": tables - F.col("t"), "parent": F.col("spelled")})
-            words = written(_seated(again, ["word"], WORD_DISCOUNT, WORD_STRENGTH, seed + 300 + k))
+            words = stored("words", _seated(again, ["id"], WORD_DISCOUNT, WORD_STRENGTH, seed + 300 + k))
             held, back, tables = _word_rule(words)
             if k >= word_burn_in:
-                live = live.withColumn("kept", F.col("kept") + F.col("t") / word_samples)
                 words = words.withColumn("held", F.col("held") + held / word_samples)
                 backs.append(back)
     else:
         words = _with_spelling(words, model)
     shared = _interpolated(F.col("held"), F.lit(sum(backs) / len(backs)), F.col("spelled"))
-    words = written(words.select("word", F.col("c").alias("occurs"), shared.alias("parent")))
     # the customers of pairs do not change, so the mean of the rules is the rule of the mean tables
-    tables_of = grams.filter("c <= 1").withColumn("t", F.col("c").cast("double")).unionByName(
-        live.select("before", "word", F.col("customers").alias("c"), F.col("kept").alias("t"))
+    opened = live.groupBy(F.col("before").alias("id")).agg(F.sum("kept").alias("opened"))
+    values = words.join(opened, "id", "left").select(
+        "id",
+        F.col("c").alias("occurs"),
+        shared.alias("parent"),
+        (F.col("followed") + F.coalesce("opened", zero)).alias("tables"),
     )
-    tables_of = tables_of.join(_with_tables(contexts, live, "kept"), "before", "left").join(words, "word")
-    n, opened = F.coalesce("n", F.lit(0)), F.coalesce("tables", F.lit(0.0))
-    held = (F.col("c") - PAIR_DISCOUNT * F.col("t")) / (PAIR_STRENGTH + n)
-    back = (PAIR_STRENGTH + PAIR_DISCOUNT * opened) / (PAIR_STRENGTH + n)
-    scored = tables_of.select("before", "word", "occurs", _interpolated(held, back, F.col("parent")).alias("p"))
-    # a chunk of over 500,000 pairs lists some of them twice, with the same numbers
-    dictionary = pairs.select("chunk", "before", "word").join(scored, ["before", "word"])
-
-    def add_up(texts_frame: pd.DataFrame, pairs_frame: pd.DataFrame) -> pd.DataFrame:
-        listed = zip(pairs_frame["before"], pairs_frame["word"], strict=True)
-        place = {(bytes(b), bytes(w)): i for i, (b, w) in enumerate(listed)}
-        p, c = pairs_frame["p"].to_numpy(), pairs_frame["occurs"].to_numpy()
-        base, known = np.log10((c + 0.5) / (n_train + 0.5 * (v_train + 1))), c > 0
-        out = []
-        for value in texts(texts_frame):
-            words = spaced_words(value)
-            at = np.array([place[x] for x in zip([b"", *words], [*words, b""], strict=True)], np.int64)
-            out.append((len(at), int(known[at].sum()), float(base[at].sum()), float(p[at].sum())))
-        made = pd.DataFrame(out, columns=["n_tokens", "n_known", "base_score", "score"], index=texts_frame.index)
-        return pd.concat([texts_frame[["id", "train"]], made], axis=1)
-
-    together = rows.groupBy("chunk").cogroup(dictionary.groupBy("chunk"))
+    values = stored("values", values)
+    answers = stored("answers", _answers(_sent_pairs(blocks, bits), _sent_tables(live, bits, word_samples)))
+    for name in ("live", "words"):
+        stored.drop(docs.sparkSession, name)
+    dictionary = _block_dictionary(blocks).join(values, "id").drop("id")
+
+    def add_up(parts: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
+        block, found = _split(parts)
+        entries = entries.sort_values("place")
+        n, parent, opened = (entries[c].to_numpy(np.float64) for c in ("occurs", "parent", "tables"))
+        c, t = _numbers(found["counts"]), _numbers(found["tables"]).astype(np.float64)
+        t[c > 1] /= word_samples
+        at, below = n[block.before], parent[block.word]
+        held = (c - PAIR_DISCOUNT * t) / (PAIR_STRENGTH + at)
+        back = (PAIR_STRENGTH + PAIR_DISCOUNT * opened[block.before]) / (PAIR_STRENGTH + at)
+        p = below + np.log10(back)
+        own = held > 0
+        p[own] = np.log10(held[own] + back[own] * 10.0 ** below[own])
+        base = np.log10((n + 0.5) / (n_train + 0.5 * (v_train + 1)))
+
+        def summed(x: np.ndarray) -> np.ndarray:
+            return np.add.reduceat(x, block.starts)
+
+        return pd.DataFrame(
+            {
+                "id": block.ids,
+                "train": block.train.astype(np.int64),
+                "n_tokens": block.sizes,
+                "n_known": summed((n > 0).astype(np.int64)[block.tokens]),
+                "base_score": summed(base[block.tokens]),
+                "score": summed(p[block.at]),
+            }
+        )
+
+    together = _parts(blocks, answers).groupBy("chunk").cogroup(dictionary.groupBy("chunk"))
     found = together.applyInPandas(
         add_up, "id string, train int, n_tokens long, n_known long, base_score double, score double"
     )

@@ -60,6 +60,7 @@ from popmeasure.llm.words import gathered, spaced_words, texts
 
 BLOCK_BYTES, BLOCK_ROWS = 4 << 20, 5_000
 BUCKET_PAIRS = 1_000_000
+SHORT_ROWS = 2_000  # of an Arrow batch of words and numbers
 SUBTREE_TASKS = 64
 ALL_CHARACTERS = 0x110000 + 1
 START, END = "\U0010fffe", "\U0010ffff"
@@ -75,22 +76,29 @@ class _Store:
     """Tables of one run by name: no shuffle files stay behind, and a table goes when one of its name replaces it."""
 
     cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
     def __init__(self):
         self.paths: dict[str, str] = {}
 
-    def __call__(self, name: str, df: DataFrame) -> DataFrame:
+    def __call__(self, name: str, df: DataFrame, batch_rows: int | None = None) -> DataFrame:
+        """`df` stored under a name; `batch_rows` is the size of Arrow batches where the rows are short."""
         spark = df.sparkSession
         path = f"{shared_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
-        before = spark.conf.get(self.cleanup, None)
-        spark.conf.set(self.cleanup, "true")
+        wanted = {self.cleanup: "true"}
+        if batch_rows:
+            wanted[self.batch] = str(batch_rows)
+        before = {key: spark.conf.get(key, None) for key in wanted}
         try:
+            for key, value in wanted.items():
+                spark.conf.set(key, value)
             df.write.parquet(path)
         finally:
-            if before is None:
-                spark.conf.unset(self.cleanup)
-            else:
-                spark.conf.set(self.cleanup, before)
+            for key, value in before.items():
+                if value is None:
+                    spark.conf.unset(key)
+                else:
+                    spark.conf.set(key, value)
         self.drop(spark, name)
         self.paths[name] = path
         return spark.read.schema(df.schema).parquet(path)
@@ -693,13 +701,13 @@ def score(
     model, backs = Spelling(order, {}, {}), [1.0]
     if n_train:
         model = _fit(stored, _spelled(words.filter("t > 0"), order), order, least_share, seed, 1, 1)
-        words, backs = stored("words", _with_spelling(words, model)), []
+        words, backs = stored("words", _with_spelling(words, model), SHORT_ROWS), []
         held, back, tables = _word_rule(words)
         for k in range(word_burn_in + word_samples):
             if k == word_burn_in:
                 spelled = _spelled(words.filter("t > 0"), order)
                 model = _fit(stored, spelled, order, least_share, seed, burn_in, samples)
-                words = stored("words", _with_spelling(words, model))
+                words = stored("words", _with_spelling(words, model), SHORT_ROWS)
             parent = words.select(
                 F.col("id").alias("word"), _interpolated(held, F.lit(back), F.col("spelled")).alias("parent")
             )
@@ -710,11 +718,11 @@ def score(
             )
             if k >= word_burn_in:
                 seated = seated.withColumn("kept", F.col("kept") + F.col("t") / word_samples)
-            live = stored("live", seated)
+            live = stored("live", seated, SHORT_ROWS)
             come = live.groupBy(F.col("word").alias("id")).agg(F.sum("t").alias("come"))
             again = words.join(come, "id", "left").withColumn("customers", F.col("ones") + F.coalesce("come", zero))
             again = again.drop("come").withColumns({"rest": tables - F.col("t"), "parent": F.col("spelled")})
-            words = stored("words", _seated(again, ["id"], WORD_DISCOUNT, WORD_STRENGTH, seed + 300 + k))
+            words = stored("words", _seated(again, ["id"], WORD_DISCOUNT, WORD_STRENGTH, seed + 300 + k), SHORT_ROWS)
             held, back, tables = _word_rule(words)
             if k >= word_burn_in:
                 words = words.withColumn("held", F.col("held") + held / word_samples)

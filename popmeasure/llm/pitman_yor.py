@@ -31,9 +31,10 @@ Words are named by their 64-bit hash, pairs by 48 bits beside their bucket: abou
 Shuffle files go after each step and tables after their last use (`_Store`).
 
 Subtrees of context restaurants that share their last character are sampled side by side, with the root's probabilities of
-the round before. Contexts held by less than `least_share` of the spelled characters pass their customers to their parent,
-so that at most 1 / least_share contexts exist per order: that bounds the character model, the only part that is sent to
-all tasks. Random numbers depend on the seed and on what is drawn for, not on partitions.
+the round before. Every context is kept. A subtree is one group: the distinct runs of `order` + 1 characters with one
+character before the last, however often they occur. It answers with the rule of each such run of the vocabulary, and words
+add up their runs by a shuffled join: no character model is sent to the driver or to all tasks.
+Random numbers depend on the seed and on what is drawn for, not on partitions.
 
 Defined results: null and empty texts have the end token only. Without training rows the model is the uniform spelling.
 Rows without an id take part; repeated rows are scored each.
@@ -42,9 +43,8 @@ Rows without an id take part; repeated rows are scored each.
 from __future__ import annotations
 
 import uuid
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
-from math import log10
 from statistics import NormalDist
 
 import numpy as np
@@ -53,7 +53,6 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from popmeasure.llm.common import shared_dir
 from popmeasure.llm.words import gathered, spaced_words, texts
@@ -68,6 +67,7 @@ DISCOUNT = (0.3, 0.5, 0.6, 0.7)  # of the root and the orders above it
 STRENGTH = 1.0
 WORD_DISCOUNT, WORD_STRENGTH = 0.75, 100.0
 PAIR_DISCOUNT, PAIR_STRENGTH = 0.8, 5.0
+UNITS = 10**9  # of a spelling's log10
 _EXACT = 64
 _NORMAL = NormalDist()
 
@@ -183,56 +183,23 @@ def _hashed(names: np.ndarray, seed: int):
     return uniform
 
 
-@dataclass
-class Spelling:
-    """Averaged predictive rules: held[context + character] and back[context], the share left to the parent."""
-
-    order: int
-    held: dict[str, float]
-    back: dict[str, float]
-    memo: dict[str, float] = field(default_factory=dict, repr=False)
-
-    def __getstate__(self) -> dict:
-        return {**self.__dict__, "memo": {}}
-
-    def logged(self, gram: str) -> float:
-        """log10 of the last character's probability behind the others."""
-        known, context, character = 1.0 / ALL_CHARACTERS, gram[:-1], gram[-1]
-        for n in range(self.order + 1):
-            own = context[self.order - n :]
-            back = self.back.get(own)
-            if back is None:
-                break
-            known = self.held.get(own + character, 0.0) + back * known
-        if len(self.memo) > 300_000:
-            self.memo.clear()
-        self.memo[gram] = value = log10(known)
-        return value
-
-    def log10(self, word: str) -> float:
-        padded, size, get = START * self.order + word + END, self.order + 1, self.memo.get
-        total = 0.0
-        for i in range(len(word) + 1):
-            gram = padded[i : i + size]
-            value = get(gram)
-            total += self.logged(gram) if value is None else value
-        return total
-
-
 def _text_of(word: bytes) -> str:
     return word.decode("utf-8", "replace").replace(START, "�").replace(END, "�")
 
 
+def _grams(word: bytes, order: int) -> Iterator[str]:
+    padded = START * order + _text_of(word) + END
+    return (padded[i : i + order + 1] for i in range(len(padded) - order))
+
+
 def _spelled(words: DataFrame, order: int) -> DataFrame:
-    """(context, character, n): the characters spelled by the tables of the word restaurant."""
+    """(context, character, n): characters of all words; n is how often the tables of the word restaurant spell them."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: dict[str, float] = {}
         for frame in gathered(frames):
             for name, t in zip(frame["word"], frame["t"].tolist(), strict=True):
-                padded = START * order + _text_of(bytes(name)) + END
-                for i in range(len(padded) - order):
-                    gram = padded[i : i + order + 1]
+                for gram in _grams(bytes(name), order):
                     counts[gram] = counts.get(gram, 0.0) + t
             if len(counts) > 500_000:
                 yield _frame_of(counts)
@@ -249,15 +216,23 @@ def _spelled(words: DataFrame, order: int) -> DataFrame:
     return made.groupBy("context", "character").agg(F.sum("n").alias("n"))
 
 
-def _with_spelling(words: DataFrame, model: Spelling) -> DataFrame:
-    """`words` with log10 of each word's spelling as `spelled`."""
-    shared = words.sparkSession.sparkContext.broadcast(model)
+def _with_spelling(words: DataFrame, grams: DataFrame, order: int) -> DataFrame:
+    """`words` with log10 of each word's spelling as `spelled`. Whole units are added, so their order does not count."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in gathered(frames):
-            yield frame.assign(spelled=[shared.value.log10(_text_of(bytes(w))) for w in frame["word"]])
+            ids, found, times = [], [], []
+            for own, name in zip(frame["id"].tolist(), frame["word"], strict=True):
+                counts = Counter(_grams(bytes(name), order))
+                ids += [own] * len(counts)
+                found += counts.keys()
+                times += counts.values()
+            yield pd.DataFrame({"id": ids, "gram": found, "times": times})
 
-    return words.mapInPandas(run, words.schema)
+    made = words.select("id", "word").mapInPandas(run, "id long, gram string, times long")
+    sums = made.join(grams, "gram").groupBy("id").agg(F.sum(F.col("times") * F.col("units")).alias("units"))
+    value = (F.col("units") / UNITS).alias("spelled")
+    return words.join(sums, "id").select(*(value if c == "spelled" else c for c in words.columns))
 
 
 def _seated(rows: DataFrame, names: list[str], discount: float, strength: float, seed: int) -> DataFrame:
@@ -354,47 +329,67 @@ def _sample_subtree(rows: pd.DataFrame, root: dict[str, float], order: int, swee
     return pd.DataFrame(out, columns=["kind", "name", "value"])
 
 
-def _root_rule(customers: dict[str, float]) -> tuple[dict[str, float], float]:
-    """Predictive rule of the root, where each character has one table: its customers are few (see `tables`)."""
-    total, d = sum(customers.values()), DISCOUNT[0]
-    held = {ch: max(n - d, 0.0) / (STRENGTH + total) for ch, n in customers.items()}
-    return held, 1.0 - sum(held.values())
-
-
-def _fit(
-    stored: _Store, spelled: DataFrame, order: int, least_share: float, seed: int, burn_in: int, samples: int
-) -> Spelling:
-    spelled = stored("spelled", spelled)
-    total = spelled.agg(F.sum("n")).first()[0] or 0.0
-    rows = spelled
-    for n in range(order, 1, -1):  # rare contexts pass their customers on
-        held = F.sum("n").over(Window.partitionBy("context"))
-        short = (F.length("context") == n) & (held < least_share * total)
-        shorter = F.expr("substring(context, 2)")
-        rows = rows.withColumn("context", F.when(short, shorter).otherwise(F.col("context")))
-        rows = rows.groupBy("context", "character").agg(F.sum("n").alias("n"))
-    rows = stored("contexts", rows)
-    first = {r["character"]: r["n"] for r in rows.groupBy("character").agg(F.count("*").alias("n")).collect()}
-    root_held, root_back = _root_rule({ch: float(n) for ch, n in first.items()})
-    root = {ch: v + root_back / ALL_CHARACTERS for ch, v in root_held.items()}
+def _root_rule(customers: DataFrame) -> tuple[DataFrame, float]:
+    """(character, known) from (character, n), and what any other character has. At the root a character has one table."""
+    left = F.greatest(F.col("n") - DISCOUNT[0], F.lit(0.0))
+    sums = customers.agg(F.sum("n"), F.sum(left)).first()
+    whole, held = STRENGTH + (sums[0] or 0.0), sums[1] or 0.0
+    other = (1.0 - held / whole) / ALL_CHARACTERS
+    return customers.select("character", (left / whole + other).alias("known")), other
+
+
+def _behind(gram: str, held: dict[str, float], back: dict[str, float], order: int) -> tuple[float, float]:
+    """(a, b): the last character's probability behind the others is a + b * the root's."""
+    a, b = 0.0, 1.0
+    for n in range(1, order + 1):
+        own = gram[order - n : order]
+        share = back.get(own)
+        if share is None:
+            break
+        a, b = held.get(own + gram[-1], 0.0) + share * a, share * b
+    return a, b
+
+
+def _fit(stored: _Store, spelled: DataFrame, order: int, seed: int, burn_in: int, samples: int) -> DataFrame:
+    """(gram, units): log10 of the last character's probability behind the others, in parts of `UNITS`."""
+    rows = stored("spelled", spelled)
+    met = rows.filter("n > 0").groupBy("character").agg(F.count("*").cast("double").alias("n"))
+    first, _ = _root_rule(met)
 
     def sample(frame: pd.DataFrame) -> pd.DataFrame:
-        chosen = frame[["context", "character", "n"]]
-        return _sample_subtree(chosen, root, order, burn_in + samples, burn_in, seed)
+        trained, held, back, sent = frame[frame["n"] > 0], {}, {}, {}
+        if len(trained):
+            root = dict(zip(trained["character"], trained["known"].tolist(), strict=True))
+            rules = _sample_subtree(
+                trained[["context", "character", "n"]], root, order, burn_in + samples, burn_in, seed
+            )
+            for kind, values in (("held", held), ("back", back), ("root", sent)):
+                own = rules[rules["kind"] == kind]
+                values.update(zip(own["name"], own["value"].tolist(), strict=True))
+        grams = (frame["context"] + frame["character"]).tolist()
+        behind = np.array([_behind(g, held, back, order) for g in grams]).reshape(-1, 2)
+        rest = [None] * len(sent)
+        return pd.DataFrame(
+            {
+                "gram": grams + rest,
+                "character": frame["character"].tolist() + list(sent),
+                "held": np.concatenate([behind[:, 0], np.zeros(len(sent))]),
+                "back": np.concatenate([behind[:, 1], np.zeros(len(sent))]),
+                "customers": np.concatenate([np.zeros(len(grams)), np.array(list(sent.values()), np.float64)]),
+            }
+        )
 
     # a number of partitions that adaptive execution keeps: the rows are few, the work on them is not
-    dealt = rows.withColumn("last", F.expr("right(context, 1)")).repartition(SUBTREE_TASKS, "last")
-    found = dealt.groupBy("last").applyInPandas(sample, "kind string, name string, value double")
-    held, back, customers = {}, {}, {}
-    for r in found.collect():  # bounded by least_share, see the module's text
-        if r["kind"] == "root":
-            customers[r["name"]] = customers.get(r["name"], 0.0) + r["value"]
-        else:
-            (held if r["kind"] == "held" else back)[r["name"]] = r["value"]
-    root_held, root_back = _root_rule(customers)
-    held.update(root_held)
-    back[""] = root_back
-    return Spelling(order, held, back)
+    dealt = rows.join(first, "character", "left").withColumn("last", F.expr("right(context, 1)"))
+    found = dealt.repartition(SUBTREE_TASKS, "last").groupBy("last").applyInPandas(
+        sample, "gram string, character string, held double, back double, customers double"
+    )
+    found = stored("rules", found, SHORT_ROWS)
+    sent = found.filter("gram is null").groupBy("character").agg(F.sum("customers").alias("n"))
+    roots, other = _root_rule(sent)
+    known = F.col("held") + F.col("back") * F.coalesce("known", F.lit(other))
+    grams = found.filter("gram is not null").join(roots, "character", "left")
+    return grams.select("gram", F.round(F.log10(known) * UNITS).cast("long").alias("units"))
 
 
 class _Places(dict):
@@ -650,7 +645,6 @@ def score(
     id_column: str = "doc_id",
     text: str = "text",
     order: int = 3,
-    least_share: float = 2e-6,
     burn_in: int = 3,
     samples: int = 4,
     seed: int = 11,
@@ -698,16 +692,17 @@ def score(
             {"t": F.lit(1.0), "kept": F.lit(0.0)}
         ),
     )
-    model, backs = Spelling(order, {}, {}), [1.0]
+    grams = _fit(stored, _spelled(words, order), order, seed, 1, 1)
+    words, backs = stored("words", _with_spelling(words, grams, order), SHORT_ROWS), [1.0]
     if n_train:
-        model = _fit(stored, _spelled(words.filter("t > 0"), order), order, least_share, seed, 1, 1)
-        words, backs = stored("words", _with_spelling(words, model), SHORT_ROWS), []
+        backs = []
         held, back, tables = _word_rule(words)
         for k in range(word_burn_in + word_samples):
             if k == word_burn_in:
-                spelled = _spelled(words.filter("t > 0"), order)
-                model = _fit(stored, spelled, order, least_share, seed, burn_in, samples)
-                words = stored("words", _with_spelling(words, model), SHORT_ROWS)
+                grams = _fit(stored, _spelled(words, order), order, seed, burn_in, samples)
+                words = stored("words", _with_spelling(words, grams, order), SHORT_ROWS)
+                for name in ("spelled", "rules"):
+                    stored.drop(docs.sparkSession, name)
             parent = words.select(
                 F.col("id").alias("word"), _interpolated(held, F.lit(back), F.col("spelled")).alias("parent")
             )
@@ -727,8 +722,6 @@ def score(
             if k >= word_burn_in:
                 words = words.withColumn("held", F.col("held") + held / word_samples)
                 backs.append(back)
-    else:
-        words = _with_spelling(words, model)
     shared = _interpolated(F.col("held"), F.lit(sum(backs) / len(backs)), F.col("spelled"))
     # the customers of pairs do not change, so the mean of the rules is the rule of the mean tables
     opened = live.groupBy(F.col("before").alias("id")).agg(F.sum("kept").alias("opened"))

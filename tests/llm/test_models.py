@@ -299,3 +299,48 @@ def test_spelling_sums_to_one():
     for context in ("ab", "b"):
         held = sum(v for (kind, name), v in values.items() if kind == "held" and name[:-1] == context)
         assert math.isclose(held + values["back", context], 1.0, abs_tol=1e-9)
+
+
+def test_spelled_words_equal_the_rules_applied_directly(spark):
+    import pandas as pd
+
+    texts = ["cab", "abab", "cabs", "scab", "bab", "", "é" * 40, "unmet\u4e2d", "abab" * 300]
+    trained = [3.0, 5.0, 1.0, 2.0, 4.0, 6.0, 0.0, 0.0, 1.0]
+    rows = [(i, w.encode(), t, 0.0) for i, (w, t) in enumerate(zip(texts, trained, strict=True))]
+    words = spark.createDataFrame(rows, "id long, word binary, t double, spelled double")
+    grams = pitman_yor._fit(pitman_yor._Store(), pitman_yor._spelled(words, 3), 3, 11, 2, 4)
+    got = {r["id"]: r["spelled"] for r in pitman_yor._with_spelling(words, grams, 3).collect()}
+    counts = Counter()
+    for _, word, t, _ in rows:
+        for gram in pitman_yor._grams(word, 3):
+            counts[gram] += t
+
+    def root(customers):
+        total = 1.0 + sum(customers.values())
+        held = {ch: max(n - 0.3, 0) / total for ch, n in customers.items()}
+        other = (1 - sum(held.values())) / pitman_yor.ALL_CHARACTERS
+        return lambda ch: held.get(ch, 0.0) + other
+
+    met = Counter(g[-1] for g, n in counts.items() if n)
+    first, held, back, sent = root(met), {}, {}, Counter()
+    for last in {g[2] for g, n in counts.items() if n}:
+        own = [(g[:3], g[3], n) for g, n in counts.items() if n and g[2] == last]
+        frame = pd.DataFrame(own, columns=["context", "character", "n"])
+        for r in pitman_yor._sample_subtree(frame, {ch: first(ch) for ch in met}, 3, 6, 2, 11).itertuples(index=False):
+            if r.kind == "root":
+                sent[r.name] += r.value
+            else:
+                (held if r.kind == "held" else back)[r.name] = r.value
+    at_root = root(sent)
+
+    def behind(gram):
+        p = at_root(gram[3])
+        for own in (gram[2:3], gram[1:3], gram[:3]):
+            if own not in back:
+                return p
+            p = held.get(own + gram[3], 0.0) + back[own] * p
+        return p
+
+    for i, word, _, _ in rows:
+        want = sum(math.log10(behind(g)) for g in pitman_yor._grams(word, 3))
+        assert math.isclose(got[i], want, abs_tol=1e-6), word

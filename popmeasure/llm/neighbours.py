@@ -4,18 +4,22 @@ Vectors are scaled to length one, so the largest cosine is the smallest Euclidea
 every vector `m` projections; each projection is one sorted array. A query's window in an array is centred on its own
 projection; virtual rehashing widens all windows in rounds (radius 1, c, c**2 ...) and each round only counts what the
 windows newly cover. A vector that lies in at least `share * m` windows has passed the collision threshold and is
-verified with the exact cosine. A query ends when `k` verified vectors besides its own are nearer than its radius, or when its windows
-hold all vectors.
+verified with the exact cosine. A query ends when `k` verified vectors besides its own are nearer than its radius, when its
+windows hold all vectors, or at its bound: the distance of the k-th nearest vector that it has found elsewhere.
 
 The index is built in blocks of `block` vectors, queries come in blocks too; a pair of blocks is one task's group, so
-memory is bounded whatever the sizes, and every vector is indexed. The directions come from the seed; nothing is
-fitted to the data.
+memory is bounded whatever the sizes, and every vector is indexed. Blocks are random parts of the vectors and are searched
+in waves: the first block, the next ones up to the `WAVE`-th, those up to the `WAVE ** 2`-th and so on. Each wave starts
+with the bounds of those before, so nearly all blocks are searched with windows no wider than the k-th neighbour among a
+good part of all vectors asks for, and only few vectors pass the threshold there. A bound is never nearer than the k-th
+neighbour among all vectors, so nothing that belongs to a result is lost by it. The directions come from the seed; nothing
+is fitted to the data.
 
 Equal vectors stand once in the index with their k + 1 smallest ids: no other of them can be among k results.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part, nor do rows without an
 id; vectors of another dimension than the most frequent one do not either. Of rows that repeat an id the smallest vector
-counts. Fewer than k candidates are all returned. Equal scores are ordered by id.
+counts. Fewer than k candidates are all returned. Equal scores are ordered by id. No other column of the tables is read.
 """
 
 from __future__ import annotations
@@ -31,6 +35,10 @@ from pyspark.sql.window import Window
 
 from popmeasure.llm.common import written
 
+WAVE = 64
+TOGETHER = 64  # queries that hold counts at a time
+_ROUNDING = 1e-6
+
 
 def usable(vectors: DataFrame, id_column: str, vector: str) -> DataFrame:
     """(id, v): one row per id, with a vector of finite doubles that is not zero and has the usual dimension."""
@@ -43,44 +51,75 @@ def usable(vectors: DataFrame, id_column: str, vector: str) -> DataFrame:
 
 
 def search_block(
-    queries: np.ndarray, data: np.ndarray, k: int, m: int, share: float, width: float, growth: float, seed: int
+    queries: np.ndarray,
+    data: np.ndarray,
+    bounds: np.ndarray,
+    k: int,
+    m: int,
+    share: float,
+    width: float,
+    growth: float,
+    seed: int,
 ) -> list[np.ndarray]:
     """For each query the places of the verified vectors of `data`; both are rows of length one.
 
     At radius r a window reaches `width` standard deviations of the projected difference of vectors r apart.
+    No window is wider than that of the query's bound.
     """
     directions = np.random.default_rng(seed).standard_normal((m, data.shape[1]))
     directions /= np.linalg.norm(directions, axis=1)[:, None]
-    projected, centres = (data @ directions.T).T, queries @ directions.T
+    projected = (data @ directions.T).T
     order = np.argsort(projected, axis=1, kind="stable").astype(np.int32)
     arrays = np.take_along_axis(projected, order, axis=1)
-    need, n = max(1, math.ceil(share * m)), len(data)
+    out: list[np.ndarray] = []
+    for start in range(0, len(queries), TOGETHER):
+        part = slice(start, start + TOGETHER)
+        out += _expand(queries[part], data, bounds[part], directions, order, arrays, k, share, width, growth)
+    return out
+
+
+def _expand(
+    queries: np.ndarray,
+    data: np.ndarray,
+    bounds: np.ndarray,
+    directions: np.ndarray,
+    order: np.ndarray,
+    arrays: np.ndarray,
+    k: int,
+    share: float,
+    width: float,
+    growth: float,
+) -> list[np.ndarray]:
+    m, n = order.shape
+    centres, need = queries @ directions.T, max(1, math.ceil(share * m))
     middle = np.stack([np.searchsorted(a, centres[:, i]) for i, a in enumerate(arrays)], axis=1)
     low, high = middle.copy(), middle.copy()
-    counts = [np.zeros(n, np.int32) for _ in queries]
+    counts = np.zeros((len(queries), n), np.int32)
     near = [np.empty(0) for _ in queries]
     found: list[list[np.ndarray]] = [[] for _ in queries]
-    active, radius = list(range(len(queries))), 0.25
-    while active:
-        half = width * radius / math.sqrt(data.shape[1])
-        ends = centres[active]
-        new_low = np.stack([np.searchsorted(a, ends[:, i] - half, "left") for i, a in enumerate(arrays)], axis=1)
-        new_high = np.stack([np.searchsorted(a, ends[:, i] + half, "right") for i, a in enumerate(arrays)], axis=1)
+    active, radius = np.arange(len(queries)), 0.25
+    while len(active):
+        radii = np.minimum(radius, bounds[active])
+        half = (width / math.sqrt(data.shape[1]) * radii)[:, None]
+        left, right = centres[active] - half, centres[active] + half
+        new_low = np.stack([np.searchsorted(a, left[:, i], "left") for i, a in enumerate(arrays)], axis=1)
+        new_high = np.stack([np.searchsorted(a, right[:, i], "right") for i, a in enumerate(arrays)], axis=1)
         going = []
-        for row, j in enumerate(active):
+        for row, j in enumerate(active.tolist()):
             covered = [order[i, new_low[row, i] : low[j, i]] for i in range(m)]
             covered += [order[i, high[j, i] : new_high[row, i]] for i in range(m)]
-            before = counts[j]
-            counts[j] = before + np.bincount(np.concatenate(covered), minlength=n).astype(np.int32)
+            before = counts[j].copy()
+            counts[j] += np.bincount(np.concatenate(covered), minlength=n).astype(np.int32)
             low[j], high[j] = np.minimum(low[j], new_low[row]), np.maximum(high[j], new_high[row])
             fresh = np.flatnonzero((counts[j] >= need) & (before < need))
             if len(fresh):
                 found[j].append(fresh)
                 apart = np.sqrt(np.maximum(2 - 2 * (data[fresh] @ queries[j]), 0))
                 near[j] = np.sort(np.concatenate((near[j], apart)))[:k]
-            if not ((len(near[j]) >= k and near[j][k - 1] <= radius) or (high[j] - low[j]).min() >= n):
+            ended = len(near[j]) >= k and near[j][k - 1] <= radii[row]
+            if not (ended or radii[row] >= bounds[j] or (high[j] - low[j]).min() >= n):
                 going.append(j)
-        active, radius = going, radius * growth
+        active, radius = np.array(going, np.int64), radius * growth
     return [np.concatenate(f) if f else np.empty(0, np.int64) for f in found]
 
 
@@ -90,12 +129,12 @@ def nearest(
     k: int = 5,
     id_column: str = "vec_id",
     vector: str = "embedding",
-    m: int = 64,
-    share: float = 0.8,
+    m: int = 128,
+    share: float = 0.85,
     width: float = 1.5,
-    growth: float = 1.1,
+    growth: float = 1.2,
     block: int = 8192,
-    query_block: int = 2048,
+    query_block: int = 16384,
     seed: int = 7,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's `k` nearest vectors but itself."""
@@ -104,24 +143,22 @@ def nearest(
     classes = data.withColumn("place", F.row_number().over(Window.partitionBy("v").orderBy("id")))
     classes = classes.filter(F.col("place") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     classes = written(classes)
+    asked = written(asked)
     n_classes, n_asked = classes.count(), asked.count()
     blocks, query_blocks = max(1, math.ceil(n_classes / block)), max(1, math.ceil(n_asked / query_block))
 
-    def spread(df: DataFrame, own: str, own_n: int, other: str, other_n: int, key: str) -> DataFrame:
-        mine = F.pmod(F.xxhash64(key, F.lit(1)), F.lit(own_n)).cast("int").alias(own)
-        copies = F.explode(F.sequence(F.lit(0), F.lit(other_n - 1))).alias(other)
-        return df.withColumn(own, mine).select("*", copies)
-
-    left = spread(classes, "b", blocks, "qb", query_blocks, "v")
-    right = spread(asked.select("id", "v"), "qb", query_blocks, "b", blocks, "id")
+    def placed(df: DataFrame, key: str, name: str, n: int) -> DataFrame:
+        return df.withColumn(name, F.pmod(F.xxhash64(key, F.lit(1)), F.lit(n)).cast("int"))
 
     def search(data_frame: pd.DataFrame, query_frame: pd.DataFrame) -> pd.DataFrame:
         rows: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
         if len(data_frame) and len(query_frame):
             raw, asked_raw = np.stack(data_frame["v"].to_numpy()), np.stack(query_frame["v"].to_numpy())
             norms, asked_norms = np.sqrt((raw * raw).sum(axis=1)), np.sqrt((asked_raw * asked_raw).sum(axis=1))
+            reached = query_frame["reached"].to_numpy(np.float64)  # the k-th score so far
+            bounds = np.where(np.isnan(reached), np.inf, np.sqrt(np.maximum(2 - 2 * reached, 0)) + _ROUNDING)
             hits = search_block(
-                asked_raw / asked_norms[:, None], raw / norms[:, None], k + 1, m, share, width, growth, seed
+                asked_raw / asked_norms[:, None], raw / norms[:, None], bounds, k + 1, m, share, width, growth, seed
             )
             ids = data_frame["ids"].to_numpy()
             for own, q, q_norm, places in zip(query_frame["id"], asked_raw, asked_norms, hits, strict=True):
@@ -136,9 +173,29 @@ def nearest(
                 rows["score"] += [-s for s, _ in listed]
         return pd.DataFrame(rows)
 
-    found = left.groupBy("b", "qb").cogroup(right.groupBy("b", "qb")).applyInPandas(
-        search, "query_id long, vec_id long, score double"
-    )
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
-    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+    def best_of(found: DataFrame) -> DataFrame:
+        return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+    index = placed(classes, "v", "b", blocks)
+    questions = placed(asked.select("id", "v"), "id", "qb", query_blocks)
+    best, first = None, 0
+    while first < blocks:
+        last = min(blocks, WAVE * first or 1)  # this wave's blocks: from `first` up to it
+        bounded = questions.withColumn("reached", F.lit(None).cast("double"))
+        if best is not None:
+            reached = best.filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("reached"))
+            bounded = questions.join(reached, "id", "left")
+        own = index.filter((F.col("b") >= first) & (F.col("b") < last))
+        left = own.select("*", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"))
+        right = bounded.select("*", F.explode(F.sequence(F.lit(first), F.lit(last - 1))).alias("b"))
+        found = left.groupBy("b", "qb").cogroup(right.groupBy("b", "qb")).applyInPandas(
+            search, "query_id long, vec_id long, score double"
+        )
+        if best is not None:
+            found = found.unionByName(best.drop("rank"))
+        best, first = best_of(found), last
+        if first < blocks:
+            best = written(best)
+    return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

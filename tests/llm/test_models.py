@@ -136,6 +136,39 @@ def test_few_and_no_vectors(spark):
     assert neighbours.nearest(few.limit(0), few.limit(0)).count() == 0
 
 
+def test_bounded_windows_verify_few_vectors_and_keep_the_nearest():
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((12_000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    queries, part, k = x[:40], x[6_000:], 5
+    cosine = queries @ x.T
+    reached = np.sort(cosine[:, 40:6_000], axis=1)[:, -k]  # what the queries found in another part
+    bounds = np.sqrt(2 - 2 * reached) + 1e-6
+    hits = neighbours.search_block(queries, part, bounds, k + 1, 128, 0.85, 1.5, 1.2, 7)
+    assert sum(map(len, hits)) < 0.05 * 40 * len(part)
+    wanted = [set(np.flatnonzero(cosine[i, 6_000:] > reached[i])) for i in range(40)]
+    caught = sum(len(w & set(h.tolist())) for w, h in zip(wanted, hits, strict=True))
+    assert caught >= 0.9 * sum(map(len, wanted))
+
+
+def test_nearest_vectors_through_several_waves(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "WAVE", 2)
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((300, 8))
+    rows = [(i, v.tolist(), "x", 1) for i, v in enumerate(x)]
+    vectors = spark.createDataFrame(rows, "vec_id long, v array<double>, ids string, rank int")
+    got = neighbours.nearest(vectors, vectors.filter("vec_id % 30 = 0"), vector="v", block=30, query_block=4).collect()
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    hits = 0
+    for q in range(0, 300, 30):
+        cosine = unit @ unit[q]
+        own = sorted((r["rank"], r["vec_id"]) for r in got if r["query_id"] == q)
+        assert [rank for rank, _ in own] == [1, 2, 3, 4, 5]
+        want = sorted((-c, i) for i, c in enumerate(cosine) if i != q)[:5]
+        hits += len({i for _, i in want} & {i for _, i in own})
+    assert hits >= 0.9 * 50
+
+
 # --- pieces ----------------------------------------------------------------------------------------------------------
 
 needs_vocabulary = pytest.mark.skipif(not os.path.exists(VOCABULARY), reason="no vocabulary file")

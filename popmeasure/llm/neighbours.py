@@ -129,8 +129,8 @@ def nearest(
     k: int = 5,
     id_column: str = "vec_id",
     vector: str = "embedding",
-    m: int = 128,
-    share: float = 0.85,
+    m: int = 192,
+    share: float = 0.83,
     width: float = 1.5,
     growth: float = 1.2,
     block: int = 8192,

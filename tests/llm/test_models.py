@@ -144,8 +144,8 @@ def test_bounded_windows_verify_few_vectors_and_keep_the_nearest():
     cosine = queries @ x.T
     reached = np.sort(cosine[:, 40:6_000], axis=1)[:, -k]  # what the queries found in another part
     bounds = np.sqrt(2 - 2 * reached) + 1e-6
-    hits = neighbours.search_block(queries, part, bounds, k + 1, 128, 0.85, 1.5, 1.2, 7)
-    assert sum(map(len, hits)) < 0.05 * 40 * len(part)
+    hits = neighbours.search_block(queries, part, bounds, k + 1, 192, 0.83, 1.5, 1.2, 7)
+    assert sum(map(len, hits)) < 0.1 * 40 * len(part)
     wanted = [set(np.flatnonzero(cosine[i, 6_000:] > reached[i])) for i in range(40)]
     caught = sum(len(w & set(h.tolist())) for w, h in zip(wanted, hits, strict=True))
     assert caught >= 0.9 * sum(map(len, wanted))

@@ -2,10 +2,12 @@
 
 Vectors are scaled to length one, so the largest cosine is the smallest Euclidean distance. `m` random directions give
 every vector `m` projections; each projection is one sorted array. A query's window in an array is centred on its own
-projection; virtual rehashing widens all windows in rounds (radius 1, c, c**2 ...) and each round only counts what the
-windows newly cover. A vector that lies in at least `share * m` windows has passed the collision threshold and is
-verified with the exact cosine. A query ends when `k` verified vectors besides its own are nearer than its radius, when its
-windows hold all vectors, or at its bound: the distance of the k-th nearest vector that it has found elsewhere.
+projection; virtual rehashing widens all windows in rounds (radius 1, c, c**2 ...). A vector that lies in at least `share * m` windows has passed the
+collision threshold and is verified with the exact cosine. A query ends when `k` verified vectors besides its own are nearer
+than its radius, when its windows hold all vectors, or at its bound: the distance of the k-th nearest vector that it has
+found elsewhere. A query that has a bound starts there: the windows of all rounds before lie inside those of its bound.
+Narrow windows are counted by what they hold; wide ones by comparing every vector's place in an array with the window's two
+ends, which takes the same time however wide they are.
 
 The index is built in blocks of `block` vectors, queries come in blocks too; a pair of blocks is one task's group, so
 memory is bounded whatever the sizes, and every vector is indexed. Blocks are random parts of the vectors and are searched
@@ -36,7 +38,8 @@ from pyspark.sql.window import Window
 from popmeasure.llm.common import written
 
 WAVE = 64
-TOGETHER = 64  # queries that hold counts at a time
+TOGETHER = 64  # queries whose windows are looked up at a time
+NARROW = 1 / 16  # of an array
 _ROUNDING = 1e-6
 
 
@@ -69,15 +72,27 @@ def search_block(
     directions = np.random.default_rng(seed).standard_normal((m, data.shape[1]))
     directions /= np.linalg.norm(directions, axis=1)[:, None]
     projected = (data @ directions.T).T
-    order = np.argsort(projected, axis=1, kind="stable").astype(np.int32)
+    order = np.argsort(projected, axis=1, kind="stable")
     arrays = np.take_along_axis(projected, order, axis=1)
+    place = np.empty(order.shape, np.uint16 if len(data) < 1 << 16 else np.uint32)
+    np.put_along_axis(place, order, np.arange(len(data), dtype=place.dtype)[None, :], axis=1)
     out: list[np.ndarray] = []
     for start in range(0, len(queries), TOGETHER):
         part = slice(start, start + TOGETHER)
-        out += _expand(queries[part], data, bounds[part], directions, order, arrays, k, share, width, growth)
+        out += _expand(queries[part], data, bounds[part], directions, order, arrays, place, k, share, width, growth)
     return out
 
 
+def window_counts(order: np.ndarray, place: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """How many windows hold each vector; a window is the places `low` up to `high` of an array."""
+    m, n = order.shape
+    if (high - low).sum() < NARROW * m * n:
+        return np.bincount(np.concatenate([order[i, low[i] : high[i]] for i in range(m)]), minlength=n)
+    # below `low` the unsigned difference wraps around to more than any size
+    inside = place - low.astype(place.dtype)[:, None] < (high - low).astype(place.dtype)[:, None]
+    return inside.sum(axis=0, dtype=np.uint8 if m < 1 << 8 else np.uint32)
+
+
 def _expand(
     queries: np.ndarray,
     data: np.ndarray,
@@ -85,6 +100,7 @@ def _expand(
     directions: np.ndarray,
     order: np.ndarray,
     arrays: np.ndarray,
+    place: np.ndarray,
     k: int,
     share: float,
     width: float,
@@ -92,35 +108,28 @@ def _expand(
 ) -> list[np.ndarray]:
     m, n = order.shape
     centres, need = queries @ directions.T, max(1, math.ceil(share * m))
-    middle = np.stack([np.searchsorted(a, centres[:, i]) for i, a in enumerate(arrays)], axis=1)
-    low, high = middle.copy(), middle.copy()
-    counts = np.zeros((len(queries), n), np.int32)
     near = [np.empty(0) for _ in queries]
-    found: list[list[np.ndarray]] = [[] for _ in queries]
+    found = [np.empty(0, np.int64) for _ in queries]
     active, radius = np.arange(len(queries)), 0.25
     while len(active):
-        radii = np.minimum(radius, bounds[active])
+        radii = np.where(np.isfinite(bounds[active]), bounds[active], radius)
         half = (width / math.sqrt(data.shape[1]) * radii)[:, None]
         left, right = centres[active] - half, centres[active] + half
-        new_low = np.stack([np.searchsorted(a, left[:, i], "left") for i, a in enumerate(arrays)], axis=1)
-        new_high = np.stack([np.searchsorted(a, right[:, i], "right") for i, a in enumerate(arrays)], axis=1)
+        low = np.stack([np.searchsorted(a, left[:, i], "left") for i, a in enumerate(arrays)], axis=1)
+        high = np.stack([np.searchsorted(a, right[:, i], "right") for i, a in enumerate(arrays)], axis=1)
         going = []
         for row, j in enumerate(active.tolist()):
-            covered = [order[i, new_low[row, i] : low[j, i]] for i in range(m)]
-            covered += [order[i, high[j, i] : new_high[row, i]] for i in range(m)]
-            before = counts[j].copy()
-            counts[j] += np.bincount(np.concatenate(covered), minlength=n).astype(np.int32)
-            low[j], high[j] = np.minimum(low[j], new_low[row]), np.maximum(high[j], new_high[row])
-            fresh = np.flatnonzero((counts[j] >= need) & (before < need))
+            passed = np.flatnonzero(window_counts(order, place, low[row], high[row]) >= need)
+            fresh = np.setdiff1d(passed, found[j], assume_unique=True)
             if len(fresh):
-                found[j].append(fresh)
+                found[j] = passed  # windows only grow
                 apart = np.sqrt(np.maximum(2 - 2 * (data[fresh] @ queries[j]), 0))
                 near[j] = np.sort(np.concatenate((near[j], apart)))[:k]
             ended = len(near[j]) >= k and near[j][k - 1] <= radii[row]
-            if not (ended or radii[row] >= bounds[j] or (high[j] - low[j]).min() >= n):
+            if not (ended or radii[row] >= bounds[j] or (high[row] - low[row]).min() >= n):
                 going.append(j)
         active, radius = np.array(going, np.int64), radius * growth
-    return [np.concatenate(f) if f else np.empty(0, np.int64) for f in found]
+    return found
 
 
 def nearest(

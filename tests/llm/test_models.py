@@ -151,6 +151,35 @@ def test_bounded_windows_verify_few_vectors_and_keep_the_nearest():
     assert caught >= 0.9 * sum(map(len, wanted))
 
 
+def test_a_query_with_a_bound_takes_one_round(monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((500, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    m, need, bounds = 24, 20, rng.uniform(0.7, 1.2, 10)
+    lookups, searchsorted = [], np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda *a, **k: lookups.append(1) or searchsorted(*a, **k))
+    hits = neighbours.search_block(x[:10], x, bounds, 6, m, need / m, 1.5, 1.2, 7)
+    assert len(lookups) <= 2 * m
+    directions = np.random.default_rng(7).standard_normal((m, 16))
+    directions /= np.linalg.norm(directions, axis=1)[:, None]
+    for q, bound, found in zip(x, bounds, hits, strict=False):
+        within = np.abs((x - q) @ directions.T) <= 1.5 / 4 * bound
+        assert sorted(found.tolist()) == np.flatnonzero(within.sum(axis=1) >= need).tolist()
+
+
+@pytest.mark.parametrize("n", [300, 70_000])
+def test_wide_windows_are_counted_like_narrow_ones(n):
+    rng = np.random.default_rng(8)
+    order = np.stack([rng.permutation(n) for _ in range(7)])
+    place = np.argsort(order, axis=1).astype(np.uint16 if n < 1 << 16 else np.uint32)
+    for width in (0, 1, n // 100, n // 3, n):
+        low = rng.integers(0, n - width + 1, 7)
+        want = np.zeros(n, int)
+        for own, start in zip(order, low, strict=True):
+            want[own[start : start + width]] += 1
+        assert (neighbours.window_counts(order, place, low, low + width) == want).all()
+
+
 def test_nearest_vectors_through_several_waves(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "WAVE", 2)
     rng = np.random.default_rng(4)

@@ -32,8 +32,9 @@ Shuffle files go after each step and tables after their last use (`_Store`).
 
 Subtrees of context restaurants that share their last character are sampled side by side, with the root's probabilities of
 the round before. Every context is kept. A subtree is one group: the distinct runs of `order` + 1 characters with one
-character before the last, however often they occur. It answers with the rule of each such run of the vocabulary, and words
-add up their runs by a shuffled join: no character model is sent to the driver or to all tasks.
+character before the last, however often they occur. It answers with the rule of each such run of the vocabulary. Words are
+dealt into buckets of about `BUCKET_WORDS`; a bucket asks for each distinct run of its words once, by a shuffled join, and
+adds up the answers: no character model is sent to the driver or to all tasks.
 Random numbers depend on the seed and on what is drawn for, not on partitions.
 
 Defined results: null and empty texts have the end token only. Without training rows the model is the uniform spelling.
@@ -43,7 +44,6 @@ Rows without an id take part; repeated rows are scored each.
 from __future__ import annotations
 
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 from statistics import NormalDist
 
@@ -59,6 +59,7 @@ from popmeasure.llm.words import gathered, spaced_words, texts
 
 BLOCK_BYTES, BLOCK_ROWS = 4 << 20, 5_000
 BUCKET_PAIRS = 1_000_000
+BUCKET_WORDS = 50_000
 SHORT_ROWS = 2_000  # of an Arrow batch of words and numbers
 SUBTREE_TASKS = 64
 ALL_CHARACTERS = 0x110000 + 1
@@ -192,47 +193,79 @@ def _grams(word: bytes, order: int) -> Iterator[str]:
     return (padded[i : i + order + 1] for i in range(len(padded) - order))
 
 
-def _spelled(words: DataFrame, order: int) -> DataFrame:
-    """(context, character, n): characters of all words; n is how often the tables of the word restaurant spell them."""
+def _grams_of(words: list[bytes], order: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(grams, at, starts): the distinct `_grams` of all words, which one stands at each place, each word's first place."""
+    padded = [START * order + _text_of(w) + END for w in words]
+    points = np.frombuffer("".join(padded).encode("utf-32-le"), "<u4")
+    sizes = np.array([len(x) for x in padded], np.int64)
+    begin = np.ones(len(points), bool)
+    for k in range(1, order + 1):
+        begin[np.cumsum(sizes) - k] = False
+    place = np.flatnonzero(begin)
+    digit = np.cumsum(np.bincount(points) > 0) - 1
+    base = int(digit[-1]) + 1
+    code, bound = digit[points[place]], base
+    for k in range(1, order + 1):
+        if bound * base >= 1 << 62:
+            kinds, code = np.unique(code, return_inverse=True)
+            bound = len(kinds)
+        code, bound = code * base + digit[points[place + k]], bound * base
+    kinds, at = np.unique(code, return_inverse=True)
+    some = np.empty(len(kinds), np.int64)
+    some[at] = place
+    spelled = points[some[:, None] + np.arange(order + 1)].tobytes().decode("utf-32-le")
+    grams = [spelled[i : i + order + 1] for i in range(0, len(spelled), order + 1)]
+    return grams, at, np.cumsum(sizes - order) - (sizes - order)
+
+
+def _bucketed(words: DataFrame) -> DataFrame:
+    n = max(1, -(-words.count() // BUCKET_WORDS))
+    return words.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(n)))
+
+
+def _asked(words: DataFrame, order: int) -> DataFrame:
+    """(bucket, context, character, n): characters of a bucket's words; n is how often tables of theirs spell them."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: dict[str, float] = {}
-        for frame in gathered(frames):
-            for name, t in zip(frame["word"], frame["t"].tolist(), strict=True):
-                for gram in _grams(bytes(name), order):
-                    counts[gram] = counts.get(gram, 0.0) + t
-            if len(counts) > 500_000:
-                yield _frame_of(counts)
-                counts = {}
-        yield _frame_of(counts)
-
-    def _frame_of(counts: dict[str, float]) -> pd.DataFrame:
-        grams = list(counts)
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        grams, at, starts = _grams_of([bytes(w) for w in frame["word"]], order)
+        times = np.repeat(frame["t"].to_numpy(np.float64), np.diff(starts, append=len(at)))
         return pd.DataFrame(
-            {"context": [g[:-1] for g in grams], "character": [g[-1] for g in grams], "n": list(counts.values())}
+            {
+                "bucket": frame["bucket"].iloc[0],
+                "context": [g[:-1] for g in grams],
+                "character": [g[-1] for g in grams],
+                "n": np.bincount(at, times),
+            }
         )
 
-    made = words.select("word", "t").mapInPandas(run, "context string, character string, n double")
-    return made.groupBy("context", "character").agg(F.sum("n").alias("n"))
+    grouped = _bucketed(words).select("bucket", "word", "t").groupBy("bucket")
+    return grouped.applyInPandas(run, "bucket long, context string, character string, n double")
 
 
-def _with_spelling(words: DataFrame, grams: DataFrame, order: int) -> DataFrame:
-    """`words` with log10 of each word's spelling as `spelled`. Whole units are added, so their order does not count."""
+def _spelled(words: DataFrame, order: int, asked: DataFrame | None = None) -> DataFrame:
+    """(context, character, n): characters of all words; n is how often the tables of the word restaurant spell them."""
+    asked = _asked(words, order) if asked is None else asked
+    return asked.groupBy("context", "character").agg(F.sum("n").alias("n"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in gathered(frames):
-            ids, found, times = [], [], []
-            for own, name in zip(frame["id"].tolist(), frame["word"], strict=True):
-                counts = Counter(_grams(bytes(name), order))
-                ids += [own] * len(counts)
-                found += counts.keys()
-                times += counts.values()
-            yield pd.DataFrame({"id": ids, "gram": found, "times": times})
 
-    made = words.select("id", "word").mapInPandas(run, "id long, gram string, times long")
-    sums = made.join(grams, "gram").groupBy("id").agg(F.sum(F.col("times") * F.col("units")).alias("units"))
-    value = (F.col("units") / UNITS).alias("spelled")
-    return words.join(sums, "id").select(*(value if c == "spelled" else c for c in words.columns))
+def _with_spelling(words: DataFrame, grams: DataFrame, order: int, asked: DataFrame | None = None) -> DataFrame:
+    """`words` with log10 of each word's spelling as `spelled`. Whole units are added, so their order does not count.
+
+    A bucket of words asks for each distinct run once; `asked` is `_asked` of the same words, if it is there already.
+    """
+    names, made = words.columns, words.schema
+
+    def run(frame: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        if not len(frame):
+            return frame[names]
+        found, at, starts = _grams_of([bytes(w) for w in frame["word"]], order)
+        units = dict(zip(answers["gram"], answers["units"].tolist(), strict=True))
+        own = np.array([units[g] for g in found], np.int64)
+        return frame.assign(spelled=np.add.reduceat(own[at], starts) / UNITS)[names]
+
+    asked = _asked(words, order) if asked is None else asked
+    answers = asked.select("bucket", F.concat("context", "character").alias("gram")).join(grams, "gram")
+    return _bucketed(words).groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInPandas(run, made)
 
 
 def _seated(rows: DataFrame, names: list[str], discount: float, strength: float, seed: int) -> DataFrame:
@@ -352,7 +385,7 @@ def _behind(gram: str, held: dict[str, float], back: dict[str, float], order: in
 
 def _fit(stored: _Store, spelled: DataFrame, order: int, seed: int, burn_in: int, samples: int) -> DataFrame:
     """(gram, units): log10 of the last character's probability behind the others, in parts of `UNITS`."""
-    rows = stored("spelled", spelled)
+    rows = stored("spelled", spelled, SHORT_ROWS)
     met = rows.filter("n > 0").groupBy("character").agg(F.count("*").cast("double").alias("n"))
     first, _ = _root_rule(met)
 
@@ -461,12 +494,12 @@ class _Block:
         before[self.starts] = 0
         own = self.hashes()
         # pairs are told apart by places, then put into the order of their names
-        codes, at, count = np.unique(before * len(self.words) + self.tokens, return_inverse=True, return_counts=True)
+        codes, at = np.unique(before * len(self.words) + self.tokens, return_inverse=True)
         trained = np.repeat(self.train, self.sizes)
         count = np.bincount(at, trained, len(codes)).astype(np.int64)
         first, second = codes // len(self.words), codes % len(self.words)
         names = _pair_names(own[first], own[second])
-        order = np.argsort(names, kind="stable")
+        order = np.argsort(names)  # equal names are counted as one pair, in whatever order
         back = np.empty(len(order), np.int64)
         back[order] = np.arange(len(order))
         self.own, self.at, self.names = own, back[at], names[order]
@@ -692,16 +725,18 @@ def score(
             {"t": F.lit(1.0), "kept": F.lit(0.0)}
         ),
     )
-    grams = _fit(stored, _spelled(words, order), order, seed, 1, 1)
-    words, backs = stored("words", _with_spelling(words, grams, order), SHORT_ROWS), [1.0]
+    asked = stored("asked", _asked(words, order), SHORT_ROWS)
+    grams = _fit(stored, _spelled(words, order, asked), order, seed, 1, 1)
+    words, backs = stored("words", _with_spelling(words, grams, order, asked), SHORT_ROWS), [1.0]
     if n_train:
         backs = []
         held, back, tables = _word_rule(words)
         for k in range(word_burn_in + word_samples):
             if k == word_burn_in:
-                grams = _fit(stored, _spelled(words, order), order, seed, burn_in, samples)
-                words = stored("words", _with_spelling(words, grams, order), SHORT_ROWS)
-                for name in ("spelled", "rules"):
+                asked = stored("asked", _asked(words, order), SHORT_ROWS)
+                grams = _fit(stored, _spelled(words, order, asked), order, seed, burn_in, samples)
+                words = stored("words", _with_spelling(words, grams, order, asked), SHORT_ROWS)
+                for name in ("asked", "spelled", "rules"):
                     stored.drop(docs.sparkSession, name)
             parent = words.select(
                 F.col("id").alias("word"), _interpolated(held, F.lit(back), F.col("spelled")).alias("parent")
@@ -732,8 +767,9 @@ def score(
         (F.col("followed") + F.coalesce("opened", zero)).alias("tables"),
     )
     values = stored("values", values)
-    answers = stored("answers", _answers(_sent_pairs(blocks, bits), _sent_tables(live, bits, word_samples)))
-    for name in ("live", "words"):
+    drawn = stored("tables", _sent_tables(live, bits, word_samples), SHORT_ROWS)
+    answers = stored("answers", _answers(_sent_pairs(blocks, bits), drawn))
+    for name in ("live", "words", "tables"):
         stored.drop(docs.sparkSession, name)
     dictionary = _block_dictionary(blocks).join(values, "id").drop("id")
 

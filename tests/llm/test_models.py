@@ -406,3 +406,33 @@ def test_spelled_words_equal_the_rules_applied_directly(spark):
     for i, word, _, _ in rows:
         want = sum(math.log10(behind(g)) for g in pitman_yor._grams(word, 3))
         assert math.isclose(got[i], want, abs_tol=1e-6), word
+
+
+def test_runs_of_many_words_at_once_equal_those_of_each():
+    every = "".join(chr(c) for c in range(0x100, 0xC500))  # more characters than four digits of 62 bits tell apart
+    words = [b"cab", b"", "é龘😀".encode(), b"\xff\xfe", f"a{pitman_yor.START}{pitman_yor.END}".encode(), b"ab" * 70, every.encode()]
+    for part in (words, words[:-1], words[1:2]):
+        grams, at, starts = pitman_yor._grams_of(part, 3)
+        assert len(set(grams)) == len(grams)
+        found = [grams[i] for i in at]
+        for word, a, b in zip(part, starts, [*starts[1:], len(at)], strict=True):
+            assert found[a:b] == list(pitman_yor._grams(word, 3))
+
+
+def test_a_bucket_of_words_asks_for_each_run_once(spark, monkeypatch):
+    monkeypatch.setattr(pitman_yor, "BUCKET_WORDS", 40)
+    rows = [(i, b"ab" * i + b"c", float(i % 3), -1.0) for i in range(200)]
+    words = spark.createDataFrame(rows, "id long, word binary, t double, spelled double")
+    asked = pitman_yor._asked(words, 3)
+    kinds = {g for _, word, _, _ in rows for g in pitman_yor._grams(word, 3)}
+    assert asked.select("bucket").distinct().count() == 5 and asked.count() <= 5 * len(kinds)
+    assert asked.select("bucket", "context", "character").distinct().count() == asked.count()
+    counts = Counter()
+    for _, word, t, _ in rows:
+        for gram in pitman_yor._grams(word, 3):
+            counts[gram] += t
+    assert {r["context"] + r["character"]: r["n"] for r in pitman_yor._spelled(words, 3, asked).collect()} == counts
+    units = {g: -(i + 1) * 10**8 for i, g in enumerate(sorted(kinds))}
+    grams = spark.createDataFrame(list(units.items()), "gram string, units long")
+    found = {r["id"]: (bytes(r["word"]), r["t"], r["spelled"]) for r in pitman_yor._with_spelling(words, grams, 3).collect()}
+    assert found == {i: (w, t, sum(units[g] for g in pitman_yor._grams(w, 3)) / pitman_yor.UNITS) for i, w, t, _ in rows}

@@ -28,7 +28,7 @@ one by shuffled joins. At the end the buckets answer each block with the count a
 they were sent, and the block's words bring their own values. The number of buckets grows with the tokens, so a bucket
 holds about `BUCKET_PAIRS` of them; the pairs of all blocks together hold one entry a block for the most frequent pair.
 Words are named by their 64-bit hash, pairs by 48 bits beside their bucket: about one pair in 10^8 is counted with another.
-Shuffle files go after each step and tables after their last use (`_Store`).
+Shuffle files go after each step and tables after their last use (`_Store`); only the scores stay.
 
 Subtrees of context restaurants that share their last character are sampled side by side, with the root's probabilities of
 the round before. Every context is kept. A subtree is one group: the distinct runs of `order` + 1 characters with one
@@ -44,11 +44,12 @@ Rows without an id take part; repeated rows are scored each.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -425,6 +426,16 @@ def _fit(stored: _Store, spelled: DataFrame, order: int, seed: int, burn_in: int
     return grams.select("gram", F.round(F.log10(known) * UNITS).cast("long").alias("units"))
 
 
+def _zipped(data: bytes) -> bytes:
+    """`data` as zstd behind its length: blocks and answers are stored and shuffled often."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _unzipped(data: bytes) -> bytes:
+    size = int.from_bytes(data[:8], "little")
+    return pa.decompress(data[8:], size, codec="zstd", asbytes=True) if size else b""
+
+
 class _Places(dict):
     def __missing__(self, word: bytes) -> int:
         self[word] = place = len(self)
@@ -447,8 +458,9 @@ def _blocks(rows: DataFrame) -> DataFrame:
                 "train": np.array(train, np.uint8).tobytes(),
                 "sizes": np.array(sizes, "<u4").tobytes(),
                 # low halves, then high halves, most of which are zero
-                "tokens": at.astype("<u2").tobytes() + (at >> 16).astype("<u2").tobytes(),
-                "words": b" ".join(place),
+                "tokens": _zipped(at.astype("<u2").tobytes() + (at >> 16).astype("<u2").tobytes()),
+                "words": _zipped(b" ".join(place)),
+                "n": len(at),
             }
             return pd.DataFrame(made)
 
@@ -466,7 +478,7 @@ def _blocks(rows: DataFrame) -> DataFrame:
         if docs:
             yield block()
 
-    made = "chunk long, ids array<string>, train binary, sizes binary, tokens binary, words binary"
+    made = "chunk long, ids array<string>, train binary, sizes binary, tokens binary, words binary, n long"
     return rows.mapInPandas(run, made)
 
 
@@ -474,10 +486,10 @@ class _Block:
     """A block unpacked: words, tokens, and its distinct pairs in the order of their names."""
 
     def __init__(self, row):
-        self.ids, self.words = list(row.ids), bytes(row.words).split(b" ")
+        self.ids, self.words = list(row.ids), _unzipped(bytes(row.words)).split(b" ")
         self.train = np.frombuffer(row.train, np.uint8)
         self.sizes = np.frombuffer(row.sizes, "<u4").astype(np.int64)
-        low, high = np.frombuffer(row.tokens, "<u2").reshape(2, -1)
+        low, high = np.frombuffer(_unzipped(bytes(row.tokens)), "<u2").reshape(2, -1)
         self.tokens = low.astype(np.int64) | high.astype(np.int64) << 16
         self.starts = np.cumsum(self.sizes) - self.sizes
 
@@ -554,7 +566,7 @@ def _unpacked(column: pd.Series) -> tuple[np.ndarray, np.ndarray]:
     return out.view("<u8").ravel(), sizes
 
 
-def _numbers(column: pd.Series, kind: str = "<u4") -> np.ndarray:
+def _numbers(column: Iterable[bytes], kind: str = "<u4") -> np.ndarray:
     return np.frombuffer(b"".join(map(bytes, column)), kind).astype(np.int64)
 
 
@@ -663,8 +675,8 @@ def _answers(sent: DataFrame, tables: DataFrame) -> DataFrame:
             {
                 "chunk": frame["chunk"].to_numpy(),
                 "bucket": frame["bucket"].to_numpy(),
-                "counts": [total[at[i:j]].tobytes() for i, j in spans],
-                "tables": [opened[at[i:j]].tobytes() for i, j in spans],
+                "counts": [_zipped(total[at[i:j]].tobytes()) for i, j in spans],
+                "tables": [_zipped(opened[at[i:j]].tobytes()) for i, j in spans],
             }
         )
 
@@ -695,7 +707,7 @@ def score(
         F.col(text).alias("text"),
     )
     blocks = stored("blocks", _blocks(rows))
-    n_all = blocks.agg(F.sum(F.length("tokens") / 4)).first()[0] or 0
+    n_all = blocks.agg(F.sum("n")).first()[0] or 0
     bits = max(1, int(n_all / BUCKET_PAIRS).bit_length())
     repeated = stored("repeated", _repeated(_sent_pairs(blocks, bits)))
     live = stored("live", _live_pairs(blocks, repeated, bits))
@@ -777,7 +789,8 @@ def score(
         block, found = _split(parts)
         entries = entries.sort_values("place")
         n, parent, opened = (entries[c].to_numpy(np.float64) for c in ("occurs", "parent", "tables"))
-        c, t = _numbers(found["counts"]), _numbers(found["tables"]).astype(np.float64)
+        c, t = (_numbers([_unzipped(bytes(x)) for x in found[column]]) for column in ("counts", "tables"))
+        t = t.astype(np.float64)
         t[c > 1] /= word_samples
         at, below = n[block.before], parent[block.word]
         held = (c - PAIR_DISCOUNT * t) / (PAIR_STRENGTH + at)
@@ -805,6 +818,9 @@ def score(
     found = together.applyInPandas(
         add_up, "id string, train int, n_tokens long, n_known long, base_score double, score double"
     )
+    found = stored("found", found, SHORT_ROWS)
+    for name in ("blocks", "values", "answers"):
+        stored.drop(docs.sparkSession, name)
     return found.select(
         F.col("id").cast(docs.schema[id_column].dataType).alias(id_column),
         (F.col("train") == 1).alias("train"),

@@ -538,6 +538,17 @@ def _block_dictionary(blocks: DataFrame) -> DataFrame:
     return blocks.mapInPandas(run, "chunk long, place long, id long")
 
 
+def _entries(blocks: DataFrame, values: DataFrame) -> DataFrame:
+    """(chunk, entries): occurs, parent and tables of a block's words in their order, packed."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        rows = frame.sort_values("place")[["occurs", "parent", "tables"]].to_numpy(np.float64)
+        return pd.DataFrame({"chunk": frame["chunk"].iloc[:1], "entries": [_zipped(rows.T.tobytes())]})
+
+    found = _block_dictionary(blocks).join(values, "id").drop("id")
+    return found.groupBy("chunk").applyInPandas(run, "chunk long, entries binary")
+
+
 _SENT = "bucket long, chunk long, names binary, counts binary"
 
 
@@ -780,15 +791,16 @@ def score(
     )
     values = stored("values", values)
     drawn = stored("tables", _sent_tables(live, bits, word_samples), SHORT_ROWS)
-    answers = stored("answers", _answers(_sent_pairs(blocks, bits), drawn))
-    for name in ("live", "words", "tables"):
+    for name in ("live", "words"):
         stored.drop(docs.sparkSession, name)
-    dictionary = _block_dictionary(blocks).join(values, "id").drop("id")
+    entries = stored("entries", _entries(blocks, values), SHORT_ROWS)
+    stored.drop(docs.sparkSession, "values")
+    answers = stored("answers", _answers(_sent_pairs(blocks, bits), drawn))
+    stored.drop(docs.sparkSession, "tables")
 
-    def add_up(parts: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
+    def add_up(parts: pd.DataFrame, packed: pd.DataFrame) -> pd.DataFrame:
         block, found = _split(parts)
-        entries = entries.sort_values("place")
-        n, parent, opened = (entries[c].to_numpy(np.float64) for c in ("occurs", "parent", "tables"))
+        n, parent, opened = np.frombuffer(_unzipped(bytes(packed["entries"].iloc[0]))).reshape(3, -1)
         c, t = (_numbers([_unzipped(bytes(x)) for x in found[column]]) for column in ("counts", "tables"))
         t = t.astype(np.float64)
         t[c > 1] /= word_samples
@@ -814,12 +826,12 @@ def score(
             }
         )
 
-    together = _parts(blocks, answers).groupBy("chunk").cogroup(dictionary.groupBy("chunk"))
+    together = _parts(blocks, answers).groupBy("chunk").cogroup(entries.groupBy("chunk"))
     found = together.applyInPandas(
         add_up, "id string, train int, n_tokens long, n_known long, base_score double, score double"
     )
     found = stored("found", found, SHORT_ROWS)
-    for name in ("blocks", "values", "answers"):
+    for name in ("blocks", "entries", "answers"):
         stored.drop(docs.sparkSession, name)
     return found.select(
         F.col("id").cast(docs.schema[id_column].dataType).alias(id_column),

@@ -18,7 +18,8 @@ over `samples` sweeps.
 In the restaurants of words, `word_burn_in` sweeps go before the spelling is fitted to the tables, `word_samples` after
 it; every sweep starts from the tables of the one before, totals included. A pair of words that occurs once has one table
 in every sweep, so only pairs that occur more often are drawn, and no row stands for the others: how many of a word's
-followers or predecessors were met once is its own count less that of its repeated pairs.
+followers or predecessors were met once is its own count less that of its repeated pairs. A word that occurs at most once
+keeps its table in every sweep too: only the other words are rows of the sweeps, and it is spelled once, by the last rules.
 
 On Spark: documents become blocks of at most `BLOCK_BYTES` of text (or one longer document): the words once, tokens as
 places in that list. Words are counted over blocks. The distinct pairs of a block go to buckets by a hash, 48 bits and a
@@ -61,7 +62,8 @@ from popmeasure.llm.words import gathered, spaced_words, texts
 BLOCK_BYTES, BLOCK_ROWS = 4 << 20, 5_000
 BUCKET_PAIRS = 1_000_000
 BUCKET_WORDS = 50_000
-SHORT_ROWS = 2_000  # of an Arrow batch of words and numbers
+SHORT_ROWS = 10_000  # of an Arrow batch of words and numbers
+BATCH_BYTES = 4 << 20  # of an Arrow batch: blocks are large, and executors keep the buffers of their largest batches
 SUBTREE_TASKS = 64
 ALL_CHARACTERS = 0x110000 + 1
 START, END = "\U0010fffe", "\U0010ffff"
@@ -79,22 +81,26 @@ class _Store:
 
     cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    batch_bytes = "spark.sql.execution.arrow.maxBytesPerBatch"
 
     def __init__(self):
         self.paths: dict[str, str] = {}
 
-    def __call__(self, name: str, df: DataFrame, batch_rows: int | None = None) -> DataFrame:
-        """`df` stored under a name; `batch_rows` is the size of Arrow batches where the rows are short."""
+    def __call__(self, name: str, df: DataFrame, batch_rows: int | None = None, zipped: bool = False) -> DataFrame:
+        """`df` stored under a name; `batch_rows` is the size of Arrow batches where the rows are short.
+
+        What is `zipped` already is stored as it is: a codec would only hold buffers of its size outside the heap.
+        """
         spark = df.sparkSession
         path = f"{shared_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
-        wanted = {self.cleanup: "true"}
+        wanted = {self.cleanup: "true", self.batch_bytes: str(BATCH_BYTES)}
         if batch_rows:
             wanted[self.batch] = str(batch_rows)
         before = {key: spark.conf.get(key, None) for key in wanted}
         try:
             for key, value in wanted.items():
                 spark.conf.set(key, value)
-            df.write.parquet(path)
+            df.write.parquet(path, compression="none" if zipped else None)
         finally:
             for key, value in before.items():
                 if value is None:
@@ -289,10 +295,10 @@ def _interpolated(held: Column, back: Column, parent: Column) -> Column:
     return F.when(held > 0, F.log10(held + back * F.pow(F.lit(10.0), parent))).otherwise(parent + F.log10(back))
 
 
-def _word_rule(words: DataFrame) -> tuple[Column, float, float]:
-    """(held, back, tables) of the restaurant of words as it is seated now."""
+def _word_rule(words: DataFrame, alone: float) -> tuple[Column, float, float]:
+    """(held, back, tables) of the restaurant of words as it is seated now; `alone` customers have a table each."""
     sums = words.agg(F.sum("customers"), F.sum("t")).first()
-    n, t = float(sums[0] or 0), float(sums[1] or 0)
+    n, t = float(sums[0] or 0) + alone, float(sums[1] or 0) + alone
     held = (F.col("customers") - WORD_DISCOUNT * F.col("t")) / (WORD_STRENGTH + n)
     return held, (WORD_STRENGTH + WORD_DISCOUNT * t) / (WORD_STRENGTH + n), t
 
@@ -717,7 +723,7 @@ def score(
         F.coalesce(train, F.lit(False)).cast("int").alias("train"),
         F.col(text).alias("text"),
     )
-    blocks = stored("blocks", _blocks(rows))
+    blocks = stored("blocks", _blocks(rows), zipped=True)
     n_all = blocks.agg(F.sum("n")).first()[0] or 0
     bits = max(1, int(n_all / BUCKET_PAIRS).bit_length())
     repeated = stored("repeated", _repeated(_sent_pairs(blocks, bits)))
@@ -738,28 +744,34 @@ def score(
         (F.col("c") > 0).cast("double").alias("t"),
         F.lit(0.0).alias("spelled"),
         F.lit(0.0).alias("held"),
+        ((F.col("c") > 1) | F.col("pairs").isNotNull()).alias("drawn"),
     )
     words = stored("words", words)
-    sums = words.agg(F.sum("c").alias("n"), F.sum("t").alias("v")).first()
-    n_train, v_train = int(sums["n"] or 0), int(sums["v"] or 0)
+    sums = words.agg(
+        F.sum("c").alias("n"), F.sum("t").alias("v"), F.sum(F.when(~F.col("drawn"), F.col("t"))).alias("alone")
+    ).first()
+    n_train, v_train, alone = int(sums["n"] or 0), int(sums["v"] or 0), float(sums["alone"] or 0)
     live = stored(
         "live",
         live.join(words.select(F.col("id").alias("before"), "followed"), "before").withColumns(
             {"t": F.lit(1.0), "kept": F.lit(0.0)}
         ),
     )
+    once, words = words.filter(~F.col("drawn")).drop("drawn"), words.filter("drawn").drop("drawn")
+    asked_once = stored("asked once", _asked(once, order), SHORT_ROWS)
     asked = stored("asked", _asked(words, order), SHORT_ROWS)
-    grams = _fit(stored, _spelled(words, order, asked), order, seed, 1, 1)
-    words, backs = stored("words", _with_spelling(words, grams, order, asked), SHORT_ROWS), [1.0]
+    grams = _fit(stored, _spelled(words, order, asked.union(asked_once)), order, seed, 1, 1)
+    words, backs, shares = stored("drawn", _with_spelling(words, grams, order, asked), SHORT_ROWS), [1.0], F.lit(0.0)
     if n_train:
         backs = []
-        held, back, tables = _word_rule(words)
+        held, back, tables = _word_rule(words, alone)
         for k in range(word_burn_in + word_samples):
             if k == word_burn_in:
                 asked = stored("asked", _asked(words, order), SHORT_ROWS)
-                grams = _fit(stored, _spelled(words, order, asked), order, seed, burn_in, samples)
-                words = stored("words", _with_spelling(words, grams, order, asked), SHORT_ROWS)
-                for name in ("asked", "spelled", "rules"):
+                grams = _fit(stored, _spelled(words, order, asked.union(asked_once)), order, seed, burn_in, samples)
+                words = stored("drawn", _with_spelling(words, grams, order, asked), SHORT_ROWS)
+                once = stored("once", _with_spelling(once, grams, order, asked_once), SHORT_ROWS)
+                for name in ("asked", "asked once", "spelled", "rules", "words"):
                     stored.drop(docs.sparkSession, name)
             parent = words.select(
                 F.col("id").alias("word"), _interpolated(held, F.lit(back), F.col("spelled")).alias("parent")
@@ -775,11 +787,15 @@ def score(
             come = live.groupBy(F.col("word").alias("id")).agg(F.sum("t").alias("come"))
             again = words.join(come, "id", "left").withColumn("customers", F.col("ones") + F.coalesce("come", zero))
             again = again.drop("come").withColumns({"rest": tables - F.col("t"), "parent": F.col("spelled")})
-            words = stored("words", _seated(again, ["id"], WORD_DISCOUNT, WORD_STRENGTH, seed + 300 + k), SHORT_ROWS)
-            held, back, tables = _word_rule(words)
+            words = stored("drawn", _seated(again, ["id"], WORD_DISCOUNT, WORD_STRENGTH, seed + 300 + k), SHORT_ROWS)
+            held, back, tables = _word_rule(words, alone)
             if k >= word_burn_in:
                 words = words.withColumn("held", F.col("held") + held / word_samples)
+                shares = shares + held / word_samples
                 backs.append(back)
+    else:
+        once = stored("once", _with_spelling(once, grams, order, asked_once), SHORT_ROWS)
+    words = words.union(once.withColumn("held", shares))
     shared = _interpolated(F.col("held"), F.lit(sum(backs) / len(backs)), F.col("spelled"))
     # the customers of pairs do not change, so the mean of the rules is the rule of the mean tables
     opened = live.groupBy(F.col("before").alias("id")).agg(F.sum("kept").alias("opened"))
@@ -791,11 +807,11 @@ def score(
     )
     values = stored("values", values)
     drawn = stored("tables", _sent_tables(live, bits, word_samples), SHORT_ROWS)
-    for name in ("live", "words"):
+    for name in ("live", "words", "drawn", "once", "asked", "asked once", "spelled", "rules"):
         stored.drop(docs.sparkSession, name)
-    entries = stored("entries", _entries(blocks, values), SHORT_ROWS)
+    entries = stored("entries", _entries(blocks, values), SHORT_ROWS, zipped=True)
     stored.drop(docs.sparkSession, "values")
-    answers = stored("answers", _answers(_sent_pairs(blocks, bits), drawn))
+    answers = stored("answers", _answers(_sent_pairs(blocks, bits), drawn), zipped=True)
     stored.drop(docs.sparkSession, "tables")
 
     def add_up(parts: pd.DataFrame, packed: pd.DataFrame) -> pd.DataFrame:

@@ -6,6 +6,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -337,6 +338,38 @@ def test_word_order_counts(spark, tmp_path):
     assert len(got) == 62 and score[100] > score[101] + 5
 
 
+def test_words_met_once_are_no_rows_of_the_sweeps(spark, tmp_path, monkeypatch):
+    rows = [(i, f"one two one w{i}") for i in range(40)] + [(100, "two new")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    drawn, seated = [], pitman_yor._seated
+
+    def run(rows, names, *rest):
+        if names == ["id"]:
+            drawn.append({bytes(r["word"]) for r in rows.select("word").collect()})
+        return seated(rows, names, *rest)
+
+    monkeypatch.setattr(pitman_yor, "_seated", run)
+    got = pitman_yor.score(spark.read.parquet(str(tmp_path / "docs")), F.col("doc_id") < 100).collect()
+    assert drawn == [{b"", b"one", b"two"}] * 4
+    assert len(got) == 41 and all(r["score"] < 0 for r in got)
+
+
+def test_batches_of_large_rows_are_bounded_in_bytes(spark, tmp_path):
+    def run(frames):
+        for frame in frames:
+            yield pd.DataFrame({"n": [len(frame)]})
+
+    large = spark.range(24, numPartitions=1).select(F.expr("unhex(repeat('ab', 1 << 20))").alias("x"))
+    large.write.parquet(str(tmp_path / "large"))
+    store = pitman_yor._Store()
+    found = store("found", spark.read.parquet(str(tmp_path / "large")).mapInPandas(run, "n long")).collect()
+    assert sum(r["n"] for r in found) == 24 and max(r["n"] for r in found) <= 5
+    zipped = store("zipped", spark.range(9), zipped=True)
+    assert zipped.count() == 9 and not [f for f in os.listdir(store.paths["zipped"].removeprefix("file:")) if "snappy" in f]
+    store.drop(spark, "found")
+    store.drop(spark, "zipped")
+
+
 def test_without_training_rows(spark, documents):
     got = pitman_yor.score(documents, F.lit(False)).collect()
     assert len(got) == 10 and {r["train_tokens"] for r in got} == {0}

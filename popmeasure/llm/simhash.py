@@ -102,9 +102,13 @@ def near_links(classes: DataFrame, distance: int = MAX_DISTANCE) -> DataFrame:
     """(a, b): one link for each pair of different components with fingerprints within `distance`.
 
     `classes` has distinct fingerprints `fp` and the component `comp` that each is already known to be in.
+
+    A class looks into up to 34 cells. Spark sizes a table by its files and takes an explode for as many rows as it is
+    given, so it would send the cells of a class table under the broadcast threshold through the driver: the join is
+    told to sort and merge.
     """
     own = _cells(classes, probe=False).select("cell", F.col("fp").alias("f"), F.col("comp").alias("c"))
-    probes = _cells(classes, probe=True).select("cell", F.col("fp").alias("g"), F.col("comp").alias("d"))
+    probes = _cells(classes, probe=True).select("cell", F.col("fp").alias("g"), F.col("comp").alias("d")).hint("merge")
     near = F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= distance
     pairs = own.join(probes, (own["cell"] == probes["cell"]) & (F.col("c") != F.col("d")) & near)
     return pairs.select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")).distinct()

@@ -10,9 +10,11 @@ from itertools import combinations
 import numpy as np
 import pytest
 import xxhash
+from helpers import plan
 from pyspark.sql import functions as F
 
 from popmeasure.llm import decontaminate, language, licences, quality, simhash, toxicity
+from popmeasure.llm.common import written
 from popmeasure.llm.components import components
 from popmeasure.llm.words import plain_words, spaced_words
 
@@ -159,6 +161,18 @@ def test_grid_finds_every_link(spark):
     assert len(ones) == 0 or singles
 
 
+def test_cells_of_a_small_class_table_are_not_broadcast(spark):
+    """The files of the classes are small, their exploded cells are not: a broadcast of them ends the driver."""
+    rng = random.Random(9)
+    fps = [rng.getrandbits(63) for _ in range(300)]
+    fps += [fp ^ 1 << 40 ^ 1 << 3 for fp in fps[:50]]
+    classes = written(spark.createDataFrame([(fp, fp) for fp in fps], "fp long, comp long"))
+    links = simhash.near_links(classes)
+    text = plan(links)
+    assert "SortMergeJoin" in text and "BroadcastExchange" not in text
+    assert {tuple(r) for r in links.collect()} == {tuple(sorted((fp, fp ^ 1 << 40 ^ 1 << 3))) for fp in fps[:50]}
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 102), (100, 102), (5, 5), (None, 3), (200, 7)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}

@@ -2,7 +2,8 @@
 
 No join here carries a broadcast hint. Spark broadcasts a lookup when its size statistic, taken from the files or from
 a finished shuffle stage, is under `spark.sql.autoBroadcastJoinThreshold`. A larger lookup is sort-merge joined, and
-adaptive execution splits the partitions of a hot key.
+adaptive execution splits the partitions of a hot key. A salted lookup is always sort-merge joined: Spark sizes its
+copies like the files of one, and would send them all through the driver.
 """
 
 from __future__ import annotations
@@ -36,7 +37,8 @@ def enrich(
     null_safe       a null key matches a null key (data-frame rule) or never matches (SQL rule)
     require_unique  raise when the lookup holds a key twice; this runs a small job
     salts, salt_by  spread each key over `salts` partitions by a hash of the `salt_by` columns of `df` (a row id), at
-                    the price of `salts` copies of the lookup. For hot keys when adaptive execution is off.
+                    the price of `salts` copies of the lookup, which are shuffled and never broadcast. For hot keys
+                    when adaptive execution is off.
     """
     if isinstance(on, str):
         on = {on: on}
@@ -62,7 +64,7 @@ def enrich(
             raise ValueError("salting needs salt_by columns that tell rows of one key apart")
         df = df.withColumn("__salt", F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int"))
         copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-        right = right.withColumn("__copy", copies)
+        right = right.withColumn("__copy", copies).hint("merge")
         tests.append(F.col("__salt") == F.col("__copy"))
         added += ["__salt", "__copy"]
     return df.join(right, reduce(and_, tests), "left").drop(*added)

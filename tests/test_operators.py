@@ -1,5 +1,6 @@
 import math
 import random
+import re
 
 import pytest
 from helpers import plan
@@ -31,6 +32,7 @@ from popmeasure.operators.reshape import (
     unpivot_measures,
 )
 from popmeasure.operators.standardise import dsr, join_population, rate_gaps, rate_inputs, regroup
+from popmeasure.plans.admissions import numbered_admissions
 from popmeasure.sources.constants import FIVE_YEAR_BANDS, STANDARD_POPULATION
 from popmeasure.sources.schemas import CAUSE_COLUMNS
 
@@ -70,6 +72,18 @@ def test_salted_join_is_the_same_join(spark):
     assert plain.columns == salted.columns and rows(plain) == rows(salted)
 
 
+def test_copies_of_a_salted_lookup_are_not_broadcast(spark, tmp_path):
+    """Its files are small, its copies need not be: Spark sizes both alike, and a broadcast of them ends the driver."""
+    df = spark.range(100).select("id", (F.col("id") % 7).alias("k"))
+    spark.range(5).selectExpr("id AS code", "id * 10 AS v").write.parquet(str(tmp_path / "lookup"))
+    lookup = spark.read.parquet(str(tmp_path / "lookup"))
+    salted = enrich(df, lookup, {"k": "code"}, null_safe=False, salts=8, salt_by="id")
+    text = plan(salted)
+    assert "SortMergeJoin" in text and "BroadcastExchange" not in text
+    assert "BroadcastExchange" in plan(enrich(df, lookup, {"k": "code"}, null_safe=False))  # no salt, no copies
+    assert rows(salted) == rows(df.selectExpr("id", "k", "if(k < 5, k * 10, NULL) AS v"))
+
+
 def test_large_lookup_is_not_broadcast_and_its_hot_key_is_split(spark):
     conf = {
         "spark.sql.autoBroadcastJoinThreshold": "-1",
@@ -148,6 +162,37 @@ def test_extract_admissions_conditions(spark):
     assert out.count() == 7  # a person listed twice doubles the rows
 
 
+def stored_extract_inputs(spark, folder):
+    """Diagnoses, geography and ethnicity in small files; person "p" has 30 spells on 15 days, "q" one."""
+    import datetime as dt
+
+    from popmeasure.sources.schemas import schema_of
+
+    cases = [diagnosis(episode_id=i, admission_date=dt.date(2019, 1, 1 + i // 2)) for i in range(30)]
+    cases.append(diagnosis(episode_id=30, nhs_number="q"))
+    schema = schema_of("episode_diagnosis")
+    tables = {
+        "diagnosis": spark.createDataFrame([tuple(c[f] for f in schema.names) for c in cases], schema),
+        "geography": spark.createDataFrame([(i, "E1", "c", "l1", "l2", "g") for i in range(31)], schema_of("episode_geography")),
+        "ethnicity": spark.createDataFrame([("p", "A", "White", 0)], schema_of("ethnicity")),
+    }
+    for name, df in tables.items():
+        df.write.parquet(str(folder / name))
+    return [spark.read.parquet(str(folder / name)) for name in tables]
+
+
+def person_joins(df):
+    return set(re.findall(r"(\w+Join) \[nhs_number#\d+, __salt#\d+\]", plan(df)))
+
+
+def test_numbered_admissions_do_not_broadcast_copies_of_the_people(spark, tmp_path):
+    out = numbered_admissions(*stored_extract_inputs(spark, tmp_path), ["E1"], salts=8)
+    assert person_joins(out) == {"SortMergeJoin"}
+    assert rows(out.select("episode_id", "ethnic_code", "rn")) == sorted(
+        [(i, "A", i + 1) for i in range(30)] + [(30, None, 1)], key=lambda t: tuple((v is None, str(v)) for v in t)
+    )
+
+
 def test_extract_deaths_and_any_code(spark):
     import datetime as dt
 

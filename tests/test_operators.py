@@ -32,7 +32,7 @@ from popmeasure.operators.reshape import (
     unpivot_measures,
 )
 from popmeasure.operators.standardise import dsr, join_population, rate_gaps, rate_inputs, regroup
-from popmeasure.plans.admissions import numbered_admissions
+from popmeasure.plans.admissions import in_person_order, numbered_admissions
 from popmeasure.sources.constants import FIVE_YEAR_BANDS, STANDARD_POPULATION
 from popmeasure.sources.schemas import CAUSE_COLUMNS
 
@@ -193,6 +193,12 @@ def test_numbered_admissions_do_not_broadcast_copies_of_the_people(spark, tmp_pa
     )
 
 
+def test_ordered_extract_does_not_broadcast_copies_of_the_people(spark, tmp_path):
+    out = in_person_order(extract_admissions(*stored_extract_inputs(spark, tmp_path), ["E1"], keep=("episode_id",), salts=8))
+    assert person_joins(out) == {"SortMergeJoin"}
+    assert [(r.episode_id, r.ethnic_code) for r in out.collect()] == [(i, "A") for i in range(30)] + [(30, None)]
+
+
 def test_extract_deaths_and_any_code(spark):
     import datetime as dt
 
